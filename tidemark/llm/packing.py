@@ -20,6 +20,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ class Tokens:
     with other white space at a word's border go to it whole.
     """
 
-    def __init__(self, path: str, end_id: int = 0, cache: int = 400_000):
+    def __init__(self, path: str, end_id: int = 0, cache: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,8 +52,12 @@ class Tokens:
         (self.newline,) = self._encode(["\n"])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        if not texts:
+            return []
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        whole = np.fromiter(chain.from_iterable(found), dtype="<u4").tobytes()
+        ends = np.cumsum([4 * len(x) for x in found]).tolist()
+        return [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     @staticmethod
     def _bordered(word: str) -> bool:
@@ -63,14 +68,23 @@ class Tokens:
         for words in (self.first, self.later):
             if len(words) > self.cache:
                 words.clear()
-        lines_of = [None if "\n\n\n" in x or x.endswith("\n\n") else [y.split(" ") if y else [] for y in x.split("\n")] for x in texts]
-        lines = [y for x in lines_of if x is not None for y in x if y]
-        for words, wanted, blank in (
-            (self.first, {y[0] for y in lines}, ""),
-            (self.later, {w for y in lines for w in y[1:]}, " "),
-        ):
-            new = [w for w in wanted if w not in words and self._bordered(w)]
-            words.update(zip(new, self._encode([blank + w for w in new]), strict=True))
+        lines_of: list[list[tuple[str, list[str]] | None] | None] = []
+        starts, others = set(), set()
+        for x in texts:
+            if "\n\n\n" in x or x.endswith("\n\n"):
+                lines_of.append(None)
+                continue
+            lines: list[tuple[str, list[str]] | None] = []
+            for y in x.split("\n"):
+                head, _, tail = y.partition(" ")
+                words = tail.split(" ") if len(head) < len(y) else []
+                lines.append((head, words) if y else None)
+                starts.add(head)
+                others.update(words)
+            lines_of.append(lines)
+        for known, wanted, blank in ((self.first, starts, ""), (self.later, others, " ")):
+            new = [w for w in wanted - known.keys() if self._bordered(w)]
+            known.update(zip(new, self._encode([blank + w for w in new] if blank else new), strict=True))
         out: list[bytes | None] = []
         first, later = self.first.get, self.later.get
         for split in lines_of:
@@ -80,7 +94,7 @@ class Tokens:
                     ids.append(self.newline)
                 if line:
                     ids.append(first(line[0]))
-                    ids += map(later, line[1:])
+                    ids += map(later, line[1])
             out.append(None if ids is None or None in ids else b"".join([*ids, self.end]))
         whole = [k for k, x in enumerate(out) if x is None]
         for k, ids in zip(whole, self._encode([texts[k] for k in whole]), strict=True):
@@ -157,7 +171,7 @@ def pack(
     open_windows: int = 16,
     end_id: int = 0,
     with_ids: bool = False,
-    batch: int = 256,
+    batch: int = 512,
 ) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset;
     with ``with_ids`` also the piece's ids. ``window`` must be a power of two."""
