@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, minhash, packing, pii
+from . import bpe, langid, minhash, packing, pii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = langid.held_out(F.col("doc_id"))
+    said = langid.predict(docs.select("doc_id", "text"), langid.fit(docs.where(~held_out)))
+    return said.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's shingles of two words; the operator's default is five."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
@@ -37,7 +45,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op5_minhash": op5_minhash, "op7_pii": op7_pii}
+    return {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_langid": op3_langid, "op5_minhash": op5_minhash, "op7_pii": op7_pii}
 
 
 def oracle_sql() -> dict[str, str]:
