@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, packing, pii
+from . import ann, bpe, embdedup, langid, minhash, packing, pii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_embdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's shingles of two words; the operator's default is five."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
@@ -44,8 +48,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(docs, pii.fit(docs))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_langid": op3_langid, "op5_minhash": op5_minhash, "op7_pii": op7_pii}
+    return {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_langid": op3_langid, "op4_embdedup": op4_embdedup, "op5_minhash": op5_minhash, "op7_pii": op7_pii, "op9_ann": op9_ann}
 
 
 def oracle_sql() -> dict[str, str]:
