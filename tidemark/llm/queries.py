@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embdedup, langid, minhash, packing, pii
+from . import ann, bpe, embdedup, langid, licenses, minhash, packing, pii, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,18 +43,46 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records by their digests; the texts themselves are what ``warc.write_files`` writes."""
+    records = warc.derive(warc.responses_from_pages(_table(spark, sf_dir, "pages")))
+    return records.drop("block", "source_headers", "record_date")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return pii.report(docs, pii.fit(docs))
 
 
+#: Fixed values of the query's contract.
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_langid": op3_langid, "op4_embdedup": op4_embdedup, "op5_minhash": op5_minhash, "op7_pii": op7_pii, "op9_ann": op9_ann}
+    own = (
+        op1_bpe, op2_packing, op3_langid, op4_embdedup, op5_minhash, op6_warc, op7_pii, op8_urls, op9_ann, op10_licenses,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Operators that SQL can say. The URL query's SQL holds for pages without redirect or canonical links."""
+    return {"op6_warc": warc.oracle(), "op8_urls": urls.oracle(URL_RULES), "op10_licenses": licenses.oracle()}
