@@ -1,13 +1,55 @@
-"""Corpus pipeline: language ID, near-dedup, personal data, packing; each stage rereads the last one's Parquet."""
+"""Corpus pipeline: language ID, near-dedup, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir), calls one operator on every document that the stage
+before it kept, and returns documents with their columns unchanged but for what the stage
+decides; the last returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import langid, minhash, packing, pii
 from tidemark.llm.shared import materialize
 
-STAGES: list = []
-#: The stages learn models and tokenise, which SQL cannot say; tests compare them with brute force.
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any recognisable language (``und``) go; ``lang`` stays the source's label."""
+    columns = docs.columns
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    said = langid.predict(docs.withColumnRenamed("score", "_score") if "score" in columns else docs, model)
+    said = said.where("lang_pred <> 'und'").drop("score", "lang_pred")
+    return said.withColumnRenamed("_score", "score").select(*columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one with the smallest id."""
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    # rows of one id are one document: of repeated rows one stays
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in ``text`` becomes the kind's name in angle brackets; ``n_chars`` follows the text."""
+    done = pii.redact(docs, pii.fit(docs))
+    if "n_chars" in done.columns:
+        done = done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return done
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("personal_data", redact_personal_data),
+    ("packing", pack_sequences),
+]
+#: Learned models and tokenizers are not SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
