@@ -67,12 +67,25 @@ def test_repeated_rows_and_empty_table(spark):
 
 def test_hot_bucket_is_searched_in_blocks(spark):
     r = random.Random(4)
-    nodes = list(range(700))
-    sketch = [[r.getrandbits(63) for _ in range(8)] for _ in range(70)]
-    rows = [(1, 700, k, k, 100, sketch[k // 10]) for k in nodes]
-    df = spark.createDataFrame(rows, "bucket long, size long, node long, component long, n long, sketch array<long>")
-    got = {tuple(x) for x in minhash._crossing(df, 0.8, block=64).collect()}
-    assert got >= {(b, a) for a in nodes for b in range(a + 1, a // 10 * 10 + 10)}
+    base = [[f"w{r.randrange(10**6)}" for _ in range(60)] for _ in range(40)]
+    texts = [(k, " ".join(base[k // 10][: 60 - k % 3])) for k in range(400)]
+    sketches = minhash.odd_sketches(minhash.signatures(minhash.shingle_sets([x for _, x in texts], 2)))
+    bands = [7] + [0] * 21
+    rows = [(7, 400, k, k, 60, sketches[k].tolist(), bands) for k, _ in texts]
+    df = spark.createDataFrame(rows, "bucket long, size long, node long, component long, n long, sketch array<long>, bands array<long>")
+    docs = spark.createDataFrame(texts, "id long, text string")
+    got = {tuple(sorted(x)) for x in minhash._crossing(df, docs, 0.8, 2, 80, block=64).collect()}
+    assert got == {(a, b) for a in range(400) for b in range(a + 1, a // 10 * 10 + 10)}
+
+
+def test_overlaps_by_either_way():
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 6000, 900).astype(np.uint64)) for _ in range(30)]
+    for pairs in (3, 20_000):
+        i = r.integers(0, 30, pairs)
+        j = (i + r.integers(1, 30, pairs)) % 30
+        want = [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]
+        assert minhash._overlaps(sets, i, j).tolist() == want
 
 
 def test_sketch_estimate():

@@ -22,7 +22,7 @@ row is returned); an empty table gives an empty table; further columns are ignor
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,11 +43,15 @@ def bands_for(similarity: float, missed: float = 1e-5, rows: int = ROWS) -> int:
     return min(SAMPLES // rows, math.ceil(math.log(missed) / math.log(1 - similarity**rows)))
 
 
-def least_estimate(similarity: float, deviations: float = 5.5) -> float:
-    """The sketch estimate below which a pair at the threshold practically never falls."""
-    differing = 2 * SAMPLES * (1 - similarity)
-    q = (1 - 2 / BITS) ** differing
-    of_sketch = math.sqrt(BITS * (1 - q * q) / 4) / (2 * SAMPLES * q)
+def least_estimate(similarity: float, deviations: float = 4.75) -> float:
+    """The sketch estimate below which a pair at the threshold practically never falls.
+
+    Samples that differ put two marks each into BITS bits; the variance of the count of
+    odd bits follows from the chances that one bit, or two bits, are odd."""
+    marks = 2 * SAMPLES * (1 - similarity)
+    one, two = (1 - 2 / BITS) ** marks, (1 - 4 / BITS) ** marks
+    odd = BITS / 4 * (1 - two) + BITS**2 / 4 * (two - one * one)
+    of_sketch = math.sqrt(odd) / (2 * SAMPLES * one)
     return similarity - deviations * math.hypot(math.sqrt(similarity * (1 - similarity) / SAMPLES), of_sketch)
 
 
@@ -190,53 +194,114 @@ def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int, group:
     )
 
 
-def _crossing(rows: DataFrame, similarity: float, block: int = 512) -> DataFrame:
-    """Pairs in sketch reach across components, from rows (bucket, size, node, component, n, sketch).
+def _by_group(rows: DataFrame, keys: list[str], make: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``make`` over each group of rows, groups being small; tasks stream over sorted groups."""
 
-    A bucket's members are dealt to blocks; each pair of blocks meets in one group."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            new = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
+            cuts = np.flatnonzero(new)
+            rest = pdf.iloc[cuts[-1] :]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                yield make(pdf.iloc[i:j])
+        if rest is not None and len(rest):
+            yield make(rest)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
+def _owned(pdf: pd.DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) in a group of block p against block q of one bucket: pairs across
+    components, in reach by size and sketch, whose first common band is this bucket."""
+    p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
+    own = pdf["own"].to_numpy()
+    left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
+    if not len(left) or not len(right):
+        return left[:0], right[:0]
+    sketch = np.stack(pdf["sketch"].to_numpy()).view(np.uint64)
+    bands = np.stack(pdf["bands"].to_numpy())
+    n, component = pdf["n"].to_numpy(), pdf["component"].to_numpy()
+    z = np.zeros((len(left), len(right)), dtype=np.int32)
+    for k in range(BITS // 64):
+        z += np.bitwise_count(sketch[left, k][:, None] ^ sketch[right, k][None, :])
+    a, b = n[left][:, None], n[right][None, :]
+    good = (z <= most_bits(similarity)) & (np.minimum(a, b) >= similarity * np.maximum(a, b))
+    good &= component[left][:, None] != component[right][None, :]
+    if p == q:
+        good &= left[:, None] < right[None, :]
+    x, y = np.nonzero(good)
+    i, j = left[x], right[y]
+    band = int(np.flatnonzero(bands[0] == pdf["bucket"].iloc[0])[0])
+    keep = np.ones(len(i), dtype=bool)
+    for t in range(band):
+        keep &= bands[i, t] != bands[j, t]
+    return i[keep], j[keep]
+
+
+def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Intersection sizes of the pairs (i, j): pair by pair, or by products of the incidence
+    matrix of all shingles that two sets share, whichever is less work."""
+    values, counts = np.unique(np.concatenate(sets), return_counts=True)
+    values = values[counts > 1]
+    if len(i) * 2e-5 < len(sets) ** 2 * len(values) / 4e9:
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], dtype=np.int64)
+    total = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for at in range(0, len(values), 4096):
+        part = values[at : at + 4096]
+        seen = np.zeros((len(sets), len(part)), dtype=np.float32)
+        for k, s in enumerate(sets):
+            place = np.searchsorted(part, s[(s >= part[0]) & (s <= part[-1])])
+            s = s[(s >= part[0]) & (s <= part[-1])]
+            seen[k, place[part[place] == s]] = 1
+        total += seen @ seen.T
+    return total[i, j].astype(np.int64)
+
+
+def _crossing(rows: DataFrame, texts: DataFrame, similarity: float, words: int, percent: int, block: int = 256) -> DataFrame:
+    """Links (a, c) across components, from rows (bucket, size, node, component, n, sketch, bands).
+
+    A bucket's members are dealt to blocks, and each pair of blocks meets in one group. A
+    first pass over the sketches finds the nodes that have any pair to settle there; only
+    their texts are then sent to the group, which settles all its pairs on full sets and
+    returns links, at most one for each two components.
+    """
     many = F.greatest(F.lit(1), F.ceil(F.col("size") / block)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    keys = ["bucket", "p", "q"]
+    columns = [*keys, "own", "node", "component", "n", "sketch", "bands"]
     dealt = (
         rows.withColumn("blocks", many)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "component", "n", "sketch")
+        .withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+        .select(*columns)
     )
-    bits = most_bits(similarity)
-
-    def pairs_of(pdf: pd.DataFrame) -> list[tuple[int, int]]:
-        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
-        left, right = (pdf[pdf["own"] == x] for x in (p, q))
-        if not len(left) or not len(right):
-            return []
-        a, b = (np.stack(x["sketch"].to_numpy()).view(np.uint64) for x in (left, right))
-        z = np.zeros((len(a), len(b)), dtype=np.int32)
-        for k in range(BITS // 64):
-            z += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
-        n, m = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-        good = (z <= bits) & (np.minimum(n, m) >= similarity * np.maximum(n, m))
-        good &= left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
-        x, y = left["node"].to_numpy(), right["node"].to_numpy()
-        return [(max(x[i], y[j]), min(x[i], y[j])) for i, j in np.argwhere(good) if p != q or x[i] > y[j]]
+    schema = "bucket long, p int, q int, own int, node long, component long, n long, sketch array<long>, bands array<long>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            keys = list(zip(pdf["bucket"], pdf["p"], pdf["q"], strict=True))
-            cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1])]
-            rest = pdf.iloc[cuts[-1] :]
-            found = {x for i, j in zip(cuts, cuts[1:], strict=False) for x in pairs_of(pdf.iloc[i:j])}
-            yield pd.DataFrame(list(found), columns=["a", "c"], dtype="int64")
-        if rest is not None and len(rest):
-            yield pd.DataFrame(pairs_of(rest), columns=["a", "c"], dtype="int64")
+    def open_nodes(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = _owned(pdf, similarity)
+        return pdf.iloc[np.unique(np.concatenate([i, j]))][columns]
 
-    return (
-        dealt.repartition("bucket", "p", "q")
-        .sortWithinPartitions("bucket", "p", "q")
-        .mapInPandas(run, "a long, c long")
-        .distinct()
-    )
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = _owned(pdf, similarity)
+        found = []
+        if len(i):
+            sets = shingle_sets(pdf["text"].tolist(), words)
+            size = np.array([len(s) for s in sets])
+            both = _overlaps(sets, i, j)
+            node, component = pdf["node"].to_numpy(), pdf["component"].to_numpy()
+            linked = 100 * both >= percent * (size[i] + size[j] - both)
+            one = {}
+            for a, b in zip(i[linked], j[linked], strict=True):
+                one.setdefault(tuple(sorted((component[a], component[b]))), (node[a], node[b]))
+            found = list(one.values())
+        return pd.DataFrame(found, columns=["a", "c"], dtype="int64")
+
+    nodes = _by_group(dealt, keys, open_nodes, schema)
+    nodes = nodes.join(texts, nodes["node"] == texts["id"]).drop("id")
+    return _by_group(nodes, keys, settle, "a long, c long").distinct()
 
 
 def near_duplicates(
@@ -271,12 +336,10 @@ def near_duplicates(
     # round 2: pairs across components in buckets that hold several
     labelled = members.where("size > 2").join(found, "node", "left").select("bucket", "size", "node", F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    crossing = _crossing(labelled.join(mixed, "bucket").join(of, "node"), similarity)
-    crossing = materialize(crossing.join(stars, ["a", "c"], "left_anti"))
-    more = _links(crossing, docs, words, percent)
+    more = _crossing(labelled.join(mixed, "bucket").join(nodes, "node"), docs, similarity, words, percent)
     edges = materialize(found.select(F.col("node").alias("a"), F.col("component").alias("c")).unionByName(more))
     found = materialize(connected_components(edges, "a", "c"))
-    for used in (members, stars, links, crossing, edges):
+    for used in (members, stars, links, edges):
         discard(used)
 
     placed = prints.join(firsts, ["d1", "d2"], "left").join(found, "node", "left")
