@@ -159,7 +159,8 @@ def completeness_flags(columns: Column, title: Column, keywords: Sequence[str])
 
 
 def freshness_days(updated: Column, today: Column) -> Column:
-    return F.coalesce(F.greatest(F.datediff(today, updated), F.lit(0)), F.lit(-1))
+    # greatest() skips nulls, so an unknown date is told apart first
+    return F.when(updated.isNull(), -1).otherwise(F.greatest(F.datediff(today, updated), F.lit(0)))
 
 
 def catalogue_dedupe(df: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries over the given tables and their SQL."""
 
-from . import bursts  # noqa: F401  (registers its queries)
+from . import assessment, bursts, evaluation, texts  # noqa: F401  (register their queries)
 from .tables import QUERIES, SQL
 
 
