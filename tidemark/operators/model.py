@@ -153,7 +153,7 @@ def train_all(df: DataFrame, kinds: Sequence[str] = ("logistic", "forest", "boos
     train = temporal_folds(partition_filter(df, "train"), k).persist()
     splits = expanding_splits(train, k)
     verify_temporal_order(splits)
-    sums = train.agg(F.count_if("y = 0"), F.count_if("y = 1")).first()
+    sums = train.agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).first()
     out = []
     for kind in kinds:
         began = time.time()
