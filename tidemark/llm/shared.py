@@ -22,7 +22,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, *sort: str) -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it again.
 
     The result has no lineage but the files, so a lost executor costs a re-read and
@@ -58,8 +58,9 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
         .select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
         .distinct()
     )
-    mark = None
-    for _ in range(max_rounds):
+    summary = (F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    mark = now.agg(*summary).first()
+    for _ in range(max_rounds if mark[0] else 0):
         # large star: every larger neighbour of u hangs on the smallest node around u
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -78,12 +79,12 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
         after = materialize(small)
         discard(now)
         now = after
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
+        before, mark = mark, now.agg(*summary).first()
+        if mark == before:
             break
-        mark = seen
     else:
-        raise RuntimeError("connected components did not settle")
+        if mark[0]:
+            raise RuntimeError("connected components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
