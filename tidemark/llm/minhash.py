@@ -35,6 +35,8 @@ from .shared import connected_components, discard, materialize
 #: MinHash samples, bits of the odd sketch, samples in a band.
 SAMPLES, BITS, ROWS = 256, 512, 4
 WORD_CACHE = 400_000
+#: Ids that are broadcast to filter a scan of texts: at most so many longs.
+MOST_SENT = 4_000_000
 _words: dict[bytes, int] = {}
 
 
@@ -159,14 +161,26 @@ def _in_reach(similarity: float) -> Column:
     return (least >= most * F.lit(similarity)) & (bits <= most_bits(similarity))
 
 
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (id, text) whose id is in ``ids`` (one column, id).
+
+    Few ids are sent to the scan, so that other texts are never shuffled; from MOST_SENT on
+    (32 MB of ids) both sides are shuffled."""
+    ids = ids.distinct()
+    few = ids.limit(MOST_SENT + 1).count() <= MOST_SENT
+    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
 def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int, group: int = 256) -> DataFrame:
     """Pairs (a, c) whose full sets reach the threshold. A centre's members are dealt to
     groups of about ``group``; in a task only the centre's set stays in memory."""
     sizes = pairs.groupBy("c").agg(F.ceil(F.count("*") / group).alias("groups"))
     dealt = pairs.join(sizes, "c").select("a", "c", F.pmod(F.xxhash64("a"), "groups").alias("g"))
-    members = dealt.join(texts, dealt["a"] == texts["id"]).select("c", "g", "id", F.lit(1).alias("member"), "text")
+    wanted = _texts_of(texts, pairs.select(F.col("a").alias("id")))
+    members = dealt.join(wanted, F.col("a") == F.col("id")).select("c", "g", "id", F.lit(1).alias("member"), "text")
     centres = dealt.select("c", "g").distinct()
-    centres = centres.join(texts, centres["c"] == texts["id"]).select("c", "g", "id", F.lit(0).alias("member"), "text")
+    wanted = _texts_of(texts, pairs.select(F.col("c").alias("id")))
+    centres = centres.join(wanted, F.col("c") == F.col("id")).select("c", "g", "id", F.lit(0).alias("member"), "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, own = None, []
@@ -299,8 +313,8 @@ def _crossing(rows: DataFrame, texts: DataFrame, similarity: float, words: int,
             found = list(one.values())
         return pd.DataFrame(found, columns=["a", "c"], dtype="int64")
 
-    nodes = _by_group(dealt, keys, open_nodes, schema)
-    nodes = nodes.join(texts, nodes["node"] == texts["id"]).drop("id")
+    nodes = materialize(_by_group(dealt, keys, open_nodes, schema))
+    nodes = nodes.join(_texts_of(texts, nodes.select(F.col("node").alias("id"))), F.col("node") == F.col("id")).drop("id")
     return _by_group(nodes, keys, settle, "a long, c long").distinct()
 
 
