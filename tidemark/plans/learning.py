@@ -132,3 +132,84 @@ def load_records(spark, d):
     table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("title"), F.concat(F.lit('a "b"\n'), "props").alias("selftext")).write.option("header", True).option("escape", '"').csv(path)
     df = records.load_records(spark, path, "id long, title string, selftext string")
     return df.select("id", "title")
+
+
+@query()
+def train_single_lr(spark, d):
+    """The logistic model alone, by its own entry point: best configuration, refit on all training rows."""
+    _, (t,) = _train(spark, d, "logistic")
+    return model.training_summary(spark, [t]).drop("seconds")
+
+
+@query()
+def refit_best(spark, d):
+    """A fixed configuration refitted on all training rows; the last fold scored for threshold tuning, and the threshold."""
+    train = model.temporal_folds(features.partition_filter(_dataset(spark, d), "train")).persist()
+    done = model.score(model.fit_one("logistic", GRIDS["logistic"][0], train), train.where(F.col("fold") == model.FOLDS - 1))
+    return evaluate.optimal_threshold(evaluate.threshold_curve(done))
+
+
+@query()
+def train_all(spark, d):
+    """Three models trained, saved with their thresholds, and the saved metadata read back."""
+    _, trained = _train(spark, d, "logistic", "forest", "boosted")
+    path = _folder(spark)
+    model.save(trained, path)
+    return spark.read.schema("model string, threshold double").json(f"{path}/*/meta")
+
+
+@query()
+def predict(spark, d):
+    """y, pred and prob on the test part at the tuned threshold."""
+    df, (t,) = _train(spark, d, "forest")
+    return model.predict(t, df, "test", t.threshold)
+
+
+@query(upto("f") + "SELECT train_size, test_size, round(mu_volume, 6) AS mu_volume FROM f")
+def write_summary(spark, d):
+    path = _folder(spark)
+    records.write_summary(label.fit_stats(label.temporal_split(label.through_sentiment(mentions_ev(spark, d)))), path)
+    return spark.read.json(path).select("train_size", "test_size", r6("mu_volume", "mu_volume"))
+
+
+@query("SELECT count(*) AS n_runs, CAST(sum(n) AS BIGINT) AS n_rows FROM (SELECT count(*) AS n FROM events UNION ALL SELECT count(*) FROM orders)")
+def run_log_append(spark, d):
+    """Two runs appended one after the other."""
+    path = _folder(spark)
+    for k, name in enumerate(("events", "orders")):
+        n = table(spark, d, name).count()
+        records.append_run(spark, path, run_id=str(k), pipeline=name, timestamp="", git_sha="", config={}, outputs=[], summary={"n_rows": n}, notes=None)
+    return records.read_runs(spark, path).agg(F.count("*").alias("n_runs"), F.sum(F.col("summary")["n_rows"].cast("long")).alias("n_rows"))
+
+
+@query("SELECT true AS ordered, count(*) AS n_rows FROM events")
+def check_chronological(spark, d):
+    """Rows in order of the global rank never step back in time: the largest second of each rank block is at most the next one's smallest."""
+    ranked = model._ranked(mentions_ev(spark, d), F.col("t"))
+    blocks = ranked.groupBy(F.floor(F.col("_rank") / 100_000).alias("b")).agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n"))
+    from pyspark.sql import Window
+
+    after = F.lead("lo").over(Window.orderBy("b"))  # a row for each 100,000
+    return blocks.withColumn("fine", F.coalesce(F.col("hi") <= after, F.lit(True))).agg(F.min("fine").alias("ordered"), F.sum("n").alias("n_rows"))
+
+
+@query("SELECT 'ts' AS date, 'none' AS sentiment, 'value' AS engagement, count(*) AS n_rows FROM events")
+def detect_columns(spark, d):
+    from ..operators.assess import detect_columns as detect
+
+    df = table(spark, d, "events")
+    found = detect(df)
+    return df.agg(F.lit(found["date"]).alias("date"), F.lit(found["sentiment"] or "none").alias("sentiment"), F.lit(",".join(found["engagement"])).alias("engagement"), F.count("*").alias("n_rows"))
+
+
+@query("SELECT count(*) AS n_rows FROM events")
+def require_columns(spark, d):
+    """A stage that lacks a column says so before any work; one that has all goes on."""
+    from ..functions.columns import require_columns as require
+
+    df = table(spark, d, "events")
+    try:
+        require(df, "event_id", "no_such_column", stage="a stage")
+    except ValueError:
+        return require(df, "event_id", "ts").agg(F.count("*").alias("n_rows"))
+    raise AssertionError("a lacking column went unnoticed")

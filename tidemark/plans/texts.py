@@ -188,3 +188,14 @@ def known_entity_extract(spark, d):
 @query(f"SELECT doc_id AS id, coalesce({TAGS}[1], list_filter({WHOLE}, lambda x: list_contains({ARRAY(KNOWN)}, x))[1], 'UNKNOWN') AS entity FROM documents")
 def first_entity(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), C.first_entity(F.coalesce("text", F.lit("")), KNOWN).alias("entity"))
+
+
+@query(f"WITH {POSTS}, {tokens_sql(LEXICON)}, {SUMMED} SELECT id, round(polarity, 6) AS polarity FROM pl")
+def backend_select(spark, d):
+    """An unknown name falls back to the default scorer, with a warning."""
+    import warnings
+
+    with warnings.catch_warnings(record=True):
+        warnings.simplefilter("always")
+        scorer = S.backend("no such backend")
+    return scorer(posts_doc(spark, d), lexicon(spark), _text()).select("id", r6("polarity", "polarity"))
