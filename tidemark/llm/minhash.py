@@ -68,8 +68,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
-    """For each text the sorted 64-bit hashes of its distinct shingles."""
+def shingle_sets(texts: list[str | None], words: int, chunk: int = 100) -> list[np.ndarray]:
+    """For each text the sorted 64-bit hashes of its distinct shingles; a chunk's words are in memory at a time."""
+    return [s for at in range(0, len(texts), chunk) for s in _shingle_sets(texts[at : at + chunk], words)]
+
+
+def _shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     split = [(x or "").encode("utf-8", "surrogatepass").lower().split() for x in texts]
     if len(_words) > WORD_CACHE:
         _words.clear()
