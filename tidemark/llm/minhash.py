@@ -34,7 +34,7 @@ from .shared import connected_components, discard, materialize
 
 #: MinHash samples, bits of the odd sketch, samples in a band.
 SAMPLES, BITS, ROWS = 256, 512, 4
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 #: Ids that are broadcast to filter a scan of texts: at most so many longs.
 MOST_SENT = 4_000_000
 _words: dict[bytes, int] = {}

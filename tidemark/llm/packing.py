@@ -40,7 +40,7 @@ class Tokens:
     with other white space at a word's border go to it whole.
     """
 
-    def __init__(self, path: str, end_id: int = 0, cache: int = 1_000_000):
+    def __init__(self, path: str, end_id: int = 0, cache: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
