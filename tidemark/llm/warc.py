@@ -46,7 +46,8 @@ COLUMNS = (
 def plain_text(html: Column) -> Column:
     out = F.coalesce(html, F.lit(""))
     for pattern, new in HTML_STEPS:
-        out = F.regexp_replace(out, pattern, new)
+        # entities are plain texts, which need no matcher
+        out = F.replace(out, F.lit(pattern), F.lit(new)) if pattern.startswith("&") else F.regexp_replace(out, pattern, new)
     return out
 
 
