@@ -44,9 +44,8 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records by their digests; the texts themselves are what ``warc.write_files`` writes."""
-    records = warc.derive(warc.responses_from_pages(_table(spark, sf_dir, "pages")))
-    return records.drop("block", "source_headers", "record_date")
+    """The whole records, with their blocks, dates and source headers."""
+    return warc.derive(warc.responses_from_pages(_table(spark, sf_dir, "pages")))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
