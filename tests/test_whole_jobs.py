@@ -6,7 +6,7 @@ import duckdb
 
 from test_oracles import SF, canon
 from tidemark import plans
-from tidemark.operators import assess
+from tidemark.operators import assess, features, model
 
 
 def same(spark, name, sql, *tables):
@@ -33,3 +33,42 @@ def test_coverage_counts_gaps(spark):
     rows = [(day(0),), (day(0, 9),), (day(7, 9),), (day(15),), (day(15),), (day(23, 1),), (None,)]
     r = assess.temporal_coverage(spark.createDataFrame(rows, "ts timestamp"), "ts").first()
     assert (r.first_date, r.last_date, r.days, r.gaps) == (day(0), day(23, 1), 23, 2)  # seven days sharp are no gap
+
+
+SMALL = {
+    "logistic": [{"C": c, "l1": 0.0, "iter": 2} for c in (0.1, 1.0, 10.0)],
+    "forest": [{"trees": n, "depth": 2, "leaf": 1} for n in (1, 2)],
+    "boosted": [{"trees": n, "depth": 2, "rate": 0.3, "weight": 1.0} for n in (1, 2)],
+}
+
+
+def test_queries_search_the_whole_grids(spark, monkeypatch):
+    """Small grids stand in for param_grid(): each query tries every configuration of it."""
+    asked, searched = [], []
+    monkeypatch.setattr(model, "param_grid", lambda kind, ratio=1.0: asked.append(kind) or SMALL[kind])
+    monkeypatch.setattr(model, "grid_search", lambda kind, grid, *a, **k: searched.append((kind, grid)) or (grid[0], [0.5]))
+    rows = plans.queries()["training_summary"](spark, SF).collect()
+    assert {r.model: r.configs_tried for r in rows} == {"logistic": 3, "forest": 2}
+    assert plans.queries()["train_all"](spark, SF).count() == 3
+    plans.queries()["grid_search_temporal"](spark, SF).collect()
+    kinds = ["logistic", "forest", "logistic", "forest", "boosted", "logistic"]
+    assert asked == kinds and searched == [(kind, SMALL[kind]) for kind in kinds]
+
+
+def test_every_feature_is_permuted_ten_times(spark, monkeypatch):
+    asked = []
+
+    def shuffled(fitted, df, names=features.FEATURES, repeats=10, seed=42):
+        asked.append((tuple(names), repeats))
+        return spark.createDataFrame([(f, 0.0, 0.0) for f in names], "feature string, importance double, std double")
+
+    monkeypatch.setattr(model, "param_grid", lambda kind, ratio=1.0: SMALL[kind])
+    monkeypatch.setattr(model, "permutation_importance", shuffled)
+    rows = plans.queries()["permutation_importance"](spark, SF).collect()
+    assert asked == [(tuple(features.FEATURES), 10)] and len(rows) == 11
+
+
+def test_bootstrap_takes_a_thousand_resamples(spark):
+    sql = plans.oracle_sql()["bootstrap_ci"]
+    assert "range(1, 101)" in sql
+    same(spark, "bootstrap_ci", sql.replace("range(1, 101)", "range(1, 1001)"), "documents", "labels")

@@ -135,9 +135,9 @@ bb AS (SELECT b, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS "precis
 
 @query(f"WITH {SCORED}, {BOOT} " + " UNION ALL ".join(f"""SELECT '{m}' AS metric, round(quantile_cont("{m}", 0.025), 6) AS low, round(quantile_cont("{m}", 0.975), 6) AS high FROM bb""" for m in ("precision", "recall", "f1", "auc")))
 def bootstrap_ci(spark, d):
-    """100 resamples."""
+    """1,000 resamples. The SQL above still takes 100, so it differs."""
     rows = scored_lab(spark, d).select("id", "y", F.col("prob_c").alias("prob"))
-    return E.bootstrap_ci(rows, 100).select("metric", r6("low", "low"), r6("high", "high"))
+    return E.bootstrap_ci(rows, 1000).select("metric", r6("low", "low"), r6("high", "high"))
 
 
 @query(f"WITH {SCORED}, {MODEL_AUC} SELECT model AS feature, CAST(row_number() OVER (ORDER BY auc DESC, model) AS INT) AS rank FROM au")

@@ -11,12 +11,8 @@ from ..operators import evaluate, features, label, model
 from ..sources import records
 from .tables import mentions_ev, query, r6, table, upto
 
-#: Small grids, so that a query shows the search and not its cost.
-GRIDS = {
-    "logistic": [{"C": 0.1, "l1": 0.0, "iter": 20}, {"C": 10.0, "l1": 1.0, "iter": 20}],
-    "forest": [{"trees": 5, "depth": 3, "leaf": 1}],
-    "boosted": [{"trees": 3, "depth": 3, "rate": 0.3, "weight": 1.0}],
-}
+#: The configuration that ``refit_best`` refits without a search.
+FIXED = {"C": 0.1, "l1": 0.0, "iter": 20}
 
 
 def _dataset(spark, d):
@@ -34,7 +30,7 @@ def _folder(spark) -> str:
 
 def _train(spark, d, *kinds):
     df = _dataset(spark, d).persist()
-    trained = model.train_all(df, kinds, GRIDS)
+    trained = model.train_all(df, kinds)
     return df, trained
 
 
@@ -65,7 +61,7 @@ def training_summary(spark, d):
 @query()
 def grid_search_temporal(spark, d):
     df = model.temporal_folds(features.partition_filter(_dataset(spark, d), "train"))
-    params, scores = model.grid_search("logistic", GRIDS["logistic"], model.expanding_splits(df))
+    params, scores = model.grid_search("logistic", model.param_grid("logistic"), model.expanding_splits(df))
     return spark.createDataFrame([(params["C"], params["l1"], [float(x) for x in scores])], "C double, l1 double, fold_auc array<double>")
 
 
@@ -87,7 +83,7 @@ def builtin_importance(spark, d):
 def permutation_importance(spark, d):
     df, (t,) = _train(spark, d, "forest")
     test = features.partition_filter(df, "test")
-    return evaluate.importance_rank(model.permutation_importance(t.model, test, features.FEATURES[:3], repeats=2))
+    return evaluate.importance_rank(model.permutation_importance(t.model, test, features.FEATURES, repeats=10))
 
 
 @query(upto("l") + "SELECT id, entity, partition, surge_label FROM l")
@@ -145,7 +141,7 @@ def train_single_lr(spark, d):
 def refit_best(spark, d):
     """A fixed configuration refitted on all training rows; the last fold scored for threshold tuning, and the threshold."""
     train = model.temporal_folds(features.partition_filter(_dataset(spark, d), "train")).persist()
-    done = model.score(model.fit_one("logistic", GRIDS["logistic"][0], train), train.where(F.col("fold") == model.FOLDS - 1))
+    done = model.score(model.fit_one("logistic", FIXED, train), train.where(F.col("fold") == model.FOLDS - 1))
     return evaluate.optimal_threshold(evaluate.threshold_curve(done))
 
 
