@@ -1,13 +1,15 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, each sentence is normalised, and known sentences are replaced
-by their identifiers. Licences are rules over the identifiers' order: a rule is a list of
+A text is normalised and cut into sentences, and known sentences are replaced by their
+identifiers. Licences are rules over the identifiers' order: a rule is a list of
 identifiers that must follow one another, and an earlier rule in the list claims what it
 matches before later ones see it. All of it is column expressions over one row at a time.
 
 Normalised: A-Z lower-cased, everything but letters, digits, ``.``, ``+`` and ``-`` made a
-blank, blanks collapsed, ends stripped of blanks and ``.``. Sentences end at line ends and
-after ``.``, ``!`` or ``?`` before white space.
+blank, blanks collapsed, ends of lines stripped of blanks and ``.``. Sentences end at blank
+lines and after ``.``, ``!`` or ``?`` before white space. A single line end is a blank within
+a known sentence, and may also begin or end one, so wrapped licences and notices on lines
+of their own both count; of several known sentences from one place the longest counts.
 
 Defined results: null, empty and licence-free texts have no sentences and no licences
 (empty strings, n_sentences 0); the same rule matched twice counts twice in ``n_rules`` and
@@ -17,6 +19,7 @@ again; an empty table gives an empty table; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -66,13 +69,66 @@ RULES = (
     ("CC-BY-4.0", ("CC-BY-4-NOTICE",)),
     ("proprietary", ("ALL-RIGHTS-RESERVED",)),
 )
+#: Whole sentences of the licences' own texts, besides those above, which notices and the SQL use.
+FULL_SENTENCES = {
+    "mit license": "MIT-NOTICE",
+    "the mit license": "MIT-NOTICE",
+    "the mit license mit": "MIT-NOTICE",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MIT-GRANT",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "NO-WARRANTY",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "MIT-NO-LIABILITY",
+    "apache license version 2.0 january 2004": "APACHE-2-NOTICE",
+    "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license": "APACHE-2-GRANT",
+    "you may obtain a copy of the license at http www.apache.org licenses license-2.0": "APACHE-2-COPY",
+    "you may obtain a copy of the license at https www.apache.org licenses license-2.0": "APACHE-2-COPY",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "APACHE-2-AS-IS",
+    "see the license for the specific language governing permissions and limitations under the license": "APACHE-2-SEE",
+    "gnu general public license version 3 29 june 2007": "GPL-3-NOTICE",
+    "gnu general public license version 2 june 1991": "GPL-2-NOTICE",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GPL-3-OR-LATER-GRANT",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "GPL-2-OR-LATER-GRANT",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license": "GPL-3-GRANT",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license": "GPL-2-GRANT",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BSD-SOURCE",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BSD-BINARY",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSD-NAMES",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BSD-DISCLAIMER",
+}
+#: Rules for these, before the others.
+FULL_RULES = (
+    ("MIT", ("MIT-NOTICE", "MIT-GRANT", "MIT-NOTICE-KEPT", "NO-WARRANTY", "MIT-NO-LIABILITY")),
+    ("MIT", ("MIT-GRANT", "MIT-NOTICE-KEPT", "NO-WARRANTY", "MIT-NO-LIABILITY")),
+    ("Apache-2.0", ("APACHE-2-GRANT", "APACHE-2-COPY", "APACHE-2-AS-IS", "APACHE-2-SEE")),
+    ("Apache-2.0", ("APACHE-2-GRANT", "APACHE-2-COPY", "APACHE-2-AS-IS")),
+    ("Apache-2.0", ("APACHE-2-NOTICE", "APACHE-2-COMPLIANCE", "APACHE-2-COPY", "APACHE-2-AS-IS", "APACHE-2-SEE")),
+    *(
+        (name, (*first, "BSD-CONDITIONS", "BSD-SOURCE", "BSD-BINARY", *names, *last))
+        for first in (("ALL-RIGHTS-RESERVED",), ())
+        for name, names in (("BSD-3-Clause", ("BSD-NAMES",)), ("BSD-2-Clause", ()))
+        for last in (("BSD-DISCLAIMER",), ())
+    ),
+    ("GPL-3.0-or-later", ("GPL-3-OR-LATER-GRANT",)),
+    ("GPL-2.0-or-later", ("GPL-2-OR-LATER-GRANT",)),
+    ("GPL-3.0", ("GPL-3-GRANT",)),
+    ("GPL-2.0", ("GPL-2-GRANT",)),
+)
+#: The SQL's sentence ends.
 BREAK = r"\n+|[.!?]+[\s]+"
 OTHER = r"[^\p{L}\p{N}.+-]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def normalised(sentence: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.translate(sentence, UPPER, LOWER), OTHER, " "), r"^[ .]+|[ .]+$", "")
+def normalised(text: Column) -> Column:
+    """The text with a line feed before and after it, at single line ends, and two at sentence ends."""
+    out = F.regexp_replace(F.translate(text, UPPER, LOWER), r"(?:\G|(?<![.!?]))[.!?]++\s+|\n\s*\n", "\n\n")
+    out = F.concat(F.lit("\n"), F.regexp_replace(out, r"[^\p{L}\p{N}.\n+-]+", " "), F.lit("\n"))
+    return F.regexp_replace(out, r"(?:\G|(?<![ .]))[ .]*+\n[ .]*+", "\n")
+
+
+def _pattern(known: dict[str, str]) -> str:
+    """The known sentences between line ends, the longest first."""
+    words = (re.sub(r"[.+]", r"\\\g<0>", k).replace(" ", r"[ \n]") for k in sorted(known, key=lambda k: (-len(k), k)))
+    return r"(?<=\n)(?:" + "|".join(words) + r")(?=\n)"
 
 
 def _marked(ids: Column, rules: tuple) -> Column:
@@ -81,14 +137,12 @@ def _marked(ids: Column, rules: tuple) -> Column:
     return reduce(lambda x, kr: F.replace(x, F.lit("".join(f";{i};" for i in kr[1][1])), F.lit(f"#{kr[0]}#")), enumerate(rules), line)
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: dict[str, str] | None = None, rules: tuple = RULES) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: dict[str, str] | None = None, rules: tuple = FULL_RULES + RULES) -> DataFrame:
     """Per row: key, n_sentences (known ones), sentence_ids (in order), n_rules, licences (sorted, distinct); comma-joined."""
-    known = SENTENCES if sentences is None else sentences
-    found = F.transform(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), BREAK, -1), normalised)
-    # a set test in the filter, so that only the few known sentences meet the map
-    found = F.filter(found, lambda s: s.isin(list(known)))
+    known = SENTENCES | FULL_SENTENCES if sentences is None else sentences
+    found = F.regexp_extract_all(normalised(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.lit(_pattern(known)), F.lit(0))
     ids = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    rows = docs.select(key, F.transform(found, lambda s: ids[s]).alias("ids"))
+    rows = docs.select(key, F.transform(found, lambda s: ids[F.translate(s, "\n", " ")]).alias("ids"))
     rows = rows.withColumn("hits", F.regexp_extract_all(_marked(F.col("ids"), rules), F.lit("#([0-9]+)#"), F.lit(1)))
     names = F.array(*[F.lit(name) for name, _ in rules])
     named = F.transform("hits", lambda k: F.get(names, k.cast("int")))
@@ -102,6 +156,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: di
 
 
 def oracle() -> str:
+    """SQL for notices and sentences on lines of their own; it knows neither FULL_SENTENCES nor wrapped ones."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     marked = "line"
     for k, (_, ids) in enumerate(RULES):
