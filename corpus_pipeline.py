@@ -25,10 +25,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    # rows of one id are one document: of repeated rows one stays
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group stays: the one with the smallest id, null ids last.
+
+    Rows of one id and text are one document. Different texts under one id, or without an id, are documents of their own."""
+    rows = minhash.numbered(docs, "doc_id", "text")
+    kept = minhash.node_duplicates(rows).where("kept").select(F.col("node").alias("_node")).distinct()
+    return rows.join(kept, "_node", "left_semi").dropDuplicates(["_node"]).select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,8 +15,10 @@ already connected, so components are those of all candidate pairs.
 
 Defined results: null or empty text, or one without words, has n_shingles 0, is its own
 component and is kept; with fewer words than a shingle has, the whole sequence is one
-shingle; texts of any length are read whole; rows that share a key count as one node (each
-row is returned); an empty table gives an empty table; further columns are ignored.
+shingle; texts of any length are read whole; rows of one key and text count as one node (each
+row is returned); rows without a key, and different texts under one key, are nodes of their
+own by ``numbered``, null keys last in order; an empty table gives an empty table; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -322,15 +324,41 @@ def _crossing(rows: DataFrame, texts: DataFrame, similarity: float, words: int,
     return _by_group(nodes, keys, settle, "a long, c long").distinct()
 
 
+def numbered(docs: DataFrame, key: str, text: str, number: str = "_node") -> DataFrame:
+    """Adds ``number``: one for each different pair of key and text, in order of the keys, null ones last.
+
+    The key itself, where each is there and has one text."""
+    digest = F.xxhash64(F.col(text))
+    texts = docs.groupBy(key).agg(F.min(digest).alias("lo"), F.max(digest).alias("hi"))
+    if texts.where(F.col(key).isNull() | (F.col("lo") < F.col("hi"))).isEmpty():
+        return docs.withColumn(number, F.col(key).cast("long"))
+    order = (F.col("_key").asc_nulls_last(), F.col("_digest"))
+    pairs = docs.select(F.col(key).alias("_key"), digest.alias("_digest")).distinct().repartitionByRange(*order)
+    pairs = materialize(pairs.sortWithinPartitions(*order).withColumn(number, F.monotonically_increasing_id()))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (digest == F.col("_digest"))
+    return materialize(docs.join(pairs, same).drop("_key", "_digest"))
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80
 ) -> DataFrame:
-    """Per row: key, n_shingles, component_id (smallest key reachable), kept (key = component_id).
+    """Per row: key, n_shingles, component_id (smallest key reachable), kept (the row's node is its component's first).
 
     Links: 100 * intersection >= percent * union of the full shingle sets. ``key`` is an integer column.
     """
+    docs = numbered(docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text")), key, "text")
+    found = node_duplicates(docs.select("_node", "text"), words, percent)
+    if not hasattr(docs, "_tidemark_path"):
+        return found.select(F.col("node").alias(key), "n_shingles", "component_id", "kept")
+    keys = docs.select(F.col("_node").alias("node"), key).distinct()
+    firsts = keys.select(F.col("node").alias("component_id"), F.col(key).alias("_first"))
+    return found.join(keys, "node").join(firsts, "component_id").select(key, "n_shingles", F.col("_first").alias("component_id"), "kept")
+
+
+def node_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of (_node, text): node, n_shingles, component_id (smallest node reachable), kept (node = component_id); a node has one text."""
     similarity = percent / 100
-    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    docs = docs.select(F.col("_node").alias("id"), "text")
     prints = materialize(fingerprint(docs, "id", "text", words, bands_for(similarity)))
     filled = prints.where("n_shingles > 0")
     firsts = filled.groupBy("d1", "d2").agg(F.min("id").alias("node"))
@@ -362,6 +390,6 @@ def near_duplicates(
 
     placed = prints.join(firsts, ["d1", "d2"], "left").join(found, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("id"))
-    return placed.select(F.col("id").alias(key), "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col(key) == F.col("component_id")
+    return placed.select(F.col("id").alias("node"), "n_shingles", component.alias("component_id")).withColumn(
+        "kept", F.col("node") == F.col("component_id")
     )
