@@ -91,10 +91,9 @@ def check_pieces(rows, want, window=1024):
 
 def test_packing(spark):
     tk = Tokenizer.from_file(JSON)
-    tk.encode_special_tokens = True
     r = random.Random(5)
     rows = [(k, x, k) for k, x in enumerate(texts(300, 7))]
-    rows += [(900, None, 1), (901, "", 1), (902, "the end of it all\n" * 3000, 1)]
+    rows += [(900, None, 1), (901, "", 1), (902, "the end of it all\n" * 3000, 1), (903, "a <|endoftext|> b<|endoftext|><|endo", 1), (904, "a" + " " * 150_000 + "b", 1)]
     rows += [(1000 + k, " ".join(r.choice(["the", "of", "Éa", "x1."]) for _ in range(r.randint(1, 900))), 0) for k in range(80)]
     df = spark.createDataFrame(rows, "doc_id long, text string, length long").repartition(3)
     want = {k: [*tk.encode(x or "", add_special_tokens=False).ids, 0] for k, x, _ in rows}
@@ -103,3 +102,30 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), JSON).collect() == []
     with_ids = packing.pack(df, JSON, with_ids=True).collect()
     assert sum(len(x.ids) for x in with_ids) == sum(map(len, want.values()))
+
+
+def test_special_strings_are_their_tokens(spark):
+    tk = Tokenizer.from_file(JSON)
+    own = packing.Tokens(JSON)
+    assert own.core is not None
+    ids = lambda x, t=own: np.frombuffer(t.ids(x), "<u4").tolist()
+    assert ids("a <|endoftext|> b") == [64, 220, 50256, 275, 0]
+    plain = packing.Tokens(JSON, plain_specials=True)
+    tk.encode_special_tokens = True
+    assert ids("a <|endoftext|> b", plain) == [*tk.encode("a <|endoftext|> b", add_special_tokens=False).ids, 0]
+
+
+def test_fast_ids_equal_the_library_on_all_characters():
+    """Every 37th character and all below U+3000, each among letters, digits, blanks and line ends."""
+    tk, own = Tokenizer.from_file(JSON), packing.Tokens(JSON)
+    chars = [c for c in [*range(0x3000), *range(0x3000, 0x110000, 37)] if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(chars), 4096):
+        x = "".join(f"a{chr(c)}1{chr(c)} {chr(c)}{chr(c)}b.{chr(c)}\n{chr(c)}" for c in chars[at : at + 4096])
+        assert own.ids(x) == np.array([*tk.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes()
+    for x in texts(4000, 11):
+        assert own.ids(x) == np.array([*tk.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes()
+
+
+def test_keys_beside_nulls_stay_whole(spark):
+    df = spark.createDataFrame([(2**60 + 1, "a"), (2**60 + 3, "b"), (None, "c")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in packing.pack(df, JSON).collect()} == {2**60 + 1, 2**60 + 3, None}
