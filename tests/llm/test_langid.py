@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid
@@ -42,3 +44,31 @@ def test_few_classes(spark):
     none = langid.fit(df.limit(0))
     assert langid.predict(df, none).first().lang_pred == "und"
     assert langid.predict(df.limit(0), one).collect() == []
+
+
+def test_numerals_are_no_letters_and_columns_pass(spark):
+    one = langid.fit(spark.createDataFrame([("abc", "xx")], "text string, lang string"))
+    texts = ["²", "①②", "½", "Ⅷ", "_", "ª", "字", "7a"]
+    df = spark.createDataFrame([(x, 7, "k", True) for x in texts], "text string, score int, _lang string, _LANG2 boolean")
+    got = langid.predict(df, one)
+    assert got.columns == ["text", "score", "_lang", "_LANG2", "lang_pred"]
+    assert {r.text: r.lang_pred for r in got.collect()} == dict.fromkeys(texts[:5], "und") | dict.fromkeys(texts[5:], "xx")
+    assert {r._lang for r in got.collect()} == {"k"}
+
+
+def test_the_sample_is_bounded_under_copies(spark):
+    data = rows(800) + [(k, "the of and to", "en") for k in range(5000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    languages, sample = langid.sampled(df, "text", "lang", 60, 10)
+    counts = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert languages == sorted(WORDS) and all(30 <= n <= 100 for n in counts.values())
+    with pytest.raises(ValueError):
+        langid.sampled(df, "text", "lang", 60, 3)
+
+
+def test_machine_separates():
+    r = np.random.default_rng(1)
+    x = r.standard_normal((300, 20))
+    y = np.where(x @ r.standard_normal(20) + 0.3 > 0, 1.0, -1.0)
+    w, b = langid.support_vector_machine(x, y)
+    assert (np.sign(x @ w + b) == y).mean() > 0.97

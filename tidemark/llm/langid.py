@@ -5,13 +5,16 @@ with word borders), as square roots of their shares. Linear support vector machi
 for each two families, vote for the family; those for each two languages of that family
 vote for the language. Margins break ties and give the score through a logistic curve.
 
-Training rows are a bounded sample: about ``per_language`` rows of each language, chosen by
-a hash of the text. Prediction reads whole texts and nothing but the text.
-
-Defined results: null text, or one without a letter, is ``und`` with score 0; a language
-without a family in FAMILIES is a family of its own; with one learned language everything
-with a letter gets it (score 1), with none it is ``und``; texts of any length are read
-whole; repeated rows give the same row again; an empty table gives an empty table.
+Training texts are a bounded sample: about ``per_language`` different texts of each language,
+chosen by a hash of the text, however often a text is repeated. Each machine is fitted in a
+task of its own on the sample's rows of its two classes. Prediction reads whole texts and
+nothing but the text.
+
+Defined results: null text, or one without a letter (Unicode category L), is ``und`` with
+score 0; a language without a family in FAMILIES is a family of its own; with one learned
+language everything with a letter gets it (score 1), with none it is ``und``; texts of any
+length are read whole; repeated rows give the same row again; an empty table gives an empty
+table; ``predict`` keeps further columns, but replaces columns named like its own two.
 """
 
 from __future__ import annotations
@@ -23,12 +26,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, materialize
+from .shared import fresh
 
 #: Families of languages by ISO 639-1 code; a parameter's default.
 FAMILIES = {
@@ -40,7 +42,7 @@ FAMILIES = {
     "turkic": ("tr", "az", "kk", "uz"),
 }
 BUCKETS = 4096
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 _DROP = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
 
@@ -92,71 +94,105 @@ class Model:
 
 
 def _feature_column(text: Column) -> Column:
-    @F.pandas_udf("array<double>")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Places and values of the features that are not zero."""
+
+    @F.pandas_udf("at array<int>, value array<float>")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            yield batch.map(features)
+            found = [features(x) for x in batch]
+            at = [np.flatnonzero(x) for x in found]
+            yield pd.DataFrame({"at": at, "value": [x[k].astype(np.float32) for x, k in zip(found, at, strict=True)]})
 
     return of(text)
 
 
+def support_vector_machine(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a linear machine with squared hinge loss; y is -1 or 1.
+
+    Dual coordinate descent (Hsieh and others, 2008), each class having the same weight in all."""
+    cost = c * len(y) / (2 * np.where(y > 0, max((y > 0).sum(), 1), max((y < 0).sum(), 1)))
+    wide = np.hstack([x, np.ones((len(x), 1))])
+    norm = np.einsum("ij,ij->i", wide, wide) + 1 / (2 * cost)
+    alpha, w = np.zeros(len(y)), np.zeros(wide.shape[1])
+    order = np.random.default_rng(3)
+    for _ in range(rounds):
+        for i in order.permutation(len(y)):
+            slope = y[i] * (w @ wide[i]) - 1 + alpha[i] / (2 * cost[i])
+            new = max(alpha[i] - slope / norm[i], 0.0)
+            if new != alpha[i]:
+                w += (new - alpha[i]) * y[i] * wide[i]
+                alpha[i] = new
+    return w[:-1], float(w[-1])
+
+
+def sampled(labelled: DataFrame, text: str, lang: str, per_language: int, most_languages: int) -> tuple[list[str], DataFrame]:
+    """The languages, and about ``per_language`` different texts (lang, text, h) of each."""
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).limit(most_languages + 1).collect()
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], per_language / r["n"]) for r in counts], "lang string, share double")
+    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 30)) / (1 << 30) < F.col("share"))
+    return sorted(r["lang"] for r in counts), chosen.dropDuplicates(["lang", "h"]).drop("share")
+
+
 def fit(
     labelled: DataFrame,
     text: str = "text",
     lang: str = "lang",
     per_language: int = 400,
     families: dict[str, tuple[str, ...]] = FAMILIES,
-    max_iter: int = 25,
-    reg: float = 1e-4,
+    most_languages: int = 1000,
 ) -> Model:
-    """Train on about ``per_language`` rows of each language (all, where there are fewer)."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return Model({}, {})
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30)
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, per_language / n)])
-    sample = rows.where(place < share[F.col("lang")])
-    sample = materialize(sample.repartition(4).select("lang", array_to_vector(_feature_column(F.col("text"))).alias("features")))
+    """Train on about ``per_language`` texts of each language (all, where there are fewer).
+
+    More than ``most_languages`` values of ``lang`` are an error: there is a machine for each two of a family."""
+    languages, sample = sampled(labelled, text, lang, per_language, most_languages)
     family_of = {k: name for name, own in families.items() for k in own}
     groups: dict[str, list[str]] = {}
-    for k in sorted(counts):
+    for k in languages:
         groups.setdefault(family_of.get(k, k), []).append(k)
-    named = F.create_map(*[F.lit(x) for name, own in groups.items() for k in own for x in (k, name)])
-
-    machines = {}
-
-    def train(label: Column, first: str, second: str) -> None:
-        data = sample.where(label.isin(first, second)).select("features", (label == second).cast("double").alias("label"))
-        data = data.persist()
-        try:
-            if data.select("label").distinct().count() == 2:
-                m = LinearSVC(maxIter=max_iter, regParam=reg, standardization=False).fit(data)
-                machines[first, second] = (m.coefficients.toArray(), float(m.intercept))
-            else:  # the sample has rows of one side only, or none
-                machines[first, second] = (np.zeros(BUCKETS), -1.0 if counts.get(first, 1) >= counts.get(second, 1) else 1.0)
-        finally:
-            data.unpersist()
-
-    for a, b in combinations(sorted(groups), 2):
-        train(named[F.col("lang")], a, b)
-    for own in groups.values():
-        for a, b in combinations(own, 2):
-            train(F.col("lang"), a, b)
-    discard(sample)
-    return Model(groups, machines)
-
-
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds lang_pred and score."""
+    pairs = [(a, b) for own in (sorted(groups), *groups.values()) for a, b in combinations(own, 2)]
+    if not pairs:
+        return Model(groups, {})
+    pair_no = {p: k for k, p in enumerate(pairs)}
+    named = {k: name for name, own in groups.items() for k in own}
+    # the machines that a language's rows train, and on which side
+    trains = {k: [(pair_no[p], 1 if own == p[1] else -1) for own in {k, named[k]} for p in pairs if own in p] for k in named}
+    trains = labelled.sparkSession.createDataFrame(list(trains.items()), "lang string, trains array<struct<pair:int,side:int>>")
+    sample = sample.withColumn("f", _feature_column(F.col("text"))).join(F.broadcast(trains), "lang").select("h", "f.*", F.explode("trains").alias("t"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h", "side"])
+        x = np.zeros((len(pdf), BUCKETS))
+        for row, at, value in zip(x, pdf["at"], pdf["value"], strict=True):
+            row[at] = value
+        w, bias = support_vector_machine(x, pdf["side"].to_numpy().astype(float))
+        return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "weights": [w.tobytes()], "bias": [bias]})
+
+    each = sample.select("h", "at", "value", "t.pair", "t.side")
+    fitted = {r["pair"]: (np.frombuffer(r["weights"]), r["bias"]) for r in each.groupBy("pair").applyInPandas(one, "pair int, weights binary, bias double").collect()}
+    # a pair of which the sample has no row says no more than that it is undecided
+    return Model(groups, {p: fitted.get(k, (np.zeros(BUCKETS), -1.0)) for p, k in pair_no.items()})
+
+
+def language_of(text: Column, model: Model) -> Column:
+    """A struct of lang_pred and score."""
 
     @F.pandas_udf("lang_pred string, score double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             yield pd.DataFrame(model.predict(batch.tolist()), columns=["lang_pred", "score"])
 
-    said = docs.withColumn("_lang", of(F.col(text).cast("string")))
-    return said.withColumns({"lang_pred": F.col("_lang.lang_pred"), "score": F.col("_lang.score")}).drop("_lang")
+    return of(text.cast("string"))
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Adds lang_pred and score."""
+    own = fresh(docs, "lang")
+    said = docs.withColumn(own, language_of(F.col(text), model))
+    return said.withColumns({"lang_pred": F.col(own)["lang_pred"], "score": F.col(own)["score"]}).drop(own)
 
 
 def held_out(key: Column) -> Column:

@@ -22,6 +22,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of its letters."""
+    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it again.
 
