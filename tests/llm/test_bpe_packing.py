@@ -65,6 +65,8 @@ def test_round_trip_rows(spark, library):
     assert bpe.round_trip(df.limit(0), RANKS, P.PATTERN).collect() == []
     back = bpe.decode(bpe.encode(df, RANKS, P.PATTERN), RANKS, P.PATTERN)
     assert all(bytes(r.decoded).decode() == (r.text or "") for r in back.collect())
+    with pytest.raises(ValueError):
+        bpe.encode(df.withColumnRenamed("n_tokens", "IDS"), RANKS, P.PATTERN)
 
 
 def check_pieces(rows, want, window=1024):

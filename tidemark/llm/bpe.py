@@ -241,8 +241,14 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
+def _vacant(df: DataFrame, name: str) -> None:
+    if name.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"the table has a column {name} already")
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Adds ``out``: array of the text's token ids."""
+    """Adds ``out``: array of the text's token ids. An input column of that name is an error."""
+    _vacant(docs, out)
 
     @F.pandas_udf("array<int>")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -254,7 +260,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds ``out``: the ids' bytes (null ids: null)."""
+    """Adds ``out``: the ids' bytes (null ids: null). An input column of that name is an error."""
+    _vacant(encoded, out)
 
     @F.pandas_udf("binary")
     def back(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
