@@ -10,6 +10,8 @@ Text: comments, scripts and styles go, block elements and line breaks end a line
 tags vanish, all named, decimal and hex entities are decoded (once, a no-break space as a
 blank), white space is collapsed.
 
+Tags are cut out by a scan that never goes back: a start without an end is looked for once.
+
 Defined results: a response without payload gives an empty conversion block; null ids and
 targets stay empty headers; white-space-only text is the empty block; texts of any length
 are kept whole; repeated responses give repeated derivatives; an empty table gives an
@@ -19,26 +21,23 @@ empty table; further columns of the input are ignored.
 from __future__ import annotations
 
 import html as html_entities
+import html.entities
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-#: In this order. The entities are the SQL's, which knows these six only; the operator decodes all of them in their place. Each pattern is read alike by Java and RE2.
+#: In this order, as patterns that RE2 reads; the operator does the same by scanning. ENTITIES stands for all entities.
+ENTITIES = "&"
 HTML_STEPS = (
     (r"(?s)<!--.*?-->", " "),
     (r"(?is)<script\b.*?</script\s*>", " "),
     (r"(?is)<style\b.*?</style\s*>", " "),
     (r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|title|head|body|blockquote|pre)\b[^>]*>", "\n"),
     (r"<[^>]*>", ""),
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&amp;", "&"),
+    (ENTITIES, ""),
     (r"[ \t\r\f]+", " "),
     (r" ?\n[ \n]*", "\n"),
     (r"^[ \n]+|[ \n]+$", ""),
@@ -57,21 +56,72 @@ def decode_entities(text: str) -> str:
     return ENTITY.sub(lambda m: html_entities.unescape(m[0]).replace("\xa0", " "), text) if "&" in text else text
 
 
-@F.pandas_udf(StringType())
-def _decoded(texts: pd.Series) -> pd.Series:
-    return texts.map(decode_entities)
+#: Starts and ends of what the first steps take out.
+SPANS = tuple(
+    (re.compile(begin, re.I | re.A), re.compile(end, re.I | re.A), new)
+    for begin, end, new in (
+        (r"<!--", r"-->", " "),
+        (r"<script\b", r"</script[ \t\r\n\f]*>", " "),
+        (r"<style\b", r"</style[ \t\r\n\f]*>", " "),
+        (r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|title|head|body|blockquote|pre)\b", ">", "\n"),
+        (r"<", r">", ""),
+    )
+)
+LANG = re.compile(r"""\blang[ \t\r\n\f]*=[ \t\r\n\f]*["']?([A-Za-z-]+)""", re.I | re.A)
+HREF = re.compile(r"\bhref\b", re.I | re.A)
+CLOSE = re.compile(">")
+
+
+def spans(text: str, begin: re.Pattern, end: re.Pattern):
+    """(start, stop) of stretches from ``begin`` to the first ``end`` behind it. One start without an end is the last one looked at."""
+    at = 0
+    while (a := begin.search(text, at)) and (z := end.search(text, a.end())):
+        yield a.start(), z.end()
+        at = z.end()
+
+
+def text_of(html: str) -> str:
+    """The page's text, in time linear in the page."""
+    for begin, end, new in SPANS:
+        if "<" not in html:
+            break
+        out, at = [], 0
+        for a, z in spans(html, begin, end):
+            out += (html[at:a], new)
+            at = z
+        html = "".join([*out, html[at:]])
+    html = re.sub(r"[ \t\r\f]+", " ", decode_entities(html))
+    return re.sub(r" ?\n[ \n]*", "\n", html).strip(" \n")
+
+
+def _tags(html: str, name: str):
+    """Texts of the start tags of that name, without the closing sign."""
+    for a, z in spans(html, re.compile(rf"<{name}\b", re.I | re.A), CLOSE):
+        yield html[a : z - 1], z
+
+
+def about(html: str) -> tuple[str, str, int]:
+    """Title, language of the first html tag that names one, number of links with an address."""
+    at = next((z for _, z in _tags(html, "title")), None)
+    stop = len(html) if at is None or (k := html.find("<", at)) < 0 else k
+    title = "" if at is None else html[at:stop].strip(" ")
+    lang = next((m[1] for tag, _ in _tags(html, "html") if (m := LANG.search(tag))), "")
+    return title, lang, sum(bool(HREF.search(tag)) for tag, _ in _tags(html, "a"))
+
+
+def _page(html: Column) -> Column:
+    """A struct of text, title, lang and links."""
+
+    @F.pandas_udf("text string, title string, lang string, links int")
+    def of(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in pages:
+            yield pd.DataFrame([(text_of(x), *about(x)) for x in batch], columns=["text", "title", "lang", "links"])
+
+    return of(F.coalesce(html, F.lit("")))
 
 
 def plain_text(html: Column) -> Column:
-    out = F.coalesce(html, F.lit(""))
-    steps = [x for x in HTML_STEPS if not x[0].startswith("&")]
-    tags = sum("<" in pattern for pattern, _ in steps)
-    for pattern, new in steps[:tags]:
-        out = F.regexp_replace(out, pattern, new)
-    out = _decoded(out)
-    for pattern, new in steps[tags:]:
-        out = F.regexp_replace(out, pattern, new)
-    return out
+    return _page(html)["text"]
 
 
 def uuid_of(*parts: Column) -> Column:
@@ -84,7 +134,11 @@ def digest_of(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block, 256))
 
 
-def responses_from_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", headers: str = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8") -> DataFrame:
+#: Date and headers given to pages of a table, which has none.
+PAGE_DATE, PAGE_HEADERS = "2024-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"
+
+
+def responses_from_pages(pages: DataFrame, date: str = PAGE_DATE, headers: str = PAGE_HEADERS) -> DataFrame:
     """Response records of a table of raw pages (page_id, url, html), which has no dates or headers of its own."""
     return pages.select(
         "page_id",
@@ -103,11 +157,8 @@ def derive(responses: DataFrame) -> DataFrame:
         "page_id", F.coalesce("record_id", F.lit("")).alias("refers_to"), F.coalesce("target_uri", F.lit("")).alias("target_uri"),
         "record_date", F.coalesce("source_headers", F.lit("")).alias("source_headers"),
         digest_of(payload).alias("payload_digest"), F.octet_length(payload).alias("payload_length"),
-        plain_text(F.col("payload")).alias("text"),
-        F.trim(F.regexp_extract(payload, r"(?is)<title\b[^>]*>([^<]*)", 1)).alias("title"),
-        F.regexp_extract(payload, r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", 1).alias("lang"),
-        F.size(F.regexp_extract_all(payload, F.lit(r"(?i)<a\b[^>]*\bhref\b"), F.lit(0))).alias("links"),
-    )
+        _page(payload).alias("page"),
+    ).select("*", "page.*")
     fields = F.concat(
         F.lit("title: "), "title", F.lit("\r\nlanguage: "), "lang", F.lit("\r\nlinks: "), F.col("links").cast("string"),
         F.lit("\r\npayload-length: "), F.col("payload_length").cast("string"), F.lit("\r\ntext-length: "), F.octet_length("text").cast("string"), F.lit("\r\n"),
@@ -122,14 +173,24 @@ def derive(responses: DataFrame) -> DataFrame:
     return rows.select(*COLUMNS)
 
 
+def _header(name: str) -> Column:
+    """A header's line; line ends in the value, which would begin another header, become blanks."""
+    return F.concat(F.lit(f"{name}: "), F.regexp_replace(F.coalesce(F.col(FIELDS[name]), F.lit("")), r"[\r\n]+", " "))
+
+
+#: Header lines of a record, in this order, and the columns that they carry.
+FIELDS = {
+    "WARC-Type": "record_type", "WARC-Record-ID": "record_id", "WARC-Refers-To": "refers_to", "WARC-Target-URI": "target_uri", "WARC-Date": "record_date",
+    "WARC-Block-Digest": "block_digest", "WARC-Payload-Digest": "payload_digest", "Content-Type": "content_type",
+}
+
+
 def record_text(records: DataFrame) -> DataFrame:
     """One column ``value``: the record as it stands in a file, without the two line ends that close it."""
     head = F.concat_ws(
-        "\r\n", F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), "record_type"), F.concat(F.lit("WARC-Record-ID: "), "record_id"),
-        F.concat(F.lit("WARC-Refers-To: "), "refers_to"), F.concat(F.lit("WARC-Target-URI: "), "target_uri"), F.concat(F.lit("WARC-Date: "), "record_date"),
-        F.concat(F.lit("WARC-Block-Digest: "), "block_digest"), F.concat(F.lit("WARC-Payload-Digest: "), "payload_digest"),
-        F.concat(F.lit("X-Source-Headers: "), F.regexp_replace("source_headers", r"\r\n", " | ")),
-        F.concat(F.lit("Content-Type: "), "content_type"), F.concat(F.lit("Content-Length: "), F.col("content_length").cast("string")),
+        "\r\n", F.lit("WARC/1.1"), *[_header(x) for x in FIELDS],
+        F.concat(F.lit("X-Source-Headers: "), F.regexp_replace(F.regexp_replace("source_headers", r"\r\n", " | "), r"[\r\n]+", " ")),
+        F.concat(F.lit("Content-Length: "), F.col("content_length").cast("string")),
     )
     return records.select(F.concat(head, F.lit("\r\n\r\n"), "block").alias("value"))
 
@@ -140,38 +201,87 @@ def write_files(records: DataFrame, path: str, compression: str = "none") -> Non
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files: headers (map by lower-cased name) and block.
+    """Records of WARC 1.0 and 1.1 files, gzip or plain: headers (map by lower-cased name), body (bytes) and block (the same as UTF-8 text).
 
-    Files are split where a record begins; a payload that holds ``\\r\\n\\r\\nWARC/1.1\\r\\n`` itself is cut there,
-    which ``complete`` (block as long as its Content-Length) tells.
+    Files are split where a record begins; a payload that holds an empty line and ``WARC/1.`` itself is cut there,
+    which ``complete`` (body as long as its Content-Length) tells. Bytes are kept as they are.
     """
-    raw = spark.read.option("lineSep", "WARC/1.1\r\n").text(path).where(F.col("value") != "")
-    cut = F.instr("value", "\r\n\r\n")
-    head, rest = F.expr("substring(value, 1, instr(value, '\r\n\r\n') - 1)"), F.expr("substring(value, instr(value, '\r\n\r\n') + 4)")
+    raw = spark.read.option("lineSep", "\r\n\r\nWARC/1.").text(path).where(F.col("value") != "")
+    # strings may hold any bytes: only cut and compared here, never matched by patterns
+    record = F.expr("substring(if(startswith(value, 'WARC/1.'), substring(value, 8), value), 4)")
+    rows = raw.select(record.alias("record")).withColumn("cut", F.instr("record", "\r\n\r\n")).where("cut > 0")
+    head = F.expr("substring(record, 1, cut - 1)")
+    rows = rows.select(head.alias("head"), F.expr("substring(record, cut + 4)").alias("rest"))
+    # the last record's closing line ends are still there
+    body = F.expr("if(endswith(rest, '\r\n\r\n'), substring(cast(rest AS binary), 1, octet_length(rest) - 4), cast(rest AS binary))")
+    head = F.col("head")
     pairs = F.transform(F.split(head, "\r\n"), lambda line: F.struct(F.lower(F.substring_index(line, ":", 1)).alias("k"), F.trim(F.regexp_replace(line, "^[^:]*:", "")).alias("v")))
-    rows = raw.where(cut > 0).select(F.map_from_entries(F.array_distinct(pairs)).alias("headers"), F.regexp_replace(rest, r"\r\n\r\n\z", "").alias("block"))
-    return rows.withColumn("complete", F.octet_length("block") == F.expr("try_cast(headers['content-length'] AS BIGINT)"))
+    # of repeated names the first counts
+    named = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.when(F.call_function("map_contains_key", m, p["k"]), m).otherwise(F.map_concat(m, F.create_map(p["k"], p["v"]))))
+    rows = rows.select(named.alias("headers"), body.alias("body"))
+    return rows.select("headers", F.expr("try_validate_utf8(cast(body as string))").alias("_text"), "body").select(
+        "headers", F.coalesce("_text", F.decode("body", "ISO-8859-1")).alias("block"), "body",
+        (F.octet_length("body") == F.expr("try_cast(headers['content-length'] AS BIGINT)")).alias("complete"),
+    )
+
+
+def responses_from_records(records: DataFrame) -> DataFrame:
+    """Input of ``derive`` from the response records of ``read_files``: HTTP headers apart from the payload, ``page_id`` null."""
+    cut = F.instr("block", "\r\n\r\n")
+    http = (F.col("headers")["content-type"].startswith("application/http")) & (cut > 0)
+    return records.where(F.col("headers")["warc-type"] == "response").select(
+        F.lit(None).cast("long").alias("page_id"), F.col("headers")["warc-record-id"].alias("record_id"), F.col("headers")["warc-target-uri"].alias("target_uri"),
+        F.col("headers")["warc-date"].alias("record_date"),
+        F.when(http, F.expr("substring(block, 1, instr(block, '\r\n\r\n') - 1)")).otherwise("").alias("source_headers"),
+        F.when(http, F.expr("substring(block, instr(block, '\r\n\r\n') + 4)")).otherwise(F.col("block")).alias("payload"),
+    )
+
+
+def _entities_sql(quote) -> str:
+    """SQL for ``text`` of ``tagless`` (rn, t) with all entities decoded; the names are Python's table of HTML 5."""
+    codes = [*range(0xA0), *range(0xFDD0, 0xFDF0), *(0x10000 * p + k for p in range(17) for k in (0xFFFE, 0xFFFF))]
+    odd = {c: html_entities.unescape(f"&#{c};") for c in codes}
+    odd = ", ".join(f"({c}, {quote(x)})" for c, x in odd.items() if x != chr(c))
+    named = ", ".join(f"({quote(k)}, {quote(x)})" for k, x in html.entities.html5.items())
+    pattern = quote(ENTITY.pattern)
+    return f"""odd(code, said) AS (VALUES {odd}), named(name, said) AS (VALUES {named}),
+ent AS (SELECT DISTINCT unnest(regexp_extract_all(t, {pattern})) AS m FROM tagless),
+num AS (SELECT m, CASE WHEN lower(m[3]) = 'x' THEN try_cast('0x' || rtrim(m[4:], ';') AS BIGINT) ELSE try_cast(rtrim(m[3:], ';') AS BIGINT) END AS code FROM ent WHERE starts_with(m, '&#')),
+longest AS (SELECT m, arg_max(said || m[2 + len(name):], len(name)) AS said FROM ent JOIN named ON starts_with(m[2:], name) AND len(name) BETWEEN 2 AND len(m) - 2 WHERE NOT starts_with(m, '&#') GROUP BY m),
+said AS (SELECT ent.m, replace(CASE WHEN starts_with(ent.m, '&#') THEN CASE WHEN odd.code IS NOT NULL THEN odd.said
+    WHEN num.code IS NULL OR num.code > 1114111 OR num.code BETWEEN 55296 AND 57343 THEN chr(65533) ELSE chr(num.code::INT) END
+    ELSE coalesce(named.said, longest.said, ent.m) END, chr(160), ' ') AS x
+  FROM ent LEFT JOIN num ON num.m = ent.m LEFT JOIN odd ON odd.code = num.code LEFT JOIN named ON named.name = ent.m[2:] LEFT JOIN longest ON longest.m = ent.m),
+cells AS (SELECT rn, unnest(regexp_split_to_array(t, {pattern})) AS gap, unnest(list_concat(regexp_extract_all(t, {pattern}), [''])) AS m, generate_subscripts(regexp_split_to_array(t, {pattern}), 1) AS pos FROM tagless),
+texts AS (SELECT rn, string_agg(gap || coalesce(x, ''), '' ORDER BY pos) AS text FROM cells LEFT JOIN said ON said.m = cells.m GROUP BY rn)"""
 
 
 def oracle() -> str:
-    """SQL for derive(responses_from_pages(pages)) without the long columns."""
-    text = "coalesce(html, '')"
+    """SQL for derive(responses_from_pages(pages))."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     literal = lambda x: quote(x).replace("\n", "' || chr(10) || '").replace("\r", "' || chr(13) || '")
-    for pattern, new in HTML_STEPS:
+    at = [x for x, _ in HTML_STEPS].index(ENTITIES)
+    tagless, text = "payload", "text"
+    for pattern, new in HTML_STEPS[:at]:
+        tagless = f"regexp_replace({tagless}, {quote(pattern)}, {literal(new)}, 'g')"
+    for pattern, new in HTML_STEPS[at + 1 :]:
         text = f"regexp_replace({text}, {quote(pattern)}, {literal(new)}, 'g')"
     uuid = lambda x: f"'<urn:uuid:' || substr({x}, 1, 8) || '-' || substr({x}, 9, 4) || '-' || substr({x}, 13, 4) || '-' || substr({x}, 17, 4) || '-' || substr({x}, 21, 12) || '>'"
     line = "chr(13) || chr(10)"
+    lang = r"""(?i)\blang[ \t\r\n\f]*=[ \t\r\n\f]*["']?([A-Za-z-]+)"""
     return f"""
-WITH r AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload, {text} AS text,
+WITH src AS (SELECT row_number() OVER () AS rn, page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload,
   md5('response|' || coalesce(page_id::VARCHAR, '') || '|' || coalesce(url, '')) AS h FROM pages),
+tagless AS (SELECT rn, {tagless} AS t FROM src),
+{_entities_sql(quote)},
+r AS (SELECT src.*, {text} AS text FROM src JOIN texts ON src.rn = texts.rn),
 s AS (SELECT *, {uuid('h')} AS refers_to, 'sha256:' || sha256(payload) AS payload_digest,
-  'title: ' || trim(regexp_extract(payload, '(?is)<title\\b[^>]*>([^<]*)', 1)) || {line} || 'language: ' ||
-  regexp_extract(payload, '(?is)<html\\b[^>]*\\blang\\s*=\\s*["'']?([A-Za-z-]+)', 1) || {line} || 'links: ' ||
-  len(regexp_extract_all(payload, '(?i)<a\\b[^>]*\\bhref\\b')) || {line} || 'payload-length: ' || strlen(payload) || {line} ||
+  'title: ' || trim(regexp_extract(payload, '(?i)<title\\b[^>]*>([^<]*)', 1)) || {line} || 'language: ' ||
+  coalesce(regexp_extract(list_filter(regexp_extract_all(payload, '(?i)<html\\b[^>]*>'), lambda x: regexp_matches(x, {quote(lang)}))[1], {quote(lang)}, 1), '') || {line} || 'links: ' ||
+  len(list_filter(regexp_extract_all(payload, '(?i)<a\\b[^>]*>'), lambda x: regexp_matches(x, '(?i)\\bhref\\b'))) || {line} || 'payload-length: ' || strlen(payload) || {line} ||
   'text-length: ' || strlen(text) || {line} AS fields FROM r),
 k AS (SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type, fields AS block FROM s
   UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', text FROM s),
 m AS (SELECT *, md5(record_type || '|' || refers_to) AS g FROM k)
-SELECT page_id, record_type, {uuid('g')} AS record_id, refers_to, target_uri, content_type, payload_digest,
-  'sha256:' || sha256(block) AS block_digest, strlen(block)::BIGINT AS content_length FROM m"""
+SELECT page_id, record_type, {uuid('g')} AS record_id, refers_to, target_uri, {quote(PAGE_DATE)} AS record_date, content_type, {literal(PAGE_HEADERS)} AS source_headers, payload_digest,
+  'sha256:' || sha256(block) AS block_digest, strlen(block)::BIGINT AS content_length, block FROM m"""
