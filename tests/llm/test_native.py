@@ -1,6 +1,7 @@
 """URL rules, WARC derivatives and licence scans: edge cases and their SQL."""
 
 import hashlib
+import random
 import re
 
 import duckdb
@@ -60,6 +61,51 @@ def test_blocks_reach_aliases_and_allow_has_precedence(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "block", 8: "block", 9: "allow"}
 
 
+def test_random_graph_equals_union_find(spark):
+    """Chains, cycles, a large star and several components, against a union-find over the same edges."""
+    r = random.Random(8)
+    hosts = ["example.com/en", "www.example.com/en", "a.net/es", "b.net/fr", "c.org", "d.com", "e.org"]
+    addresses = [f"http://{r.choice(hosts)}/{k}" for k in range(900)]
+    pages = [(k, u, "") for k, u in enumerate(addresses)]
+    edges = [(addresses[0], addresses[k]) for k in range(1, 300)]  # a star
+    edges += [(addresses[k], addresses[k + 1]) for k in range(300, 360)] + [(addresses[r.randrange(400, 900)], addresses[r.randrange(400, 900)]) for _ in range(230)]
+    html = {}
+    for k, (a, b) in enumerate(edges):
+        if k % 2 and a not in html:
+            html[a] = f"<p><link rel='canonical' href='{b}'>" if k % 4 == 1 else f'<META http-equiv="refresh" content="1;url={b}">'
+    pages = [(k, u, html.get(u, "")) for k, u, _ in pages]
+    root = {u: u for u in addresses}
+
+    def find(u):
+        while root[u] != u:
+            u = root[u]
+        return u
+
+    for a, b in edges:
+        root[find(b)] = find(a)
+    fits = lambda u: max(((len(h + p), a) for a, h, p in URL_RULES for host, path in [u[7:].split("/", 1)] if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)), default=(0, None))[1]
+    own = {u: fits(u) for u in addresses}
+    said = {}
+    for u in addresses:
+        said.setdefault(find(u), set()).add(own[u])
+    want = {k: own[u] or ("block" if "block" in said[find(u)] and "allow" not in said[find(u)] else "allow") for k, u, _ in pages}
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    more = spark.createDataFrame([*edges, (None, "http://x/"), ("http://x/", None), ("http://x/", "y")], "from string, to string")
+    got = {x.page_id: x.verdict for x in urls.judge(df, URL_RULES, more).collect()}
+    assert got == want and "block" in {v for k, v in got.items() if own[addresses[k]] is None}
+
+
+def test_unclosed_links_are_read_once(spark):
+    import time
+
+    part = "<link rel=canonical "
+    pages = [(1, "http://a/", part * 50_000), (2, "http://b/", part * 50_000 + "href=http://example.com/en/x>"), (3, "http://c/" + "://" * 100_000, "<meta http-equiv=refresh " * 40_000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    began = time.time()
+    assert {r.page_id: r.verdict for r in urls.judge(df, URL_RULES).collect()} == {1: "allow", 2: "block", 3: "allow"}
+    assert time.time() - began < 60
+
+
 PAGES = [
     (1, "http://a/", '<html lang="en"><head><title> T &amp; U</title><script>x<p></script></head><body><p>A<b>b</b> c&lt;d&amp;lt;<br>e</p><!-- <p> --></body></html>'),
     (2, None, None), (3, "http://b/", ""), (3, "http://b/", ""), (4, "u", " \n <p> \n "), (None, "v", "é" * 20_000 + "<p>x"),

@@ -13,7 +13,7 @@ row by row without a shuffle.
 
 Defined results: null address, or one without ``://``, has empty host and path, no rule
 and the verdict allow; relative targets that start with ``/`` are taken on the page's own
-host, other relative ones are ignored; the longest rule is unique by its length, equal
+host, other relative ones are ignored; a tag ends at its first ``>`` and holds no ``<``; the longest rule is unique by its length, equal
 lengths going to allow; repeated rows give the same row again; an empty table gives an
 empty table; further columns are ignored.
 """
@@ -29,10 +29,9 @@ from pyspark.sql import functions as F
 from .shared import connected_components, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CANONICAL = (
-    r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
-)
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
+#: Within one tag, from its name on: the address of a canonical link and of a refresh.
+CANONICAL = r"""(?is)^link\b(?=.*?\brel\s*=\s*["']?canonical\b).*?\bhref\s*=\s*["']?([^"'\s>]+)"""
+REFRESH = r"""(?is)^meta\b(?=.*?\bhttp-equiv\s*=\s*["']?refresh\b).*?\burl\s*=\s*["']?([^"'\s>]+)"""
 Rule = tuple[str, str, str]
 
 
@@ -57,18 +56,25 @@ def best_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 def name_of(url: Column) -> Column:
     """The address as a node: host, path and query, without scheme and fragment."""
-    query = F.coalesce(F.regexp_extract(url, r"(?s)://[^?#]*(\?[^#]*)", 1), F.lit(""))
+    query = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)?", 1), F.lit(""))
     path = path_of(url)
     return F.concat(host_of(url), F.when(path == "", "/").otherwise(path), query)
 
 
+def _target(page: Column, tag: str, pattern: str) -> Column:
+    """The first address that a tag of that name gives; tags are cut out first, so that a page is read once."""
+    tags = F.filter(F.split(page, "<"), lambda t: F.rlike(t, F.lit(rf"(?i)^{tag}\b")) & F.contains(t, F.lit(">")))
+    found = F.filter(F.transform(tags, lambda t: F.regexp_extract(F.substring_index(t, ">", 1), pattern, 1)), lambda x: x != "")
+    return F.get(found, F.lit(0))
+
+
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(from, to) addresses by each page's canonical link and refresh redirect."""
     x, page = F.col(url), F.col(html)
     found = []
-    for word, pattern in (("canonical", CANONICAL), ("refresh", REFRESH)):
+    for word, tag, pattern in (("canonical", "link", CANONICAL), ("refresh", "meta", REFRESH)):
         # the plain search spares the pattern nearly all pages
-        target = F.when(F.contains(F.lower(page), F.lit(word)), F.regexp_extract(page, pattern, 1))
+        target = F.when(F.contains(F.lower(page), F.lit(word)), _target(page, tag, pattern))
         target = F.regexp_replace(target, "&amp;", "&")
         scheme = F.regexp_extract(x, r"(?s)^(.*?://)", 1)
         target = (
