@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), calls one operator on every document that the stage
 before it kept, and returns documents with their columns unchanged but for what the stage
-decides; the last returns the pieces of the packed sequences.
+decides; the last returns the pieces of the packed sequences. Further columns pass through the
+stages before it, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,25 +17,28 @@ from tidemark.llm.shared import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any recognisable language (``und``) go; ``lang`` stays the source's label."""
-    columns = docs.columns
+    """Documents without any recognisable language (``und``) go: null and empty texts, and texts without a letter.
+
+    ``lang`` stays the source's label. Repeated rows and rows without an id are judged each by its own text."""
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
-    said = langid.predict(docs.withColumnRenamed("score", "_score") if "score" in columns else docs, model)
-    said = said.where("lang_pred <> 'und'").drop("score", "lang_pred")
-    return said.withColumnRenamed("_score", "score").select(*columns)
+    return docs.where(langid.language_of(F.col("text"), model)["lang_pred"] != "und")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id, null ids last.
 
-    Rows of one id and text are one document. Different texts under one id, or without an id, are documents of their own."""
-    rows = minhash.numbered(docs, "doc_id", "text")
-    kept = minhash.node_duplicates(rows).where("kept").select(F.col("node").alias("_node")).distinct()
-    return rows.join(kept, "_node", "left_semi").dropDuplicates(["_node"]).select(*docs.columns)
+    Rows of one id and text are one document, of which any row stays. Different texts under one id, or without
+    an id, are documents of their own. Null and empty texts are near no other text and stay."""
+    rows = minhash.numbered(docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), "id", "text")
+    kept = minhash.node_duplicates(rows.select("_node", "text")).where("kept").select(F.col("node").alias("_node")).distinct()
+    one = rows.select("_node", "row").join(kept, "_node", "left_semi").dropDuplicates(["_node"])
+    return one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in ``text`` becomes the kind's name in angle brackets; ``n_chars`` follows the text."""
+    """Personal data in ``text`` becomes the kind's name in angle brackets; ``n_chars`` follows the text.
+
+    Null texts stay null (``n_chars`` null), empty ones empty; every row stays, repeated ones too."""
     done = pii.redact(docs, pii.fit(docs))
     if "n_chars" in done.columns:
         done = done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
@@ -42,6 +46,9 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 1,024 tokens; null texts count as empty and have their end token alone.
+
+    Repeated rows are packed each for itself, rows without an id under a null id; other columns are left behind."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import minhash
 
@@ -71,11 +73,42 @@ def test_hot_bucket_is_searched_in_blocks(spark):
     texts = [(k, " ".join(base[k // 10][: 60 - k % 3])) for k in range(400)]
     sketches = minhash.odd_sketches(minhash.signatures(minhash.shingle_sets([x for _, x in texts], 2)))
     bands = [7] + [0] * 21
-    rows = [(7, 400, k, k, 60, sketches[k].tolist(), bands) for k, _ in texts]
-    df = spark.createDataFrame(rows, "bucket long, size long, node long, component long, n long, sketch array<long>, bands array<long>")
+    kind = "bucket long, mains long, size long, in_main boolean, node long, component long, n long, sketch array<long>, bands array<long>"
     docs = spark.createDataFrame(texts, "id long, text string")
-    got = {tuple(sorted(x)) for x in minhash._crossing(df, docs, 0.8, 2, 80, block=64).collect()}
-    assert got == {(a, b) for a in range(400) for b in range(a + 1, a // 10 * 10 + 10)}
+    # the first node alone, and half of the bucket, are the main component
+    for mains in (1, 205):
+        rows = [(7, mains, 400, k < mains, k, min(k, max(0, k - mains + 1)), 60, sketches[k].tolist(), bands) for k, _ in texts]
+        got = {tuple(sorted(x)) for x in minhash._crossing(spark.createDataFrame(rows, kind), docs, 0.8, 2, 80, block=64).collect()}
+        want = {(a, b) for a in range(400) for b in range(max(a + 1, mains), a // 10 * 10 + 10)}
+        if mains == 1:
+            assert got == want
+        else:  # one link for each two components
+            assert {(max(0, a - mains + 1), b) for a, b in got} == {(max(0, a - mains + 1), b) for a, b in want}
+
+
+def test_bands_keep_the_chance_of_a_miss():
+    for percent in range(20, 101, 5):
+        bands, rows = minhash.bands_for(percent / 100)
+        assert bands * rows <= minhash.SAMPLES and (percent == 100 or (1 - (percent / 100) ** rows) ** bands <= 1e-5)
+    with pytest.raises(ValueError):
+        minhash.bands_for(0.01)
+
+
+def test_texts_are_read_by_a_bitmap_and_the_ids(spark):
+    texts = spark.range(0, 5000).selectExpr("id", "concat('t', id) AS text")
+    ids = texts.where("id % 7 = 0").select("id")
+    got = {r.id for r in minhash._texts_of(texts, ids.union(ids)).collect()}
+    assert got >= set(range(0, 5000, 7)) and len(got) < 720
+    assert minhash._texts_of(texts, ids.limit(0)).collect() == []
+
+
+def test_hot_buckets_are_joined_like_others(spark):
+    rows = [(k, 0 if k % 2 else k) for k in range(6000)]
+    df = spark.createDataFrame(rows, "node long, bucket long")
+    sizes = df.groupBy("bucket").agg(F.count("*").alias("size"))
+    got = {(r.node, r.bucket, r.size) for r in minhash._with_buckets(df, sizes).collect()}
+    n = sum(b == 0 for _, b in rows)
+    assert got == {(k, b, n if b == 0 else 1) for k, b in rows}
 
 
 def test_overlaps_by_either_way():

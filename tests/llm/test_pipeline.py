@@ -52,3 +52,25 @@ def test_stages(spark, tmp_path):
             tk = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
             check_pieces(docs.collect(), {k: [*tk.encode(x).ids, 0] for k, x in texts.items()})
     assert corpus_pipeline.run(spark, str(tmp_path / "sf")).groupBy().sum("length").first()[0] == docs.groupBy().sum("length").first()[0]
+
+
+CLASHES = ["lang_pred", "score", "_score", "_node", "_key", "_digest", "row", "id", "spans", "base_spans", "_email", "_row", "_lang", "length", "start"]
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark):
+    rows = fixture()[:40] + [(None, "the of and to in", None, None, None), (7, None, None, None, None), (None, None, "en", "s", 0), (8, "x" * 50_000, "en", "s", 1), (9, "9 8", "fr", "", 3)]
+    df = spark.createDataFrame([(*x, *CLASHES) for x in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, "")
+        got = out.collect()
+        assert stage(spark, df.limit(0), "").collect() == []
+        if name == "packing":
+            assert sum(r.length for r in got if r.doc_id is None) == sum(r.doc_tokens for r in got if r.doc_id is None and r.start == 0)
+            continue
+        assert out.columns == df.columns and all(tuple(r)[5:] == tuple(CLASHES) for r in got)
+        if name == "language_id":
+            assert len(got) == len(rows) - 3
+        elif name == "near_dedup":
+            assert {(r.doc_id, r.text) for r in got} == {x[:2] for x in rows}
+        else:
+            assert len(got) == len(rows) and all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)

@@ -10,8 +10,14 @@ other by sketch, and only those within reach of the threshold on their full sets
 Pairs are never listed for a whole group. Texts with equal sets are one node. In each
 bucket the members are first held against the bucket's smallest node; components of these
 links are found; then buckets that still hold several components are searched in blocks of
-bounded size for pairs that cross components. A pair left out is one whose ends are
-already connected, so components are those of all candidate pairs.
+bounded size for pairs that cross components, the members of the smallest node's component
+never meeting each other. A pair left out is one whose ends are already connected, so
+components are those of all candidate pairs.
+
+Hot buckets: those with more than 1 / HOT of all band rows, HOT at most, are joined by
+broadcast, so that none of them meets in one task. Texts for the confirmation are read
+where a bitmap of fixed size, made of the wanted ids, lets them pass, before they are joined
+by id: one plan for any number of ids, which shuffles few other texts.
 
 Defined results: null or empty text, or one without words, has n_shingles 0, is its own
 component and is kept; with fewer words than a shingle has, the whole sequence is one
@@ -34,17 +40,25 @@ from pyspark.sql import functions as F
 
 from .shared import connected_components, discard, materialize
 
-#: MinHash samples, bits of the odd sketch, samples in a band.
+#: MinHash samples, bits of the odd sketch, samples in a band at most.
 SAMPLES, BITS, ROWS = 256, 512, 4
 WORD_CACHE = 200_000
-#: Ids that are broadcast to filter a scan of texts: at most so many longs.
-MOST_SENT = 4_000_000
+#: Buckets that hold more than this share of all band rows are hot: 2,000 at most.
+HOT = 2000
+#: Bits of the bitmap of wanted ids, in pages of 4 KB: 8 MB are broadcast at most.
+PAGE, BITMAP = 1 << 15, 1 << 26
 _words: dict[bytes, int] = {}
 
 
-def bands_for(similarity: float, missed: float = 1e-5, rows: int = ROWS) -> int:
-    """Bands so that a pair at the threshold shares none with probability ``missed``."""
-    return min(SAMPLES // rows, math.ceil(math.log(missed) / math.log(1 - similarity**rows)))
+def bands_for(similarity: float, missed: float = 1e-5) -> tuple[int, int]:
+    """Bands and samples in each, so that a pair at the threshold shares no band with probability ``missed`` at most.
+
+    ROWS samples in a band, or fewer where the samples would not do."""
+    for rows in range(ROWS, 0, -1):
+        bands = max(1, math.ceil(math.log(missed) / math.log1p(-min(similarity**rows, 1 - 1e-12))))
+        if bands * rows <= SAMPLES:
+            return bands, rows
+    raise ValueError(f"{SAMPLES} samples do not do for a similarity of {similarity}")
 
 
 def least_estimate(similarity: float, deviations: float = 4.75) -> float:
@@ -121,15 +135,15 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(len(samples), BITS), axis=1).view(np.int64)
 
 
-def band_keys(samples: np.ndarray, bands: int) -> np.ndarray:
-    part = samples[:, : bands * ROWS].reshape(len(samples), bands, ROWS).astype(np.uint64)
+def band_keys(samples: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    part = samples[:, : bands * rows].reshape(len(samples), bands, rows).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), part.shape[:2])
-    for k in range(ROWS):
+    for k in range(rows):
         key = _mix(key) + part[:, :, k]
     return _mix(key).view(np.int64)
 
 
-def fingerprint(docs: DataFrame, key: str, text: str, words: int, bands: int) -> DataFrame:
+def fingerprint(docs: DataFrame, key: str, text: str, words: int, bands: int, rows: int) -> DataFrame:
     """key, n_shingles, digest of the set (d1, d2), band keys, odd sketch."""
     kind = docs.schema[key].dataType.simpleString()
 
@@ -143,7 +157,7 @@ def fingerprint(docs: DataFrame, key: str, text: str, words: int, bands: int) ->
                 full = [k for k, s in enumerate(sets) if len(s)]
                 samples = signatures([sets[k] for k in full]) if full else np.empty((0, SAMPLES), np.uint32)
                 rest = pd.DataFrame({"bands": [[]] * len(part), "sketch": [[]] * len(part)})
-                rest.loc[full, "bands"] = pd.Series(list(band_keys(samples, bands)), index=full, dtype=object)
+                rest.loc[full, "bands"] = pd.Series(list(band_keys(samples, bands, rows)), index=full, dtype=object)
                 rest.loc[full, "sketch"] = pd.Series(list(odd_sketches(samples)), index=full, dtype=object)
                 yield pd.DataFrame(
                     {
@@ -168,13 +182,21 @@ def _in_reach(similarity: float) -> Column:
 
 
 def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``texts`` (id, text) whose id is in ``ids`` (one column, id).
+    """The rows of ``texts`` (id, text) whose id is in ``ids`` (one column, id), and few others: a join by id follows."""
+    place = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
+    page, bit = F.floor(place / PAGE).cast("int").alias("page"), (place % PAGE).alias("bit")
+    pages = ids.select(page, bit).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(F.col("bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1
+    return texts.select("id", "text", page, bit).join(F.broadcast(pages), "page").where(is_set).select("id", "text")
+
 
-    Few ids are sent to the scan, so that other texts are never shuffled; from MOST_SENT on
-    (32 MB of ids) both sides are shuffled."""
-    ids = ids.distinct()
-    few = ids.limit(MOST_SENT + 1).count() <= MOST_SENT
-    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+def _with_buckets(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``rows`` joined with ``buckets`` (bucket, size, ...) by bucket, hot ones by broadcast."""
+    least = (buckets.agg(F.sum("size")).first()[0] or 0) / HOT
+    hot = buckets.where(F.col("size") > least)
+    cold = rows.join(F.broadcast(hot.select("bucket")), "bucket", "left_anti").join(buckets.where(F.col("size") <= least), "bucket")
+    return rows.join(F.broadcast(hot), "bucket").unionByName(cold)
 
 
 def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int, group: int = 256) -> DataFrame:
@@ -280,21 +302,21 @@ def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarra
 
 
 def _crossing(rows: DataFrame, texts: DataFrame, similarity: float, words: int, percent: int, block: int = 256) -> DataFrame:
-    """Links (a, c) across components, from rows (bucket, size, node, component, n, sketch, bands).
+    """Links (a, c) across components, from rows (bucket, mains, size, in_main, node, component, n, sketch, bands).
 
-    A bucket's members are dealt to blocks, and each pair of blocks meets in one group. A
+    A bucket's members are dealt to blocks, those of its main component (``mains`` of ``size``)
+    to blocks of their own; each pair of blocks meets in one group, but for two main ones. A
     first pass over the sketches finds the nodes that have any pair to settle there; only
     their texts are then sent to the group, which settles all its pairs on full sets and
     returns links, at most one for each two components.
     """
-    many = F.greatest(F.lit(1), F.ceil(F.col("size") / block)).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    mains, others = (F.ceil(x / block).cast("int") for x in (F.col("mains"), F.col("size") - F.col("mains")))
+    own = F.when(F.col("in_main"), F.pmod(F.xxhash64("node"), mains)).otherwise(mains + F.pmod(F.xxhash64("node"), others)).cast("int")
     keys = ["bucket", "p", "q"]
     columns = [*keys, "own", "node", "component", "n", "sketch", "bands"]
     dealt = (
-        rows.withColumn("blocks", many)
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows.withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.when(F.col("in_main"), mains).otherwise(0), mains + others - 1)))
         .withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
         .select(*columns)
     )
@@ -320,8 +342,10 @@ def _crossing(rows: DataFrame, texts: DataFrame, similarity: float, words: int,
         return pd.DataFrame(found, columns=["a", "c"], dtype="int64")
 
     nodes = materialize(_by_group(dealt, keys, open_nodes, schema))
-    nodes = nodes.join(_texts_of(texts, nodes.select(F.col("node").alias("id"))), F.col("node") == F.col("id")).drop("id")
-    return _by_group(nodes, keys, settle, "a long, c long").distinct()
+    wanted = _texts_of(texts, nodes.select(F.col("node").alias("id")))
+    links = materialize(_by_group(nodes.join(wanted, F.col("node") == F.col("id")).drop("id"), keys, settle, "a long, c long").distinct())
+    discard(nodes)
+    return links
 
 
 def numbered(docs: DataFrame, key: str, text: str, number: str = "_node") -> DataFrame:
@@ -359,7 +383,7 @@ def node_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """Per row of (_node, text): node, n_shingles, component_id (smallest node reachable), kept (node = component_id); a node has one text."""
     similarity = percent / 100
     docs = docs.select(F.col("_node").alias("id"), "text")
-    prints = materialize(fingerprint(docs, "id", "text", words, bands_for(similarity)))
+    prints = materialize(fingerprint(docs, "id", "text", words, *bands_for(similarity)))
     filled = prints.where("n_shingles > 0")
     firsts = filled.groupBy("d1", "d2").agg(F.min("id").alias("node"))
     firsts = materialize(firsts)
@@ -369,23 +393,30 @@ def node_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # buckets with several nodes, and their members
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1")
-    members = materialize(rows.join(shared, "bucket"))
+    shared = materialize(shared)
+    members = materialize(_with_buckets(rows, shared))
+    discard(shared)
 
     # round 1: every member against the bucket's first
     of = nodes.select("node", "n", "sketch")
     a, c = (of.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ac")
     stars = members.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("c")).distinct()
-    stars = materialize(stars.join(a, "a").join(c, "c").where(_in_reach(similarity)).select("a", "c").distinct())
+    stars = materialize(stars.join(a, "a").join(c, "c").where(_in_reach(similarity)).select("a", "c"))
     links = materialize(_links(stars, docs, words, percent))
     found = materialize(connected_components(links, "a", "c"))
 
     # round 2: pairs across components in buckets that hold several
-    labelled = members.where("size > 2").join(found, "node", "left").select("bucket", "size", "node", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    more = _crossing(labelled.join(mixed, "bucket").join(nodes, "node"), docs, similarity, words, percent)
+    labelled = members.where("size > 2").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    labelled = materialize(labelled)
+    kinds = labelled.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("component", "node").alias("main"))
+    kinds = materialize(kinds.where("lo < hi").select("bucket", "size", "main"))
+    mixed = materialize(_with_buckets(labelled, kinds).withColumn("in_main", F.col("component") == F.col("main")))
+    mains = materialize(mixed.groupBy("bucket").agg(F.count("*").alias("size"), F.count_if("in_main").alias("mains")))
+    rows = _with_buckets(mixed.select("bucket", "node", "component", "in_main"), mains).join(nodes, "node")
+    more = _crossing(rows, docs, similarity, words, percent)
     edges = materialize(found.select(F.col("node").alias("a"), F.col("component").alias("c")).unionByName(more))
-    found = materialize(connected_components(edges, "a", "c"))
-    for used in (members, stars, links, edges):
+    stars_found, found = found, materialize(connected_components(edges, "a", "c"))
+    for used in (members, stars, links, labelled, kinds, mixed, mains, edges, more, nodes, stars_found):
         discard(used)
 
     placed = prints.join(firsts, ["d1", "d2"], "left").join(found, "node", "left")
