@@ -33,8 +33,6 @@ def good(v):
 def test_links_and_components_equal_brute_force(spark):
     rows = table()
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embdedup.near_duplicates(df, 0.93, bucket=32, block=64).collect()}
-    assert len(got) == len(rows)
     root = {r[0]: r[0] for r in rows}
     links = dict.fromkeys(root, 0)
 
@@ -54,15 +52,30 @@ def test_links_and_components_equal_brute_force(spark):
                 p, q = sorted((find(a), find(b)))
                 root[q] = p
     want = {k: (links[k], find(k), find(k) == k) for k in root}
-    missed = [k for k in want if got[k] != want[k]]
-    assert not missed, [(k, got[k], want[k]) for k in missed[:5]]
+    # without clumps, and with blocks so small that every bucket has one
+    for kw in ({"bucket": 32, "block": 64}, {"bucket": 32, "block": 4, "at_once": 3}):
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embdedup.near_duplicates(df, 0.93, **kw).collect()}
+        assert len(got) == len(rows)
+        missed = [k for k in want if got[k] != want[k]]
+        assert not missed, [(k, got[k], want[k]) for k in missed[:5]]
     assert embdedup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_repeated_ids_are_vectors_of_their_own(spark):
+    e = lambda a: [math.cos(a), math.sin(a)]
+    rows = [(4, "b", e(0.0)), (4, "c", e(0.0)), (5, "b", e(0.01)), (6, "c", e(0.01)), (7, "a", e(0.0)), (8, "a", e(3.0))]
+    rows += [(9, "d", e(0.0)), (9, "d", e(0.02)), (2, "d", e(0.01)), (None, "d", e(0.0)), (3, "f", e(0.0)), (3, "f", e(0.0))]
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embdedup.near_duplicates(df).collect()), key=str)
+    want = [(4, 1, 4, True), (4, 1, 4, True), (5, 1, 4, False), (6, 1, 4, False), (7, 0, 7, True), (8, 0, 8, True)]
+    want += [(9, 2, 2, False), (9, 2, 2, False), (2, 2, 2, True), (None, 0, None, True), (3, 1, 3, True), (3, 1, 3, True)]
+    assert got == sorted(want, key=str)
+
+
 def test_search_equals_brute_force(spark):
     rows = table(3)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    for kw in ({}, {"window": 16, "block": 3, "chunk": 100}):
+    for kw in ({}, {"reach": 300, "window": 16, "curves": 12, "at_once": 5}):
         got = {}
         for r in ann.search(df, F.col("vec_id") % 10 == 0, k=4, **kw).collect():
             got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
@@ -76,12 +89,45 @@ def test_search_equals_brute_force(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 10 == 0).collect() == []
 
 
-def test_windows_alone_find_close_copies(spark):
-    df = spark.createDataFrame(table(4), SCHEMA)
-    got = ann.search(df, F.col("vec_id") % 10 == 0, k=1, complete=False, window=64)
-    want = ann.search(df, F.col("vec_id") % 10 == 0, k=1)
-    same = got.join(want, ["query_id", "vec_id"]).count()
-    assert same >= 0.8 * want.count()
+def recall(spark, rows, k=10, **kw):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 100 == 0, k=k, **kw).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    x = np.array([v for _, v in rows], dtype=np.float32).astype(float)
+    hits = total = 0
+    for q in range(0, len(rows), 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        want = set(np.lexsort((np.arange(len(x)), d))[:k].tolist())
+        hits, total = hits + len(want & got[q]), total + k
+    return hits / total
+
+
+def test_recall_of_random_directions(spark):
+    """Directions without any structure, the hardest case: windows reach a small part of the rows."""
+    r = np.random.default_rng(2)
+    x = r.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(k, [float(a) for a in v]) for k, v in enumerate(x)]
+    assert recall(spark, rows) >= 0.9
+
+
+def test_equal_vectors_are_found_by_smallest_id(spark):
+    r = np.random.default_rng(3)
+    rows = [(k, [float(a) for a in r.standard_normal(8)]) for k in range(700)]
+    rows = [(k, rows[0][1] if 100 <= k < 600 else v) for k, v in rows]  # most rows are one vector
+    assert recall(spark, rows, reach=64, curves=4) >= 0.97
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    near = {q: [r.vec_id for r in ann.search(df, F.col("vec_id") == q, reach=16, curves=2).orderBy("rank").collect()] for q in (0, 300)}
+    assert near == {0: list(range(100, 110)), 300: [0, *range(100, 109)]}
+
+
+def test_fewer_candidates_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, ann.search(df, F.col("vec_id") < 3).collect()))
+    assert got == [(1, 1, 1, 0.0), (1, 1, 1, 0.0), (1, 2, 2, 1.0), (1, 2, 2, 1.0), (2, 1, 1, 1.0), (2, 2, 1, 1.0)]
 
 
 def test_hilbert_visits_neighbouring_cells():

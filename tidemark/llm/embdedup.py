@@ -6,21 +6,29 @@ matrices. ``bits`` follows the logarithm of the largest label's size so that buc
 their size, and the number of tables follows from the chance that a pair at the threshold
 shares a bucket in none of them (``missed``).
 
-Vectors equal in every component are one node with a count. Large buckets are dealt to
-blocks, and each pair of blocks meets in one group, so a task holds two blocks at most. A
-pair that shares buckets in several tables counts in the first only. Groups return each
-node's number of links and a spanning forest of them, never all pairs.
+Vectors of one label that are equal in every component are one node with a count. Large
+buckets are dealt to blocks, and each pair of blocks meets in one group, so a task holds two
+blocks at most. A pair that shares buckets in several tables counts in the first only. Groups
+return each node's number of links and a spanning forest of them, never all pairs. Tables are
+taken ``at_once`` at a time, which bounds what is shuffled at once.
+
+Clumps: in a bucket of the first table with more than one block, the nodes within half the
+threshold's angle of the bucket's first node are all linked with each other by the triangle
+inequality. They are counted as such and never compared among themselves: blocks of one
+clump do not meet, so a group of near copies costs its size, not the square of it.
 
 Defined results: null labels, and vectors that are null, empty, zero or hold null or
 non-finite components, link with nothing (n_links 0, own component, kept); vectors of other
-lengths never meet; repeated ids each give a row and count as one node where their vectors
-are equal; an empty table gives an empty table; further columns are ignored.
+lengths never meet; repeated ids each give a row, and each row is a vector of its own with its
+own links (ids of a component may repeat, its smallest id names it); rows without an id link
+with nothing; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,13 +50,13 @@ def tables_for(similarity: float, bits: int, missed: float) -> int:
     return max(1, math.ceil(math.log(missed) / math.log(1 - same))) if same < 1 else 1
 
 
-def _unit(data: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(data), dtype=np.float64).reshape(len(data), -1)
+def _unit(data: pd.Series | list[bytes], kind: str) -> np.ndarray:
+    x = number_of(data, kind)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _codes(nodes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
+def _codes(nodes: DataFrame, bits: int, tables: int, seed: int, kind: str) -> DataFrame:
     """Adds codes: the node's bucket in each table."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,7 +66,7 @@ def _codes(nodes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
             for n, own in pdf.groupby("length").indices.items():
                 if n not in planes:
                     planes[n] = np.random.default_rng([seed, n]).standard_normal((n, tables * bits))
-                signs = (_unit([pdf["data"].iloc[k] for k in own]) @ planes[n] > 0).reshape(len(own), tables, bits)
+                signs = (_unit(pdf["data"].iloc[own], kind) @ planes[n] > 0).reshape(len(own), tables, bits)
                 packed = signs @ (1 << np.arange(bits, dtype=np.int64))
                 for k, c in zip(own, packed, strict=True):
                     codes.iloc[k] = c
@@ -67,28 +75,36 @@ def _codes(nodes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
     return nodes.mapInPandas(run, "node long, label string, length int, copies long, data binary, codes array<long>")
 
 
-def _to_bytes(vector: Column) -> Column:
+def as_bytes(vector: Column, kind: str) -> Column:
+    """A vector as bytes of float32 or float64 components."""
+
     @F.pandas_udf("binary")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda x: None if x is None else np.asarray(x, dtype=np.float64).tobytes())
+            yield batch.map(lambda x: None if x is None else (np.asarray(x, dtype=kind) + 0).tobytes())  # -0 becomes 0
 
     return of(vector)
 
 
-def _compare(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
+def number_of(data: pd.Series | list[bytes], kind: str) -> np.ndarray:
+    """Rows of equally long vectors, in double precision."""
+    return np.frombuffer(b"".join(data), dtype=kind).reshape(len(data), -1).astype(np.float64)
+
+
+def _compare(pdf: pd.DataFrame, similarity: float, kind: str) -> pd.DataFrame:
     """Links of block p against block q of one bucket: counts by node and a spanning forest."""
     t, p, q = (int(pdf[c].iloc[0]) for c in "tpq")
     own = pdf["own"].to_numpy()
     left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
-    node, copies = pdf["node"].to_numpy(), pdf["copies"].to_numpy()
+    node, copies, clump = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), pdf["clump"].to_numpy()
     count = np.zeros(len(pdf), dtype=np.int64)
     edges: list[tuple[int, int, int]] = []
     if len(left) and len(right):
-        x, codes = _unit(pdf["data"].tolist()), np.stack(pdf["codes"].to_numpy())
+        x, codes = _unit(pdf["data"], kind), np.stack(pdf["codes"].to_numpy())
         good = x[left] @ x[right].T >= similarity
         if p == q:
             good &= left[:, None] < right[None, :]
+        good &= (clump[left][:, None] != clump[right][None, :]) | (clump[left][:, None] < 0)
         i, j = np.nonzero(good)
         i, j = left[i], right[j]
         for k in range(t):  # of an earlier table
@@ -113,6 +129,25 @@ def _compare(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["u", "v", "n"], dtype="int64")
 
 
+def _clumps(coded: DataFrame, similarity: float, block: int, kind: str) -> DataFrame:
+    """(node, clump): nodes of large buckets of the first table that are within half the threshold's angle of the bucket's first node, its clump."""
+    keys = ["label", "length", "code"]
+    first = coded.select("node", "label", "length", F.col("codes")[0].alias("code"), "data")
+    centres = first.groupBy(*keys).agg(F.count("*").alias("size"), F.min("node").alias("clump")).where(F.col("size") > block)
+    centres = centres.join(first.select(F.col("node").alias("clump"), F.col("data").alias("centre")), "clump")
+    least = math.cos(math.acos(similarity) / 2) + 1e-9  # rounding never makes two members' cosine fall below the threshold
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.zeros(len(a), dtype=bool)
+        for own in pd.Series(a.map(len).to_numpy()).groupby(a.map(len).to_numpy()).indices.values():
+            out[own] = np.einsum("ij,ij->i", _unit(a.iloc[own], kind), _unit(b.iloc[own], kind)) >= least
+        return pd.Series(out)
+
+    # at most one large bucket for each ``block`` nodes: joined as they come, Spark splits what is skewed
+    return first.join(centres, keys).where(near("data", "centre")).select("node", "clump")
+
+
 def near_duplicates(
     vectors: DataFrame,
     similarity: float = 0.93,
@@ -122,42 +157,70 @@ def near_duplicates(
     missed: float = 1e-4,
     bucket: int = 256,
     block: int = 1024,
+    at_once: int = 4,
     seed: int = 11,
 ) -> DataFrame:
     """Per row: key, n_links (other vectors linked), component_id (smallest key reachable), kept."""
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("x"))
-    rows = rows.withColumn("x", F.when(usable(F.col("x")) & F.col("label").isNotNull() & F.col("id").isNotNull(), F.col("x")))
-    nodes = rows.where("x is not null").groupBy("label", "x").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
-    nodes = materialize(nodes.select("node", "label", F.size("x").alias("length"), "copies", "x"))
+    element = vectors.schema[vector].dataType.elementType.simpleString()
+    kind = "float32" if element == "float" else "float64"
+    counts = usable(F.col(vector)) & F.col(label).isNotNull() & F.col(key).isNotNull()
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.when(counts, F.col(vector)).alias("x"))
+    rows = materialize(rows.select("id", "label", F.size("x").alias("length"), as_bytes(F.col("x"), kind).alias("data")))
+    nodes = rows.where("data is not null").groupBy("label", "data").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.max("length").alias("length"))
+    nodes = materialize(nodes)
+    # a node is named by its first id, unless an id has several; then by a number in the same order
+    repeated = not nodes.groupBy("first").count().where("count > 1").isEmpty()
+    if repeated:
+        nodes = materialize(nodes.repartitionByRange("first", "label", "data").sortWithinPartitions("first", "label", "data").withColumn("node", F.monotonically_increasing_id()))
+    else:
+        nodes = nodes.withColumn("node", F.col("first"))
     largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     bits = max(1, math.ceil(math.log2(max(2, largest) / bucket)))
     tables = tables_for(similarity, bits, missed)
-    coded = _codes(nodes.select("node", "label", "length", "copies", _to_bytes(F.col("x")).alias("data")), bits, tables, seed)
-    coded = materialize(coded)
+    coded = materialize(_codes(nodes.select("node", "label", "length", "copies", "data"), bits, tables, seed, kind))
+    clumps = materialize(_clumps(coded, similarity, block, kind))
+    of_clump = clumps.join(coded.select("node", "copies"), "node").groupBy("clump").agg(F.sum("copies").alias("clump_copies"), F.count("*").alias("members"))
+    clumps = materialize(clumps.join(of_clump.where("members > 1"), "clump").select("node", "clump", "clump_copies"))
+    coded = materialize(coded.join(clumps.select("node", "clump"), "node", "left").withColumn("clump", F.coalesce("clump", F.lit(-1))))
 
-    # buckets with several nodes; one whose nodes agree in the first table has no pair of its own in a later one
-    place = coded.select("node", "label", "length", F.posexplode("codes").alias("t", "code"), F.col("codes")[0].alias("first"))
+    found = []
     keys = ["label", "length", "t", "code"]
-    sizes = place.groupBy(*keys).agg(F.count("*").alias("size"), F.min("first").alias("lo"), F.max("first").alias("hi"))
-    sizes = sizes.where("size > 1 and (t = 0 or lo < hi)").select(*keys, F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    dealt = (
-        place.select("node", *keys)
-        .join(sizes, keys)
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
-        .drop("other", "blocks", "length", "label")
-        .join(coded, "node")
-    )
-    found = dealt.groupBy("label", "length", "t", "code", "p", "q").applyInPandas(lambda pdf: _compare(pdf, similarity), "u long, v long, n long")
-    found = materialize(found)
-    counts = found.where("u = v").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
-    edges = found.where("u <> v")
+    for start in range(0, tables, at_once):
+        some = F.array(*[F.struct(F.lit(t).alias("t"), F.col("codes")[t].alias("code")) for t in range(start, min(start + at_once, tables))])
+        place = coded.select("node", "label", "length", "clump", F.col("codes")[0].alias("first"), F.explode(some).alias("c")).select("*", "c.*").drop("c")
+        # a bucket's blocks: those of each clump, and of nodes in none, follow one another
+        parts = place.groupBy(*keys, "clump").agg(F.count("*").alias("size"), F.min("first").alias("lo"), F.max("first").alias("hi"))
+        parts = parts.groupBy(*keys).agg(F.sum("size").alias("size"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sort_array(F.collect_list(F.struct("clump", F.ceil(F.col("size") / block).cast("int").alias("blocks")))).alias("parts"))
+        # buckets with several nodes; one whose nodes agree in the first table has no pair of its own in a later one
+        parts = parts.where("size > 1 and (t = 0 or lo < hi)").select(*keys, "parts", F.aggregate("parts", F.lit(0), lambda n, x: n + x["blocks"]).alias("blocks"))
+        own = F.filter("parts", lambda x: x["clump"] == F.col("clump"))[0]["blocks"]
+        before = F.aggregate(F.filter("parts", lambda x: x["clump"] < F.col("clump")), F.lit(0), lambda n, x: n + x["blocks"])
+        dealt = place.drop("first").join(parts, keys).withColumns({"own_blocks": own, "before": before})
+        # members of a clump do not meet each other
+        all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
+        others = F.when(F.col("clump") < 0, all_blocks).otherwise(F.filter(all_blocks, lambda b: (b < F.col("before")) | (b >= F.col("before") + F.col("own_blocks"))))
+        dealt = (
+            dealt.withColumn("own", (F.col("before") + F.pmod(F.xxhash64("node"), F.col("own_blocks"))).cast("int"))
+            .withColumn("other", F.explode(others))
+            .withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+            .select("node", "t", "code", "own", "p", "q")
+            .join(coded, "node")
+        )
+        group = dealt.groupBy(*keys, "p", "q")
+        found.append(materialize(group.applyInPandas(lambda pdf: _compare(pdf, similarity, kind), "u long, v long, n long")))
+    found = reduce(DataFrame.unionByName, found)
+    links = found.where("u = v").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
+    edges = found.where("u <> v").select("u", "v").unionByName(clumps.select(F.col("node").alias("u"), F.col("clump").alias("v")))
     component = connected_components(edges, "u", "v")
-    nodes = nodes.join(counts, "node", "left").join(component, "node", "left")
-    nodes = materialize(nodes.select("label", "x", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
+    nodes = nodes.join(links, "node", "left").join(component, "node", "left").join(clumps.select("node", "clump_copies"), "node", "left")
+    total = F.coalesce("n", F.lit(0)) + F.coalesce("clump_copies", F.col("copies")) - 1
+    nodes = nodes.select("node", "label", "data", "first", total.alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    if repeated:
+        firsts = nodes.select(F.col("node").alias("component_id"), F.col("first").alias("of"))
+        nodes = nodes.join(firsts, "component_id").withColumn("component_id", F.col("of"))
+    nodes = materialize(nodes.select("label", "data", "n_links", "component_id"))
     discard(coded)
-    out = rows.join(nodes, ["label", "x"], "left").select(
+    out = rows.join(nodes, ["label", "data"], "left").select(
         F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
     )
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
