@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for tables that cut lineage: ``spark.checkpoint.dir`` where the
-    session has it, else (only where it is unset, as in tests) a new temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-tidemark-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found
+from ..sources.records import shared_folder
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -36,7 +24,7 @@ def materialize(df: DataFrame) -> DataFrame:
     The result has no lineage but the files, so a lost executor costs a re-read and
     not the whole computation; unlike ``checkpoint()`` the rows are computed once.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tidemark_path = path  # for discard()
