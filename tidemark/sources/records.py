@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,27 @@ from ..functions.columns import clean_text, extract_entities, require_columns
 RECORD_SCHEMA = "id string, created_utc double, created string, title string, selftext string, tickers string, score int, num_comments int"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables that cut lineage: ``spark.checkpoint.dir``, which all executors share.
+
+    A local session without one, as in tests, gets a new temporary folder; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-tidemark-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again: the rows are computed once, and a lost executor costs a re-read."""
+    path = f"{shared_folder(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def load_records(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA, columns: Sequence[str] = (), limit: int | None = None, sep: str = ",") -> DataFrame:
     """A UTF-8 CSV with a header and quoted multi-line fields, or Parquet by its suffix.
 
