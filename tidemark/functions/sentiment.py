@@ -8,11 +8,11 @@ Gilbert, 2014). Each record is scored once, however many entities it mentions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Above this many rows the lexicon is left to the join that Spark chooses.
-BROADCAST_ROWS = 200_000
 NEGATIONS = ("not", "no", "never", "nicht", "pas", "sin")
 INTENSIFIERS = ("very", "sehr", "très", "muy")
 NEGATED, INTENSIFIED = -0.74, 0.293
@@ -25,33 +25,35 @@ def text_choice(title: Column, body: Column) -> Column:
 
 
 def tokens(records: DataFrame, text: Column, key: str = "id") -> DataFrame:
-    """key, pos, token: lower-cased letter runs with a bounded look at the three tokens before."""
+    """key, token, negated, intensified: lower-cased letter runs with a look at the three tokens before; a null token where there is none.
+
+    The look is taken within the array, so that a token's row holds nothing of its neighbours."""
     parts = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_']+"), lambda t: t != "")
-    rows = records.select(key, parts.alias("w")).select(key, "w", F.posexplode("w").alias("pos", "token"))
-    before = lambda words: F.exists(F.filter(F.slice("w", F.greatest(F.col("pos") - 2, F.lit(1)), F.least("pos", F.lit(3))), lambda t: t.isNotNull()), lambda t: t.isin(*words))
-    # slice() has no empty form for position 0
-    flag = lambda words: F.when(F.col("pos") == 0, False).otherwise(before(words))
-    return rows.select(key, "pos", "token", flag(NEGATIONS).alias("negated"), flag(INTENSIFIERS).alias("intensified"))
+
+    def flagged(t: Column, i: Column) -> Column:
+        before = lambda words: reduce(lambda a, b: a | b, (F.coalesce(F.get("w", i - k).isin(*words), F.lit(False)) for k in (1, 2, 3)))
+        return F.struct(t.alias("token"), before(NEGATIONS).alias("negated"), before(INTENSIFIERS).alias("intensified"))
+
+    return records.select(key, parts.alias("w")).select(key, F.explode_outer(F.transform("w", flagged)).alias("t")).select(key, "t.*")
 
 
 def _with_valence(records: DataFrame, text: Column, lexicon: DataFrame, key: str) -> DataFrame:
-    return tokens(records, text, key).join(lexicon.select("token", "valence"), "token")
+    """Tokens with their valence, null where the lexicon has none; the join is Spark's choice by the lexicon's size."""
+    return tokens(records, text, key).join(lexicon.select("token", "valence"), "token", "left")
 
 
 def lexicon_polarity(records: DataFrame, lexicon: DataFrame, text: Column, key: str = "id") -> DataFrame:
-    """key, polarity in [-1, 1]; records without a known token get 0."""
+    """key, polarity in [-1, 1], for each key; records without a known token get 0."""
     hit = _with_valence(records, text, lexicon, key)
     v = F.col("valence") + F.when(F.col("intensified"), F.signum("valence") * INTENSIFIED).otherwise(0.0)
     v = v * F.when(F.col("negated"), NEGATED).otherwise(1.0)
     total = hit.groupBy(key).agg(F.sum(v).alias("s"))
-    score = F.coalesce(F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15), F.lit(0.0))
-    return records.select(key).join(total, key, "left").select(key, score.alias("polarity"))
+    return total.select(key, F.coalesce(F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15), F.lit(0.0)).alias("polarity"))
 
 
 def mean_lexicon_polarity(records: DataFrame, lexicon: DataFrame, text: Column, key: str = "id") -> DataFrame:
-    """key, polarity: the mean valence of known tokens; 0 without one."""
-    total = _with_valence(records, text, lexicon, key).groupBy(key).agg(F.avg("valence").alias("m"))
-    return records.select(key).join(total, key, "left").select(key, F.coalesce("m", F.lit(0.0)).alias("polarity"))
+    """key, polarity for each key: the mean valence of known tokens; 0 without one."""
+    return _with_valence(records, text, lexicon, key).groupBy(key).agg(F.coalesce(F.avg("valence"), F.lit(0.0)).alias("polarity"))
 
 
 BACKENDS = {"lexicon": lexicon_polarity, "mean": mean_lexicon_polarity}
