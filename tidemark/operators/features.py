@@ -29,10 +29,9 @@ def accel_x_gap(acceleration: Column, gap: Column) -> Column:
 
 
 def features_all(df: DataFrame) -> DataFrame:
-    """All features; the windows of an entity share one exchange and one sort."""
+    """All features; no window holds a whole entity."""
     require_columns(df, "id", "entity", "t", "created", "title", "body", "backward_count", "sentiment_polarity", stage="features")
-    df = df.withColumns({"time_since_previous": windows.time_since_previous(), "acceleration_12h": windows.acceleration()})
-    df = entities_per_record(df)
+    df = entities_per_record(windows.with_acceleration(windows.with_gaps(df)))
     df = df.withColumns(
         {
             "hour_of_day": C.hour_of_day(F.col("created")),

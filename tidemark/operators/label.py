@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import composite, normalise, require_columns
@@ -17,13 +17,24 @@ STATS = ("mu_volume", "sigma_volume", "mu_sentiment", "sigma_sentiment")
 def split_point(df: DataFrame, ratio: float = 0.8, exact: bool = True) -> DataFrame:
     """One row ``cut``: the interpolated percentile of t over all rows, excluded ones too.
 
-    Seconds are counted first, so that the exact percentile works on distinct values with
-    their frequencies; ``exact=False`` uses the bounded sketch instead.
+    Days are counted first; only the seconds of the one or two days that hold the two rows
+    around the percentile are ordered. ``exact=False`` uses the bounded sketch instead.
     """
     if not exact:
         return df.agg(F.percentile_approx("t", ratio, 100_000).cast("double").alias("cut"))
-    seconds = df.groupBy("t").agg(F.count("*").alias("n"))
-    return seconds.agg(F.expr(f"percentile(t, {ratio}, n)").alias("cut"))
+    day = F.floor(F.col("t") / windows.DAY).alias("day")
+    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seconds = df.where(F.col("t").isNotNull()).groupBy("t").agg(F.count("*").alias("n"))
+    days = seconds.groupBy(day).agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    days = days.select("day", upto(Window.orderBy("day")).alias("before"), (F.lit(ratio) * (total - 1)).alias("place"), (upto(Window.orderBy("day")) + F.col("n")).alias("after"))
+    wanted = F.broadcast(days.where((F.col("before") <= F.ceil("place")) & (F.floor("place") < F.col("after"))).select("day", "before", "place"))  # two rows
+    rows = seconds.withColumn("day", day).join(wanted, "day")
+    first = F.col("before") + upto(Window.partitionBy("day").orderBy("t"))
+    rows = rows.select("t", "n", "place", first.alias("first"))
+    at = lambda k: F.max(F.when((F.col("first") <= k) & (k < F.col("first") + F.col("n")), F.col("t")))
+    both = rows.agg(at(F.floor("place")).alias("lo"), at(F.ceil("place")).alias("hi"), F.max("place").alias("place"))
+    return both.select((F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("place") - F.floor("place"))).cast("double").alias("cut"))
 
 
 def temporal_split(df: DataFrame, ratio: float = 0.8, exact: bool = True) -> DataFrame:
@@ -111,8 +122,8 @@ def stage_counts(windowed: DataFrame) -> DataFrame:
     )
 
 
-def through_sentiment(mentions: DataFrame, method: str = "forward", min_count: int = 1, form: str = "frame") -> DataFrame:
-    return windows.with_future_sentiment(windows.windowed(mentions, method, min_count, form))
+def through_sentiment(mentions: DataFrame, method: str = "forward", min_count: int = 1, form: str = "prefix") -> DataFrame:
+    return windows.with_future_sentiment(windows.windowed(mentions, method, min_count, form), form=form)
 
 
 def label_pipeline(mentions: DataFrame, tau: float = 1.5, weight_volume: float = 0.5, weight_sentiment: float = 0.5) -> DataFrame:

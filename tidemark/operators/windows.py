@@ -3,11 +3,12 @@
 Back: the open interval (t - day, t). Forward: (t, t + day], closed at its end. Mentions at
 the same second are in neither.
 
-Two forms give the same counts. ``frame`` is a range frame; Spark walks a row's frame for
-each row, so an entity with many mentions a day costs rows times frame size. ``prefix``
-cuts time into days: each mention is copied into the days that its window can reach, rows
-of one second are counted once, and counts are differences of running sums; an entity is
-spread over its days, so no task holds a hot entity whole.
+Two forms give the same results. ``prefix``, the default, cuts time into days: rows of one
+second are summed first, each second is copied into the days that a window can reach, and a
+window is a difference of running sums; an entity is spread over its days, so no task holds a
+hot entity, and a day has a bounded number of seconds. ``frame`` is a range frame, shorter
+for entities with few mentions; Spark walks a row's frame for each row and keeps an entity
+in one task.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import require_columns
 
 DAY = 86_400
+#: Polarities are summed in units of 1 / SCALE.
+SCALE = 10**9
 
 
 def _range(first: int, last: int, entity: str = "entity", t: str = "t"):
@@ -37,27 +40,35 @@ def forward_count(window: int = DAY) -> Column:
     return F.count("*").over(_range(1, window))
 
 
-def window_counts(mentions: DataFrame, window: int = DAY, form: str = "frame") -> DataFrame:
+def window_sums(mentions: DataFrame, measures: dict[str, Column], edges: dict[str, int], window: int = DAY) -> DataFrame:
+    """entity, t and for each measure and edge ``<measure>_<edge>``: the sum over the entity's mentions up to t + edge, less a constant.
+
+    Only differences of one measure's edges mean anything; edges lie within ``window`` of 0."""
+    seconds = mentions.groupBy("entity", "t").agg(*[F.sum(x).alias(m) for m, x in measures.items()])
+    bucket = F.floor(F.col("t") / window)
+    # a second's sums, in the day's own bucket and those beside it; then the probes of each own second
+    kept = seconds.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    places = F.array(*[F.struct(F.lit(k).alias("edge"), (F.col("t") + at).alias("t")) for k, at in edges.items()])
+    probes = seconds.select("entity", bucket.alias("bucket"), F.col("t").alias("of"), F.explode(places).alias("p"))
+    kinds = dict(seconds.dtypes)
+    lines = kept.select("entity", "bucket", "t", *measures, F.lit(None).cast("long").alias("of"), F.lit(None).cast("string").alias("edge")).unionByName(
+        probes.select("entity", "bucket", "p.t", *[F.lit(None).cast(kinds[m]).alias(m) for m in measures], "of", "p.edge")
+    )
+    upto = Window.partitionBy("entity", "bucket").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+    sums = lines.select("entity", "of", "edge", *[F.coalesce(F.sum(m).over(upto), F.lit(0)).alias(m) for m in measures]).where("edge is not null")
+    cells = [F.max(F.when(F.col("edge") == k, F.col(m))).alias(f"{m}_{k}") for m in measures for k in edges]
+    return sums.groupBy("entity", F.col("of").alias("t")).agg(*cells)
+
+
+def window_counts(mentions: DataFrame, window: int = DAY, form: str = "prefix") -> DataFrame:
     """Adds backward_count and forward_count."""
     require_columns(mentions, "entity", "t", stage="window counts")
     if form == "frame":
         return mentions.withColumns({"backward_count": backward_count(window), "forward_count": forward_count(window)})
     if form != "prefix":
         raise ValueError("form is frame or prefix")
-    seconds = mentions.groupBy("entity", "t").agg(F.count("*").alias("n"))
-    bucket = F.floor(F.col("t") / window)
-    # a second's rows, the day's own and those of the days beside it; then the probes of each own second
-    kept = seconds.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    own = bucket.alias("bucket")
-    edges = (("a", F.col("t") - window), ("b", F.col("t") - 1), ("c", F.col("t")), ("d", F.col("t") + window))
-    probes = seconds.select("entity", own, F.col("t").alias("of"), F.explode(F.array(*[F.struct(F.lit(k).alias("edge"), at.alias("t")) for k, at in edges])).alias("p"))
-    lines = kept.select("entity", "bucket", "t", "n", F.lit(None).cast("long").alias("of"), F.lit(None).cast("string").alias("edge")).unionByName(
-        probes.select("entity", "bucket", "p.t", F.lit(0).cast("long").alias("n"), "of", "p.edge")
-    )
-    upto = F.sum("n").over(Window.partitionBy("entity", "bucket").orderBy("t").rangeBetween(Window.unboundedPreceding, 0))
-    sums = lines.withColumn("upto", upto).where("edge is not null")
-    at = {k: F.max(F.when(F.col("edge") == k, F.col("upto"))) for k in "abcd"}
-    counts = sums.groupBy("entity", F.col("of").alias("t")).agg((at["b"] - at["a"]).alias("backward_count"), (at["d"] - at["c"]).alias("forward_count"))
+    sums = window_sums(mentions, {"n": F.lit(1)}, {"a": -window, "b": -1, "c": 0, "d": window}, window)
+    counts = sums.select("entity", "t", (F.col("n_b") - F.col("n_a")).alias("backward_count"), (F.col("n_d") - F.col("n_c")).alias("forward_count"))
     return mentions.join(counts, ["entity", "t"])
 
 
@@ -76,26 +87,53 @@ def with_growth(counted: DataFrame, method: str = "forward", min_count: int = 1)
     return counted.withColumns({"posting_volume_growth": volume_growth(F.col("forward_count"), F.col("backward_count")), "excluded": F.col("forward_count") < min_count})
 
 
-def windowed(mentions: DataFrame, method: str = "forward", min_count: int = 1, form: str = "frame") -> DataFrame:
+def windowed(mentions: DataFrame, method: str = "forward", min_count: int = 1, form: str = "prefix") -> DataFrame:
     return with_growth(window_counts(mentions, form=form), method, min_count)
 
 
-def with_future_sentiment(df: DataFrame, window: int = DAY) -> DataFrame:
+def with_future_sentiment(df: DataFrame, window: int = DAY, form: str = "prefix") -> DataFrame:
     """Adds mean_future_sentiment (over included mentions ahead; else the row's own) and sentiment_change; excluded rows count 0."""
     require_columns(df, "polarity", "excluded", stage="future sentiment")
     own = F.when(F.col("excluded"), 0.0).otherwise(F.col("polarity"))
     df = df.withColumn("sentiment_polarity", own)
-    ahead = F.avg(F.when(~F.col("excluded"), F.col("sentiment_polarity"))).over(_range(1, window))
+    counts = F.when(~F.col("excluded"), F.col("sentiment_polarity"))
+    if form == "frame":
+        ahead = F.avg(counts).over(_range(1, window))
+    else:
+        # sums of whole millionths, so that a difference of running sums is exact
+        sums = window_sums(df, {"n": F.when(counts.isNotNull(), 1).otherwise(0), "s": F.coalesce(F.round(counts * SCALE).cast("long"), F.lit(0))}, {"c": 0, "d": window}, window)
+        n, s = F.col("n_d") - F.col("n_c"), F.col("s_d") - F.col("s_c")
+        df = df.join(sums.select("entity", "t", F.when(n > 0, s / n / SCALE).alias("_ahead")), ["entity", "t"])
+        ahead = F.col("_ahead")
     mean = F.when(F.col("excluded"), F.col("sentiment_polarity")).otherwise(F.coalesce(ahead, "sentiment_polarity"))
-    df = df.withColumn("mean_future_sentiment", mean)
+    df = df.withColumn("mean_future_sentiment", mean).drop("_ahead")
     return df.withColumn("sentiment_change", F.abs(F.col("mean_future_sentiment") - F.col("sentiment_polarity")))
 
 
 def time_since_previous() -> Column:
-    """Hours; -1 for an entity's first row, 0 for a tie."""
+    """Hours; -1 for an entity's first row, 0 for a tie. A window over the entity."""
     return F.coalesce((F.col("t") - F.lag("t").over(_in_order())) / 3600, F.lit(-1.0))
 
 
+def with_gaps(mentions: DataFrame, day: int = DAY) -> DataFrame:
+    """Adds time_since_previous, without a window over the whole entity: the second before comes from the same day, or from the last day that has any."""
+    seconds = mentions.groupBy("entity", "t").agg(F.min("id").alias("_first")).withColumn("_day", F.floor(F.col("t") / day))
+    days = seconds.groupBy("entity", "_day").agg(F.max("t").alias("_last"))
+    days = days.withColumn("_carried", F.lag("_last").over(Window.partitionBy("entity").orderBy("_day"))).drop("_last")
+    own = F.lag("t").over(Window.partitionBy("entity", "_day").orderBy("t"))
+    seconds = seconds.withColumn("_own", own).join(days, ["entity", "_day"])
+    gap = F.coalesce((F.col("t") - F.coalesce("_own", "_carried")) / 3600, F.lit(-1.0))
+    found = mentions.join(seconds.select("entity", "t", "_first", gap.alias("_gap")), ["entity", "t"])
+    return found.withColumn("time_since_previous", F.when(F.col("id") == F.col("_first"), F.col("_gap")).otherwise(0.0)).drop("_first", "_gap")
+
+
+def with_acceleration(mentions: DataFrame, window: int = DAY // 2) -> DataFrame:
+    """Adds acceleration_12h: mentions in (t - w, t) over those in (t - 2w, t - w], at least 1."""
+    sums = window_sums(mentions, {"n": F.lit(1)}, {"a": -2 * window, "b": -window, "c": -1}, 2 * window)
+    ratio = (F.col("n_c") - F.col("n_b")) / F.greatest(F.col("n_b") - F.col("n_a"), F.lit(1))
+    return mentions.join(sums.select("entity", "t", ratio.alias("acceleration_12h")), ["entity", "t"])
+
+
 def acceleration(window: int = DAY // 2) -> Column:
     """Mentions in (t - w, t) over those in (t - 2w, t - w], at least 1."""
     recent = F.count("*").over(_range(1 - window, -1))
