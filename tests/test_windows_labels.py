@@ -134,3 +134,54 @@ def test_grids_and_folds(spark):
     splits = model.expanding_splits(df)
     model.verify_temporal_order(splits)
     assert splits.where("role = 'train'").groupBy("split").count().orderBy("split").collect()[-1]["count"] == 6
+
+
+def odd_mentions(spark):
+    """Hot seconds, ends of days, long gaps, negative times and ties."""
+    import random
+
+    r = random.Random(6)
+    day = 86_400
+    ts = [r.choice([0, 1, day - 1, day, day + 1, 2 * day, -1, -day, 40 * day, 40 * day + 43_200, r.randrange(-day, 3 * day)]) for _ in range(500)]
+    return spark.createDataFrame([(k, "hot" if k % 3 else f"e{k % 7}", t, round(r.uniform(-1, 1), 4)) for k, t in enumerate(ts)], "id long, entity string, t long, polarity double")
+
+
+def test_both_forms_say_the_same(spark):
+    m = odd_mentions(spark)
+    for method in ("forward", "backward_only"):
+        a, b = (label.through_sentiment(m, method, form=form) for form in ("frame", "prefix"))
+        names = sorted(a.columns)
+        assert sorted(b.columns) == names
+        key = lambda r: r.id
+        for x, y in zip(sorted(a.select(*names).collect(), key=key), sorted(b.select(*names).collect(), key=key), strict=True):
+            assert all(p == q or abs(p - q) < 1e-8 for p, q in zip(x, y, strict=True)), (x, y)
+    frame = m.withColumns({"g": windows.time_since_previous(), "a": windows.acceleration()})
+    own = windows.with_acceleration(windows.with_gaps(m))
+    want = {r.id: (r.g, r.a) for r in frame.collect()}
+    assert {r.id: (r.time_since_previous, r.acceleration_12h) for r in own.collect()} == want
+
+
+def test_split_point_is_the_interpolated_percentile(spark):
+    m = odd_mentions(spark)
+    ts = sorted(r.t for r in m.collect())
+    for ratio in (0.0, 0.137, 0.5, 0.8, 1.0):
+        at = ratio * (len(ts) - 1)
+        lo, hi = ts[int(at)], ts[min(int(at) + (at > int(at)), len(ts) - 1)]
+        assert abs(label.split_point(m, ratio).first().cut - (lo + (hi - lo) * (at - int(at)))) < 1e-6
+    assert label.split_point(m.limit(0)).first().cut is None
+
+
+def test_roc_of_many_scores_equals_counting_pairs(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(k, f"m{k % 2}", int(r.random() < 0.4), round(r.random(), 2 if k % 3 else 9)) for k in range(1500)]
+    df = spark.createDataFrame(rows, "id long, model string, y int, prob double")
+    for by in ((), ("model",)):
+        for got in evaluate.roc_auc(df, *by).collect():
+            own = [(y, p) for _, m, y, p in rows if not by or m == got.model]
+            pos, neg = [p for y, p in own if y], [p for y, p in own if not y]
+            assert abs(got.auc - sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))) < 1e-9
+    pos, neg = [p for _, _, y, p in rows if y], [p for _, _, y, p in rows if not y]
+    for got in evaluate.roc_curve(df).collect():
+        assert abs(got.fpr - sum(p >= got.threshold for p in neg) / len(neg)) < 1e-9 and abs(got.tpr - sum(p >= got.threshold for p in pos) / len(pos)) < 1e-9

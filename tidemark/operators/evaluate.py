@@ -1,7 +1,9 @@
 """Evaluation statistics as aggregates over (id, y, prob) or (id, model, y, prob).
 
 Ranks and curves are taken over distinct scores: rows are counted by score first, so the
-ordered step sees one row for each distinct score and not one for each prediction.
+ordered step sees one row for each distinct score and not one for each prediction. Where
+most scores are distinct, as with model probabilities, running sums are taken within slots
+of the scores' quantiles and the slots' totals added, so no task orders all scores.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.records import settle
+
 TIERS = ((0.80, "stretch"), (0.70, "target"), (0.60, "minimum"))
 
 
@@ -44,21 +48,38 @@ def _by_score(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by, "prob").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
 
 
+#: Slots of the scores in which running sums are taken.
+SLOTS = 64
+
+
+def _before(steps: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Adds <column>_before: the sum over the rows of the group with a lower score; scores are distinct within a group."""
+    steps = settle(steps)
+    cuts = sorted(set(steps.approxQuantile("prob", [i / SLOTS for i in range(1, SLOTS)], 0.5 / SLOTS)))
+    slot = sum(((F.col("prob") > c).cast("int") for c in cuts), F.lit(0))
+    placed = steps.withColumn("_slot", slot)
+    lower = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = placed.groupBy(*by, "_slot").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    totals = totals.select(*by, "_slot", *[lower(f"_{c}", Window.partitionBy(*by).orderBy("_slot")).alias(f"_{c}") for c in columns])
+    within = placed.select("*", *[lower(c, Window.partitionBy(*by, "_slot").orderBy("prob")).alias(f"{c}_before") for c in columns])
+    both = within.join(totals, [*by, "_slot"])
+    return both.select(*steps.columns, *[(F.col(f"{c}_before") + F.col(f"_{c}")).alias(f"{c}_before") for c in columns])
+
+
 def roc_auc(df: DataFrame, *by: str) -> DataFrame:
     """Exact area with ties averaged (Mann-Whitney); 0.5 where a class is missing."""
-    steps = _by_score(df, *by)
-    before = F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pairs = steps.withColumn("wins", F.col("pos") * (before + F.col("neg") / 2.0))
+    pairs = _before(_by_score(df, *by), by, ["neg"]).withColumn("wins", F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0))
     total = F.sum("pos") * F.sum("neg")
     return pairs.groupBy(*by).agg(F.when(total == 0, 0.5).otherwise(F.sum("wins") / total).alias("auc"))
 
 
 def roc_curve(df: DataFrame, *by: str) -> DataFrame:
     """(threshold, fpr, tpr) for each distinct score, from the highest."""
-    w = Window.partitionBy(*by).orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    rate = lambda c: _div(F.sum(c).over(w), F.sum(c).over(whole))
-    return _by_score(df, *by).select(*by, F.col("prob").alias("threshold"), rate("neg").alias("fpr"), rate("pos").alias("tpr"))
+    steps = _before(_by_score(df, *by), by, ["neg", "pos"])
+    whole = steps.groupBy(*by).agg(F.sum("neg").alias("_neg"), F.sum("pos").alias("_pos"))
+    both = steps.join(whole, list(by)) if by else steps.crossJoin(F.broadcast(whole))
+    rate = lambda c: _div(F.col(f"_{c}") - F.col(f"{c}_before"), F.col(f"_{c}"))
+    return both.select(*by, F.col("prob").alias("threshold"), rate("neg").alias("fpr"), rate("pos").alias("tpr"))
 
 
 def threshold_curve(df: DataFrame, *by: str, steps: int = 100) -> DataFrame:
@@ -151,11 +172,6 @@ def tier(auc: Column) -> Column:
     return out
 
 
-def _uniform(*parts: Column) -> Column:
-    """In [0, 1): the first 12 hex digits of the MD5 of the parts."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 12), 16, 10).cast("double") / float(16**12)
-
-
 def poisson_one(u: Column) -> Column:
     """Poisson(1) by inversion of a uniform number, up to 6."""
     bounds = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
@@ -163,12 +179,16 @@ def poisson_one(u: Column) -> Column:
 
 
 def bootstrap(df: DataFrame, resamples: int = 1000, seed: int = 42, threshold: float = 0.5) -> DataFrame:
-    """b, precision, recall, f1, auc of each Poisson resample (weights by a hash of id, b and seed)."""
-    each = df.select("id", "y", "prob", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
-    each = each.withColumn("w", poisson_one(_uniform(F.col("id"), F.col("b"), F.lit(seed)))).where("w > 0")
+    """b, precision, recall, f1, auc of each Poisson resample.
+
+    Weights come from 16 bits each of an MD5 of id, block and seed, a block being eight resamples."""
+    blocks = df.select("id", "y", "prob", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // 8))).alias("k"))
+    blocks = blocks.withColumn("h", F.md5(F.concat_ws(":", F.col("id").cast("string"), F.col("k").cast("string"), F.lit(str(seed)))))
+    uniform = lambda j: F.conv(F.substring("h", 4 * j + 1, 4), 16, 10).cast("int") / 65536.0
+    draws = F.array(*[F.struct((F.col("k") * 8 + j + 1).alias("b"), poisson_one(uniform(j)).alias("w")) for j in range(8)])
+    each = blocks.select("y", "prob", F.explode(draws).alias("d")).select("y", "prob", "d.*").where((F.col("w") > 0) & (F.col("b") <= resamples))
     steps = each.groupBy("b", "prob").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).alias("neg"))
-    before = F.coalesce(F.sum("neg").over(Window.partitionBy("b").orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    steps = steps.withColumn("wins", F.col("pos") * (before + F.col("neg") / 2.0))
+    steps = _before(steps, ["b"], ["neg"]).withColumn("wins", F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0))
     up = F.col("prob") >= threshold
     cells = steps.groupBy("b").agg(
         F.sum(F.when(up, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(up, F.col("neg")).otherwise(0)).alias("fp"),

@@ -74,9 +74,12 @@ def clean_text(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), C.clean_text(text).alias("body"))
 
 
-@query("SELECT DISTINCT upper(trim(regexp_replace(text[1:12], '[^ -~]', '', 'g'))) AS term FROM benchmark WHERE trim(regexp_replace(text[1:12], '[^ -~]', '', 'g')) <> ''")
+@query(
+    """WITH ln AS (SELECT trim(regexp_replace(unnest(string_split(text, chr(10))), '[^ -~]', '', 'g')) AS line FROM benchmark)
+SELECT DISTINCT upper(line) AS term FROM ln WHERE line <> '' AND NOT starts_with(line, '#')"""
+)
 def stoplist_load(spark, d):
-    """Whole lines of whole texts. The SQL above still reads 12 characters of each, so it differs."""
+    """Whole lines of whole texts."""
     lines = table(spark, d, "benchmark").select(F.explode(F.split("text", "\n", -1)).alias("line"))
     return R.stop_terms(lines.select(F.regexp_replace("line", "[^ -~]", "").alias("line")))
 
