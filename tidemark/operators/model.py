@@ -18,26 +18,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .evaluate import classification_metrics, optimal_threshold, roc_auc, threshold_curve
+from ..sources.records import settle
 from .features import FEATURES, partition_filter
+from .search import DEEPEST, tree_areas
 
 FOLDS = 4
 
 
-def temporal_folds(df: DataFrame, k: int = FOLDS, key: Sequence[str] = ("t", "id", "entity")) -> DataFrame:
+def temporal_folds(df: DataFrame, k: int = FOLDS, t: str = "t") -> DataFrame:
     """Adds fold: k blocks in order of time, of n // k rows each; the last takes the rest.
 
-    The global rank comes from counts of rows by second (their running sum is over distinct
-    seconds) and the row's place within its second, so no task orders all rows."""
-    t, *rest = key
-    seconds = df.groupBy(t).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(t).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    seconds = seconds.withColumn("_before", before)
-    total = F.broadcast(df.agg(F.count("*").alias("_total")))
-    within = F.row_number().over(Window.partitionBy(t).orderBy(*rest))
-    ranked = df.withColumn("_place", within).join(seconds, t).crossJoin(total)
+    The global rank comes from range partitions and their sizes, so no task orders all rows
+    and a second with very many rows is no heavier than others."""
+    ranked = _ranked(df, F.col(t))
+    total = F.broadcast(ranked.agg(F.count("*").alias("_total")))
     block = F.greatest(F.floor(F.col("_total") / k), F.lit(1))
-    fold = F.least(F.floor((F.col("_before") + F.col("_place") - 1) / block), F.lit(k - 1)).cast("int")
-    return ranked.withColumn("fold", fold).drop("_n", "_before", "_place", "_total")
+    fold = F.least(F.floor(F.col("_rank") / block), F.lit(k - 1)).cast("int")
+    return ranked.crossJoin(total).withColumn("fold", fold).drop("_rank", "_total")
 
 
 def expanding_splits(folded: DataFrame, k: int = FOLDS) -> DataFrame:
@@ -64,6 +61,12 @@ def class_weights(df: DataFrame, label: str = "y") -> DataFrame:
     return df.crossJoin(counts).withColumn("weight", F.col("_n") / (2.0 * F.greatest(own, F.lit(1)))).drop("_n", "_p")
 
 
+def grids(spark: SparkSession, ratio: float = 1.0) -> DataFrame:
+    """model, place, params (JSON): every configuration that is tried, in order."""
+    rows = [(kind, k, json.dumps(p, sort_keys=True)) for kind in ("logistic", "forest", "boosted") for k, p in enumerate(param_grid(kind, ratio))]
+    return spark.createDataFrame(rows, "model string, place int, params string")
+
+
 def param_grid(kind: str, ratio: float = 1.0) -> list[dict]:
     """The configurations tried for logistic, forest or boosted; the last grid ends after 50."""
     if kind == "logistic":
@@ -79,7 +82,7 @@ def estimator(kind: str, params: dict, n: int, seed: int = 42):
     if kind == "logistic":
         return LogisticRegression(**own, elasticNetParam=params["l1"], regParam=1 / (params["C"] * max(n, 1)), maxIter=params.get("iter", 200))
     if kind == "forest":
-        return RandomForestClassifier(**own, numTrees=params["trees"], maxDepth=params["depth"] or 30, minInstancesPerNode=params["leaf"], seed=seed)
+        return RandomForestClassifier(**own, numTrees=params["trees"], maxDepth=params["depth"] or DEEPEST, minInstancesPerNode=params["leaf"], seed=seed, maxMemoryInMB=512)
     return GBTClassifier(**own, maxIter=params["trees"], maxDepth=params["depth"], stepSize=params["rate"], seed=seed)
 
 
@@ -121,36 +124,44 @@ class Trained:
     model: PipelineModel
 
 
-def grid_search(kind: str, grid: list[dict], splits: DataFrame, k: int = FOLDS, features: Sequence[str] = FEATURES, seed: int = 42, parallelism: int = 2) -> tuple[dict, list[float]]:
-    """The configuration with the best mean area over the splits (the first wins ties); each fit is a distributed job."""
-    parts = {}
-    for i in range(1, k):
-        own = splits.where(F.col("split") == i)
-        parts[i] = (own.where("role = 'train'").persist(), own.where("role = 'validate'").persist())
-
-    def mean_auc(params: dict) -> list[float]:
-        out = []
-        for train, validate in parts.values():
-            classes = validate.select("y").distinct().count()
-            if classes < 2 or train.select("y").distinct().count() < 2:
-                out.append(0.5)
-                continue
-            done = fit_one(kind, params, train, features, seed).transform(validate)
-            out.append(BinaryClassificationEvaluator(labelCol="y", numBins=0).evaluate(done))
-        return out
+#: Rows of all splits on which tree configurations are compared, at most; the winner is fitted on all rows.
+SEARCH_ROWS = 200_000
+#: Rows in a partition of the splits that linear configurations are fitted on.
+PART_ROWS = 100_000
 
-    with ThreadPool(parallelism) as pool:
-        scores = pool.map(mean_auc, grid)
-    for pair in parts.values():
-        for df in pair:
-            df.unpersist()
+
+def grid_search(kind: str, grid: list[dict], splits: DataFrame, k: int = FOLDS, features: Sequence[str] = FEATURES, seed: int = 42, parallelism: int = 8, search_rows: int = SEARCH_ROWS) -> tuple[dict, list[float]]:
+    """The configuration with the best mean area over the splits (the first wins ties).
+
+    Tree configurations are compared on a sample of ``search_rows`` at most, each group of nested ones in a
+    task of its own; linear ones on all rows, each fit being a distributed job, ``parallelism`` at a time."""
+    scores = tree_areas(kind, grid, splits, k, features, seed, search_rows) if kind != "logistic" else _linear_areas(grid, splits, k, features, seed, parallelism)
     best = max(range(len(grid)), key=lambda i: (sum(scores[i]), -i))
     return grid[best], scores[best]
 
 
+def _linear_areas(grid: list[dict], splits: DataFrame, k: int, features: Sequence[str], seed: int, parallelism: int) -> list[list[float]]:
+    each = splits.select("split", "role", "y", *features).persist()
+    counts = {r["split"]: r for r in each.groupBy("split").agg(*[F.count_if((F.col("role") == r) & (F.col("y") == y)).alias(f"{r}{y}") for r in ("train", "validate") for y in (0, 1)]).collect()}
+    fits = [(i, p) for i in range(1, k) for p in range(len(grid)) if i in counts and min(counts[i][c] for c in ("train0", "train1", "validate0", "validate1"))]
+    parts = {i: each.where(F.col("split") == i).coalesce(max(1, sum(counts[i][c] for c in ("train0", "train1")) // PART_ROWS)) for i in counts}
+
+    def one(fit: tuple[int, int]) -> float:
+        train, validate = (parts[fit[0]].where(F.col("role") == r) for r in ("train", "validate"))
+        done = fit_one("logistic", grid[fit[1]], train, features, seed).transform(validate)
+        return BinaryClassificationEvaluator(labelCol="y", numBins=0).evaluate(done)
+
+    scores = [[0.5] * (k - 1) for _ in grid]
+    with ThreadPool(parallelism) as pool:
+        for (i, p), auc in zip(fits, pool.map(one, fits), strict=True):
+            scores[p][i - 1] = auc
+    each.unpersist()
+    return scores
+
+
 def train_all(df: DataFrame, kinds: Sequence[str] = ("logistic", "forest", "boosted"), grids: dict | None = None, features: Sequence[str] = FEATURES, k: int = FOLDS, seed: int = 42) -> list[Trained]:
     """df: labelled rows with partition, excluded, y and the features. Search, refit on all train rows, tune the threshold on the last fold."""
-    train = temporal_folds(partition_filter(df, "train"), k).persist()
+    train = settle(temporal_folds(partition_filter(df, "train"), k))
     splits = expanding_splits(train, k)
     verify_temporal_order(splits)
     sums = train.agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).first()
@@ -163,7 +174,6 @@ def train_all(df: DataFrame, kinds: Sequence[str] = ("logistic", "forest", "boos
         curve = threshold_curve(score(model, train.where(F.col("fold") == k - 1)))
         best = optimal_threshold(curve).first()
         out.append(Trained(kind, params, sum(folds) / len(folds), folds, len(grid), time.time() - began, best["threshold"], model))
-    train.unpersist()
     return out
 
 
@@ -191,7 +201,7 @@ def cross_dataset_eval(spark: SparkSession, path: str, kinds: Sequence[str], df:
     out = None
     for kind in kinds:
         least = spark.read.schema("model string, threshold double").json(f"{path}/{kind}/meta").first()["threshold"]
-        done = score(PipelineModel.load(f"{path}/{kind}/model"), rows).persist()
+        done = settle(score(PipelineModel.load(f"{path}/{kind}/model"), rows))
         own = roc_auc(done)
         for name, cut in (("default", 0.5), ("tuned", least)):
             m = classification_metrics(done, (F.col("prob") >= cut).cast("int")).select("precision", "recall", "f1").toDF(*[f"{name}_{c}" for c in ("precision", "recall", "f1")])
@@ -210,27 +220,29 @@ def builtin_importance(model: PipelineModel, features: Sequence[str] = FEATURES)
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str] = FEATURES, repeats: int = 10, seed: int = 42) -> DataFrame:
     """feature, importance (mean drop of the area), std over repeats.
 
-    A feature is shuffled by joining rows ranked by id with values ranked by a hash; ranks
-    are built by range partitions and their offsets, so no task orders all rows."""
-    base = roc_auc(score(model, df)).first()["auc"]
-    spark, rows = df.sparkSession, []
-    ranked = _ranked(df, F.xxhash64("id", "entity")).persist()
-    for f in features:
-        drops = []
-        for r in range(repeats):
-            other = _ranked(df.select("id", "entity", F.col(f).alias("_value")), F.xxhash64("id", "entity", F.lit(f), F.lit(r), F.lit(seed))).select("_rank", "_value")
-            mixed = ranked.join(other, "_rank").withColumn(f, F.col("_value"))
-            drops.append(base - roc_auc(score(model, mixed)).first()["auc"])
-        mean = sum(drops) / repeats
-        rows.append((f, mean, (sum((x - mean) ** 2 for x in drops) / repeats) ** 0.5))
-    ranked.unpersist()
-    return spark.createDataFrame(rows, "feature string, importance double, std double")
+    A feature is shuffled by joining rows ranked by id with values ranked by a hash. All features and
+    repeats are one job: ranks are taken over all of them together, each having as many rows as the table."""
+    rows = settle(df.select("id", "entity", "y", *[F.col(f).cast("double").alias(f) for f in features]))
+    n = rows.count()
+    if not n:
+        return df.sparkSession.createDataFrame([(f, 0.0, 0.0) for f in features], "feature string, importance double, std double")
+    turns = F.array(*[F.struct(F.lit(f * repeats + r).alias("turn"), F.col(name).alias("value")) for f, name in enumerate(features) for r in range(repeats)])
+    own = _ranked(rows, F.xxhash64("id", "entity")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(len(features) * repeats - 1))))
+    each = rows.select("id", "entity", F.explode(turns).alias("v")).select("id", "entity", "v.*")
+    shuffled = _ranked(each, F.struct("turn", F.xxhash64("id", "entity", "turn", F.lit(seed)))).select("turn", (F.col("_rank") % n).alias("_rank"), "value")
+    mixed = own.join(shuffled, ["turn", "_rank"])
+    mixed = mixed.withColumns({name: F.when(F.floor(F.col("turn") / repeats) == f, F.col("value")).otherwise(F.col(name)) for f, name in enumerate(features)})
+    areas = roc_auc(score(model, mixed, "turn"), "turn")
+    base = F.broadcast(roc_auc(score(model, rows)).select(F.col("auc").alias("base")))
+    names = F.array(*[F.lit(f) for f in features])
+    drops = areas.crossJoin(base).select(F.get(names, F.floor(F.col("turn") / repeats).cast("int")).alias("feature"), (F.col("base") - F.col("auc")).alias("drop"))
+    return drops.groupBy("feature").agg(F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("std"))
 
 
 def _ranked(df: DataFrame, by: Column) -> DataFrame:
     """Adds _rank, 0 .. n - 1 in order of ``by``: place in the range partition plus the sizes of those before."""
     placed = df.withColumn("_by", by).repartitionByRange("_by", "id", "entity").sortWithinPartitions("_by", "id", "entity")
-    placed = placed.withColumn("_at", F.monotonically_increasing_id()).persist()
+    placed = settle(placed.withColumn("_at", F.monotonically_increasing_id()))
     sizes = placed.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = F.broadcast(sizes.withColumn("_before", before))  # a row for each partition

@@ -1,0 +1,158 @@
+"""Search over tree configurations: each group of nested configurations is one task over a bounded sample.
+
+Trees are grown level by level on binned features, all nodes of a level at once, and the
+validation rows walk down with them. A forest of n trees is the first n of a larger one, a
+shallow tree is the top of a deeper one, and n rounds of boosting are the first n of more:
+so one growth scores every configuration that differs in these only. The winner is fitted
+again on all rows by Spark ML.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Bins of a feature: as many as Spark ML takes.
+BINS = 32
+DEEPEST = 30
+
+
+def area(y: np.ndarray, score: np.ndarray) -> float:
+    """Area under the ROC curve, ties averaged; 0.5 where a class is missing."""
+    pos, neg = int((y == 1).sum()), int((y == 0).sum())
+    if not pos or not neg:
+        return 0.5
+    _, place, n = np.unique(score, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(n) - (n - 1) / 2)[place]
+    return float((rank[y == 1].sum() - pos * (pos + 1) / 2) / (pos * neg))
+
+
+def binned(train: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both tables as bin numbers, the bins being quantiles of the first."""
+    cuts = [np.unique(np.quantile(c, np.arange(1, BINS) / BINS)) for c in train.T]
+    place = lambda x: np.stack([np.searchsorted(cut, c, side="left") for cut, c in zip(cuts, x.T, strict=True)], axis=1)
+    return place(train), place(other)
+
+
+def grow(x: np.ndarray, target: np.ndarray, weight: np.ndarray, other: np.ndarray, depth: int, leaf: int, tried: int, rng: np.random.Generator):
+    """Grow a tree on (x, target, weight). Yields for each level the values of the rows of x and of ``other``."""
+    n_features = x.shape[1]
+    node, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+    node2, rows2 = np.zeros(len(other), dtype=np.int64), np.arange(len(other))
+    mean = np.average(target, weights=weight) if weight.sum() else 0.0
+    own, out = np.full(len(x), mean), np.full(len(other), mean)
+    many = 1
+    for _ in range(depth):
+        yield own, out
+        w, g = weight[rows], weight[rows] * target[rows]
+        total_w, total_g = np.bincount(node, w, many), np.bincount(node, g, many)
+        best = np.full(many, 1e-12)
+        feature, cut = np.full(many, -1), np.zeros(many, dtype=np.int64)
+        open_to = rng.random((many, n_features)).argsort(axis=1)[:, :tried] if tried < n_features else None
+        for j in range(n_features):
+            cell = node * BINS + x[rows, j]
+            left_w, left_g = (np.bincount(cell, v, many * BINS).reshape(many, BINS).cumsum(axis=1)[:, :-1] for v in (w, g))
+            right_w, right_g = total_w[:, None] - left_w, total_g[:, None] - left_g
+            fine = (left_w >= leaf) & (right_w >= leaf)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.where(fine, left_g**2 / left_w + right_g**2 / right_w - (total_g**2 / total_w)[:, None], 0.0)
+            k = gain.argmax(axis=1)
+            top = gain[np.arange(many), k]
+            if open_to is not None:
+                top = np.where((open_to == j).any(axis=1), top, 0.0)
+            better = top > best
+            best[better], feature[better], cut[better] = top[better], j, k[better]
+        split = feature >= 0
+        if not split.any():
+            return
+        at = np.cumsum(split) - 1
+
+        def down(node, rows, x):
+            stays = split[node]
+            node, rows = node[stays], rows[stays]
+            return 2 * at[node] + (x[rows, feature[node]] > cut[node]), rows
+
+        (node, rows), (node2, rows2) = down(node, rows, x), down(node2, rows2, other)
+        many = 2 * int(split.sum())
+        w_of = np.bincount(node, weight[rows], many)
+        value = np.bincount(node, weight[rows] * target[rows], many) / np.where(w_of > 0, w_of, 1)
+        own, out = own.copy(), out.copy()
+        own[rows], out[rows2] = value[node], value[node2]
+    yield own, out
+
+
+def forest_areas(train, y, other, y2, weight, leaf: int, wanted: Sequence[tuple[int, int]], seed: int) -> dict[tuple[int, int], float]:
+    """Area for each (trees, depth) of ``wanted``."""
+    depths = sorted({d for _, d in wanted})
+    total = {d: np.zeros(len(other)) for d in depths}
+    out = {}
+    for t in range(1, max(n for n, _ in wanted) + 1):
+        rng = np.random.default_rng([seed, t])
+        w = weight * rng.poisson(1.0, len(y))
+        levels = [v for _, v in grow(train, y, w, other, max(depths), leaf, int(np.ceil(train.shape[1] ** 0.5)), rng)]
+        for d in depths:
+            total[d] += levels[min(d, len(levels) - 1)]
+        out |= {(n, d): area(y2, total[d]) for n, d in wanted if n == t}
+    return out
+
+
+def boosted_areas(train, y, other, y2, weight, depth: int, rate: float, wanted: Sequence[int], seed: int) -> dict[int, float]:
+    """Area for each number of rounds: trees on the gradient of the logistic loss."""
+    sign = 2.0 * y - 1
+    own, out = np.zeros(len(y)), np.zeros(len(other))
+    found = {}
+    for t in range(1, max(wanted) + 1):
+        target = sign if t == 1 else 4 * sign / (1 + np.exp(np.clip(2 * sign * own, -50, 50)))
+        *_, (a, b) = grow(train, target, weight, other, depth, 1, train.shape[1], np.random.default_rng([seed, t]))
+        step = 1.0 if t == 1 else rate
+        own, out = own + step * a, out + step * b
+        if t in wanted:
+            found[t] = area(y2, out)
+    return found
+
+
+def tree_areas(kind: str, grid: Sequence[dict], splits: DataFrame, k: int, features: Sequence[str], seed: int, search_rows: int) -> list[list[float]]:
+    """For each configuration its area on each split. ``search_rows`` bounds the rows of all splits that are sampled, by a hash of their keys."""
+    share = min(1.0, search_rows / max(1, splits.count()))
+    place = F.pmod(F.xxhash64("id", "entity", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
+    pdf = splits.where(place <= share).select("id", "entity", "split", "role", "y", *[F.col(f).cast("double").alias(f) for f in features]).toPandas().sort_values(["split", "role", "id", "entity"])
+    data = {}
+    for i in range(1, k):
+        train, other = (pdf[(pdf["split"] == i) & (pdf["role"] == r)] for r in ("train", "validate"))
+        if train["y"].nunique() == 2 and other["y"].nunique() == 2:
+            data[i] = (*binned(train[list(features)].to_numpy(), other[list(features)].to_numpy()), train["y"].to_numpy(float), other["y"].to_numpy(float))
+    same = (lambda p: (p["leaf"],)) if kind == "forest" else (lambda p: (p["depth"], p["rate"], p["weight"]))
+    groups: dict[tuple, list[int]] = {}
+    for at, p in enumerate(grid):
+        groups.setdefault(same(p), []).append(at)
+    tasks = [(i, n, list(own)) for i in data for n, own in enumerate(groups.values())]
+    out = [[0.5] * (k - 1) for _ in grid]
+    if not tasks:
+        return out
+    grid = list(grid)
+
+    def one(i: int, own: list[int]) -> list[float]:
+        x, other, y, y2 = data[i]
+        if kind == "forest":
+            balance = len(y) / (2 * np.where(y == 1, max((y == 1).sum(), 1), max((y == 0).sum(), 1)))
+            wanted = [(grid[c]["trees"], grid[c]["depth"] or DEEPEST) for c in own]
+            got = forest_areas(x, y, other, y2, balance, grid[own[0]]["leaf"], wanted, seed)
+            return [got[w] for w in wanted]
+        p = grid[own[0]]
+        got = boosted_areas(x, y, other, y2, np.where(y == 1, p["weight"], 1.0), p["depth"], p["rate"], [grid[c]["trees"] for c in own], seed)
+        return [got[grid[c]["trees"]] for c in own]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, own in zip(batch["split"], batch["own"], strict=True):
+                own = [int(c) for c in own]
+                yield pd.DataFrame({"split": i, "config": own, "auc": one(int(i), own)})
+
+    jobs = splits.sparkSession.createDataFrame([(i, own) for i, _, own in tasks], "split int, own array<int>")
+    for r in jobs.repartition(len(tasks), "split", F.col("own")[0]).mapInPandas(run, "split int, config int, auc double").collect():
+        out[r["config"]][r["split"] - 1] = r["auc"]
+    return out

@@ -2,38 +2,52 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, features, label, model
 from ..sources import records
-from .tables import mentions_ev, query, r6, table, upto
+from .tables import mentions_ev, mentions_ord, query, r6, table, upto
 
 #: The configuration that ``refit_best`` refits without a search.
 FIXED = {"C": 0.1, "l1": 0.0, "iter": 20}
 
 
-def _dataset(spark, d):
+def _labelled(mentions):
     """Labelled rows with features; the threshold makes both classes common."""
-    df = label.through_sentiment(mentions_ev(spark, d))
-    df = features.features_all(label.apply_labelling(df, tau=0.5))
-    return df.withColumn("y", F.col("surge_label").cast("int"))
+    df = features.features_all(label.apply_labelling(label.through_sentiment(mentions), tau=0.5))
+    return records.settle(df.withColumn("y", F.col("surge_label").cast("int")))
+
+
+def _dataset(spark, d):
+    return _labelled(mentions_ev(spark, d))
+
+
+def _other_dataset(spark, d):
+    """Orders as mentions of their priority: another dataset, with statistics and labels of its own."""
+    status = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("title"), F.lit("").alias("body"))
+    return _labelled(mentions_ord(spark, d).join(status, "id"))
 
 
 def _folder(spark) -> str:
-    """A new folder beside the session's checkpoints; a temporary one where none are set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-tidemark-")
-    return f"{base}/tidemark-{uuid.uuid4().hex}"
+    """A new folder beside the session's checkpoints."""
+    return f"{records.shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
 
 
 def _train(spark, d, *kinds):
-    df = _dataset(spark, d).persist()
+    df = _dataset(spark, d)
     trained = model.train_all(df, kinds)
     return df, trained
 
 
+@query()
+def param_grids(spark, d):
+    """The configurations of each model; the boosted ones' weights follow the classes of the training rows."""
+    y = features.partition_filter(_dataset(spark, d), "train").agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).first()
+    return model.grids(spark, y[0] / max(y[1], 1))
+
+
 @query()
 def train_logistic(spark, d):
     df, (t,) = _train(spark, d, "logistic")
@@ -67,10 +81,11 @@ def grid_search_temporal(spark, d):
 
 @query()
 def cross_dataset_eval(spark, d):
-    df, trained = _train(spark, d, "logistic")
+    """Models of the events, saved, loaded and scored on the orders."""
+    _, trained = _train(spark, d, "logistic", "boosted")
     path = _folder(spark)
     model.save(trained, path)
-    return model.cross_dataset_eval(spark, path, ["logistic"], df, "test")
+    return model.cross_dataset_eval(spark, path, ["logistic", "boosted"], _other_dataset(spark, d), "test")
 
 
 @query()
@@ -140,7 +155,7 @@ def train_single_lr(spark, d):
 @query()
 def refit_best(spark, d):
     """A fixed configuration refitted on all training rows; the last fold scored for threshold tuning, and the threshold."""
-    train = model.temporal_folds(features.partition_filter(_dataset(spark, d), "train")).persist()
+    train = records.settle(model.temporal_folds(features.partition_filter(_dataset(spark, d), "train")))
     done = model.score(model.fit_one("logistic", FIXED, train), train.where(F.col("fold") == model.FOLDS - 1))
     return evaluate.optimal_threshold(evaluate.threshold_curve(done))
 
