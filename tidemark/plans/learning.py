@@ -119,12 +119,17 @@ def load_fit_stats(spark, d):
 
 @query(
     upto("z")
-    + """SELECT threshold, count(*) FILTER (WHERE composite > threshold) AS surge_count FROM z, (VALUES (0.5::DOUBLE), (1.0), (1.5), (2.0), (2.5)) v(threshold) GROUP BY threshold"""
+    + """SELECT threshold, surge_count, no_surge_count, surge_count + no_surge_count AS total, round(CASE WHEN surge_count + no_surge_count = 0 THEN 0 ELSE surge_count * 100.0 / (surge_count + no_surge_count) END, 6) AS surge_rate,
+  round(CASE WHEN surge_count + no_surge_count = 0 THEN 0 WHEN surge_count = 0 THEN 'Infinity'::DOUBLE ELSE no_surge_count / surge_count END, 6) AS imbalance_ratio,
+  CASE WHEN surge_count + no_surge_count = 0 THEN false ELSE surge_count * 100.0 / (surge_count + no_surge_count) BETWEEN 5 AND 10 END AS viable
+FROM (SELECT threshold, count(*) FILTER (WHERE composite > threshold) AS surge_count, count(*) FILTER (WHERE composite <= threshold) AS no_surge_count
+  FROM z, (VALUES (0.5::DOUBLE), (1.0), (1.5), (2.0), (2.5)) v(threshold) GROUP BY threshold)"""
 )
 def write_sweep(spark, d):
     path = _folder(spark)
     records.write_sweep(label.sweep_pipeline(mentions_ev(spark, d)), path)
-    return spark.read.option("header", True).schema("threshold double, surge_count long, no_surge_count long, total long, surge_rate double, imbalance_ratio double, viable boolean").csv(path).select("threshold", "surge_count")
+    back = spark.read.option("header", True).schema("threshold double, surge_count long, no_surge_count long, total long, surge_rate double, imbalance_ratio double, viable boolean").csv(path)
+    return back.withColumns({c: F.round(c, 6) for c in ("surge_rate", "imbalance_ratio")})
 
 
 @query("SELECT 'labelling' AS pipeline, CAST(count(*) AS VARCHAR) AS n_rows FROM events")
@@ -136,13 +141,13 @@ def run_log_query(spark, d):
     return records.read_runs(spark, path).select("pipeline", F.col("summary")["n_rows"].alias("n_rows"))
 
 
-@query("SELECT event_id AS id, event_type AS title FROM events")
+@query("""SELECT event_id AS id, event_type AS title, 'a "b"' || chr(10) || ', ' || props AS selftext FROM events""")
 def load_records(spark, d):
     """Events written as CSV with quoted fields and read back by the loader."""
     path = _folder(spark)
-    table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("title"), F.concat(F.lit('a "b"\n'), "props").alias("selftext")).write.option("header", True).option("escape", '"').csv(path)
+    table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("title"), F.concat(F.lit('a "b"\n, '), "props").alias("selftext")).write.option("header", True).option("escape", '"').csv(path)
     df = records.load_records(spark, path, "id long, title string, selftext string")
-    return df.select("id", "title")
+    return df.select("id", "title", "selftext")
 
 
 @query()
@@ -176,11 +181,11 @@ def predict(spark, d):
     return model.predict(t, df, "test", t.threshold)
 
 
-@query(upto("f") + "SELECT train_size, test_size, round(mu_volume, 6) AS mu_volume FROM f")
+@query(upto("f") + "SELECT train_size, test_size, " + ", ".join(f"round({c}, 6) AS {c}" for c in (*label.STATS, "cut")) + " FROM f")
 def write_summary(spark, d):
     path = _folder(spark)
     records.write_summary(label.fit_stats(label.temporal_split(label.through_sentiment(mentions_ev(spark, d)))), path)
-    return spark.read.json(path).select("train_size", "test_size", r6("mu_volume", "mu_volume"))
+    return spark.read.json(path).select("train_size", "test_size", *[r6(c, c) for c in (*label.STATS, "cut")])
 
 
 @query("SELECT count(*) AS n_runs, CAST(sum(n) AS BIGINT) AS n_rows FROM (SELECT count(*) AS n FROM events UNION ALL SELECT count(*) FROM orders)")
