@@ -76,19 +76,40 @@ def volume_growth(forward: Column, backward: Column) -> Column:
     return forward / F.greatest(backward, F.lit(1)) - 1
 
 
-def with_growth(counted: DataFrame, method: str = "forward", min_count: int = 1) -> DataFrame:
+def _with_prior(counted: DataFrame, day: int = DAY) -> DataFrame:
+    """Adds _prior: the mean backward_count of the entity's rows before this one, in order of time and id.
+
+    Sums before a second come from its day and from the totals of the days before; within a second all counts are the same."""
+    seconds = counted.groupBy("entity", "t").agg(F.count("*").alias("_n"), F.sum("backward_count").alias("_s")).withColumn("_day", F.floor(F.col("t") / day))
+    lower = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = seconds.groupBy("entity", "_day").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    of_days, within = Window.partitionBy("entity").orderBy("_day"), Window.partitionBy("entity", "_day").orderBy("t")
+    days = days.select("entity", "_day", lower("_n", of_days).alias("_n_days"), lower("_s", of_days).alias("_s_days"))
+    seconds = seconds.select("entity", "t", "_day", lower("_n", within).alias("_n"), lower("_s", within).alias("_s")).join(days, ["entity", "_day"])
+    seconds = seconds.select("entity", "t", (F.col("_n") + F.col("_n_days")).alias("_n"), (F.col("_s") + F.col("_s_days")).alias("_s"))
+    place = F.row_number().over(Window.partitionBy("entity", "t").orderBy("id")) - 1
+    n, s = F.col("_n") + F.col("_place"), F.col("_s") + F.col("_place") * F.col("backward_count")
+    return counted.withColumn("_place", place).join(seconds, ["entity", "t"]).withColumn("_prior", F.when(n > 0, s / n)).drop("_n", "_s", "_place")
+
+
+def with_growth(counted: DataFrame, method: str = "forward", min_count: int = 1, form: str = "prefix") -> DataFrame:
     """Adds posting_volume_growth and excluded, by forward counts or by past rows only (``backward_only``)."""
     if method == "backward_only":
-        prior = F.avg("backward_count").over(_in_order().rowsBetween(Window.unboundedPreceding, -1))
+        if form == "frame":
+            counted = counted.withColumn("_prior", F.avg("backward_count").over(_in_order().rowsBetween(Window.unboundedPreceding, -1)))
+        else:
+            counted = _with_prior(counted)
+        prior = F.col("_prior")
         ratio = F.col("backward_count") / F.greatest(prior, F.lit(1.0)) - 1
-        return counted.withColumns({"posting_volume_growth": F.when(prior.isNull(), 0.0).otherwise(ratio), "excluded": F.col("backward_count") < min_count})
+        grown = counted.withColumns({"posting_volume_growth": F.when(prior.isNull(), 0.0).otherwise(ratio), "excluded": F.col("backward_count") < min_count})
+        return grown.drop("_prior")
     if method != "forward":
         raise ValueError("method is forward or backward_only")
     return counted.withColumns({"posting_volume_growth": volume_growth(F.col("forward_count"), F.col("backward_count")), "excluded": F.col("forward_count") < min_count})
 
 
 def windowed(mentions: DataFrame, method: str = "forward", min_count: int = 1, form: str = "prefix") -> DataFrame:
-    return with_growth(window_counts(mentions, form=form), method, min_count)
+    return with_growth(window_counts(mentions, form=form), method, min_count, form)
 
 
 def with_future_sentiment(df: DataFrame, window: int = DAY, form: str = "prefix") -> DataFrame:
