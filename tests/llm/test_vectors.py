@@ -53,7 +53,7 @@ def test_links_and_components_equal_brute_force(spark):
                 root[q] = p
     want = {k: (links[k], find(k), find(k) == k) for k in root}
     # without clumps, and with blocks so small that every bucket has one
-    for kw in ({"bucket": 32, "block": 64}, {"bucket": 32, "block": 4, "at_once": 3}):
+    for kw in ({"bucket": 32, "block": 64}, {"bucket": 32, "block": 4, "rows_at_once": 1500}):
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embdedup.near_duplicates(df, 0.93, **kw).collect()}
         assert len(got) == len(rows)
         missed = [k for k in want if got[k] != want[k]]
@@ -75,7 +75,7 @@ def test_repeated_ids_are_vectors_of_their_own(spark):
 def test_search_equals_brute_force(spark):
     rows = table(3)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    for kw in ({}, {"reach": 300, "window": 16, "curves": 12, "at_once": 5}):
+    for kw in ({}, {"reach": 300, "window": 16, "curves": 6, "rows_at_once": 1500}):
         got = {}
         for r in ann.search(df, F.col("vec_id") % 10 == 0, k=4, **kw).collect():
             got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))

@@ -11,8 +11,8 @@ the windows find is merged and reranked by exact distance.
 ``reach`` decides the recall. For random directions, which hardly show in a few projections,
 recall keeps at the same level when it grows with the power 0.75 of the number of nodes, so
 that is the default (RECALL in the README); the work is queries times ``reach``, below the
-square of the table. Curves are taken ``at_once`` at a time, which bounds what is shuffled
-at once.
+square of the table. Curves are taken several at a time, so that about ``rows_at_once`` rows
+are shuffled at once (one curve's, where that is more).
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components
 take no part, as queries or candidates; vectors of other lengths never meet; ties go to the
@@ -113,7 +113,7 @@ def search(
     axes: int = 8,
     bits: int = 7,
     reach: int | None = None,
-    at_once: int = 6,
+    rows_at_once: int = 1_000_000,
     window: int = 16_384,
     sample: int = 4096,
     seed: int = 5,
@@ -162,7 +162,7 @@ def search(
     def meet(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         return _nearest(own, others, k + 1, kind)
 
-    found = []
+    found, at_once = [], max(1, rows_at_once // max(total, 1))
     for start in range(0, curves, at_once):
         some = range(start, min(start + at_once, curves))
         ranked = materialize(_ranked(nodes.select("node", "length", "data").mapInPandas(keyed(some), "node long, c int, length int, key long"), max(1, total * len(some) // 200_000)))

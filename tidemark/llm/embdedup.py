@@ -10,7 +10,8 @@ Vectors of one label that are equal in every component are one node with a count
 buckets are dealt to blocks, and each pair of blocks meets in one group, so a task holds two
 blocks at most. A pair that shares buckets in several tables counts in the first only. Groups
 return each node's number of links and a spanning forest of them, never all pairs. Tables are
-taken ``at_once`` at a time, which bounds what is shuffled at once.
+taken several at a time, so that about ``rows_at_once`` rows are shuffled at once (one table's,
+where that is more).
 
 Clumps: in a bucket of the first table with more than one block, the nodes within half the
 threshold's angle of the bucket's first node are all linked with each other by the triangle
@@ -157,7 +158,7 @@ def near_duplicates(
     missed: float = 1e-4,
     bucket: int = 256,
     block: int = 1024,
-    at_once: int = 4,
+    rows_at_once: int = 1_000_000,
     seed: int = 11,
 ) -> DataFrame:
     """Per row: key, n_links (other vectors linked), component_id (smallest key reachable), kept."""
@@ -174,7 +175,8 @@ def near_duplicates(
         nodes = materialize(nodes.repartitionByRange("first", "label", "data").sortWithinPartitions("first", "label", "data").withColumn("node", F.monotonically_increasing_id()))
     else:
         nodes = nodes.withColumn("node", F.col("first"))
-    largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
+    largest, total = nodes.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
+    largest = largest or 1
     bits = max(1, math.ceil(math.log2(max(2, largest) / bucket)))
     tables = tables_for(similarity, bits, missed)
     coded = materialize(_codes(nodes.select("node", "label", "length", "copies", "data"), bits, tables, seed, kind))
@@ -183,7 +185,7 @@ def near_duplicates(
     clumps = materialize(clumps.join(of_clump.where("members > 1"), "clump").select("node", "clump", "clump_copies"))
     coded = materialize(coded.join(clumps.select("node", "clump"), "node", "left").withColumn("clump", F.coalesce("clump", F.lit(-1))))
 
-    found = []
+    found, at_once = [], max(1, rows_at_once // max(total or 1, 1))
     keys = ["label", "length", "t", "code"]
     for start in range(0, tables, at_once):
         some = F.array(*[F.struct(F.lit(t).alias("t"), F.col("codes")[t].alias("code")) for t in range(start, min(start + at_once, tables))])
