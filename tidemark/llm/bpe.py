@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Matches that begin with the same HEAD bytes share the last tokens of these prefixes and are continued by appending.
+HEAD = 6
 #: Ids are below 2 ** LEFT; a pair of ids is kept as one number.
 LEFT = 24
 
@@ -42,13 +44,14 @@ class BytePairs:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.pair_cache = pair_cache
         self._pairs: dict[int, bool] = {}
-        #: Tokens by their last bytes: trie[b"c"]["b"]["a"] holds the rank of b"abc" at None.
-        self._trie: dict = {}
+        #: Tokens by their last bytes: a byte leads to the rank of what has been read (-1: no token) and to the bytes before.
+        self._trie: dict[int, list] = {}
         for token, rank in ranks.items():
-            node = self._trie
+            before = self._trie
             for byte in reversed(token):
-                node = node.setdefault(byte, {})
-            node[None] = rank
+                node = before.setdefault(byte, [-1, {}])
+                before = node[1]
+            node[0] = rank
         self._own: dict[int, bool] = {}
 
     def merge(self, data: bytes) -> list[int]:
@@ -80,25 +83,26 @@ class BytePairs:
 class PrefixTable:
     """The last token of every prefix of a byte string, open to appends and edits."""
 
-    def __init__(self, pairs: BytePairs, data: bytes = b""):
+    def __init__(self, pairs: BytePairs, data: bytes = b"", last: Iterable[int] = ()):
+        """``last``: the last tokens of the first prefixes, where they are known."""
         self.pairs = pairs
         self.data = bytearray(data)
-        self.last: list[int] = []
-        self._fill(0, len(data))
+        self.last: list[int] = list(last)
+        self._fill(len(self.last), len(data))
 
     def _fill(self, start: int, stop: int) -> None:
         """Last tokens of the prefixes that end at start+1 .. stop; those before are known."""
         pairs, data, last = self.pairs, self.data, self.last
         root, known, shift = pairs._trie, pairs._pairs, 1 << LEFT
         for end in range(start + 1, stop + 1):
-            node, at = root, end
+            before, at = root, end
             while at:
                 at -= 1
-                node = node.get(data[at])
+                node = before.get(data[at])
                 if node is None:
                     raise ValueError("a byte is missing from the vocabulary")
-                token = node.get(None)
-                if token is not None:
+                token, before = node
+                if token >= 0:
                     if not at:
                         if pairs.reachable(token):
                             break
@@ -155,6 +159,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.cache = cache
         self._pieces: dict[str, str] = {}
+        self._heads: dict[bytes, list[int]] = {}
         #: Ids of a word at the start of a line, and of a word after one blank.
         self._words: tuple[dict[str, str | None], dict[str, str | None]] = ({}, {})
         self._bytes = {str(rank): token for rank, token in self.pairs.tokens.items()}
@@ -170,7 +175,12 @@ class Codec:
             if whole is not None and self.pairs.reachable(whole):
                 known = f" {whole}"
             else:
-                known = "".join([f" {i}" for i in PrefixTable(self.pairs, data).ids()])
+                head, last = data[:HEAD], ()
+                if len(data) > HEAD and (last := self._heads.get(head)) is None:
+                    if len(self._heads) >= self.cache:
+                        self._heads.clear()
+                    last = self._heads[head] = PrefixTable(self.pairs, head).last
+                known = "".join([f" {i}" for i in PrefixTable(self.pairs, data, last).ids()])
             if len(piece) <= 64:
                 self._pieces[piece] = known
         return known
