@@ -16,10 +16,19 @@ from tidemark.llm import langid, minhash, packing, pii
 from tidemark.llm.shared import materialize
 
 
+#: Rows that a Python worker holds at a time: texts are long, and workers live through all stages.
+BATCH_ROWS = 2000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any recognisable language (``und``) go: null and empty texts, and texts without a letter.
 
     ``lang`` stays the source's label. Repeated rows and rows without an id are judged each by its own text."""
+    _small_batches(spark)
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
     return docs.where(langid.language_of(F.col("text"), model)["lang_pred"] != "und")
 
@@ -29,6 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows of one id and text are one document, of which any row stays. Different texts under one id, or without
     an id, are documents of their own. Null and empty texts are near no other text and stay."""
+    _small_batches(spark)
     rows = minhash.numbered(docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), "id", "text")
     kept = minhash.node_duplicates(rows.select("_node", "text")).where("kept").select(F.col("node").alias("_node")).distinct()
     one = rows.select("_node", "row").join(kept, "_node", "left_semi").dropDuplicates(["_node"])
@@ -49,6 +59,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pieces of sequences of at most 1,024 tokens; null texts count as empty and have their end token alone.
 
     Repeated rows are packed each for itself, rows without an id under a null id; other columns are left behind."""
+    _small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import minhash
+from tidemark.llm import minhash, shared
 
 
 def brute(rows, words=2, percent=80):
@@ -106,7 +106,7 @@ def test_hot_buckets_are_joined_like_others(spark):
     rows = [(k, 0 if k % 2 else k) for k in range(6000)]
     df = spark.createDataFrame(rows, "node long, bucket long")
     sizes = df.groupBy("bucket").agg(F.count("*").alias("size"))
-    got = {(r.node, r.bucket, r.size) for r in minhash._with_buckets(df, sizes).collect()}
+    got = {(r.node, r.bucket, r.size) for r in shared.join_counted(df, sizes, "bucket").collect()}
     n = sum(b == 0 for _, b in rows)
     assert got == {(k, b, n if b == 0 else 1) for k, b in rows}
 

@@ -14,8 +14,8 @@ bounded size for pairs that cross components, the members of the smallest node's
 never meeting each other. A pair left out is one whose ends are already connected, so
 components are those of all candidate pairs.
 
-Hot buckets: those with more than 1 / HOT of all band rows, HOT at most, are joined by
-broadcast, so that none of them meets in one task. Texts for the confirmation are read
+Hot buckets and centres, 2,000 at most, are joined by broadcast (``join_counted``), so that
+none of them meets in one task. Texts for the confirmation are read
 where a bitmap of fixed size, made of the wanted ids, lets them pass, before they are joined
 by id: one plan for any number of ids, which shuffles few other texts.
 
@@ -38,13 +38,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, discard, materialize
+from .shared import connected_components, discard, join_counted, materialize
 
 #: MinHash samples, bits of the odd sketch, samples in a band at most.
 SAMPLES, BITS, ROWS = 256, 512, 4
 WORD_CACHE = 200_000
-#: Buckets that hold more than this share of all band rows are hot: 2,000 at most.
-HOT = 2000
 #: Bits of the bitmap of wanted ids, in pages of 4 KB: 8 MB are broadcast at most.
 PAGE, BITMAP = 1 << 15, 1 << 26
 _words: dict[bytes, int] = {}
@@ -191,19 +189,11 @@ def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.select("id", "text", page, bit).join(F.broadcast(pages), "page").where(is_set).select("id", "text")
 
 
-def _with_buckets(rows: DataFrame, buckets: DataFrame) -> DataFrame:
-    """``rows`` joined with ``buckets`` (bucket, size, ...) by bucket, hot ones by broadcast."""
-    least = (buckets.agg(F.sum("size")).first()[0] or 0) / HOT
-    hot = buckets.where(F.col("size") > least)
-    cold = rows.join(F.broadcast(hot.select("bucket")), "bucket", "left_anti").join(buckets.where(F.col("size") <= least), "bucket")
-    return rows.join(F.broadcast(hot), "bucket").unionByName(cold)
-
-
 def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int, group: int = 256) -> DataFrame:
     """Pairs (a, c) whose full sets reach the threshold. A centre's members are dealt to
     groups of about ``group``; in a task only the centre's set stays in memory."""
-    sizes = pairs.groupBy("c").agg(F.ceil(F.count("*") / group).alias("groups"))
-    dealt = pairs.join(sizes, "c").select("a", "c", F.pmod(F.xxhash64("a"), "groups").alias("g"))
+    sizes = pairs.groupBy("c").agg(F.count("*").alias("size"))
+    dealt = join_counted(pairs, sizes, "c").select("a", "c", F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / group)).alias("g"))
     wanted = _texts_of(texts, pairs.select(F.col("a").alias("id")))
     members = dealt.join(wanted, F.col("a") == F.col("id")).select("c", "g", "id", F.lit(1).alias("member"), "text")
     centres = dealt.select("c", "g").distinct()
@@ -394,7 +384,7 @@ def node_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1")
     shared = materialize(shared)
-    members = materialize(_with_buckets(rows, shared))
+    members = materialize(join_counted(rows, shared, "bucket"))
     discard(shared)
 
     # round 1: every member against the bucket's first
@@ -410,9 +400,9 @@ def node_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     labelled = materialize(labelled)
     kinds = labelled.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("component", "node").alias("main"))
     kinds = materialize(kinds.where("lo < hi").select("bucket", "size", "main"))
-    mixed = materialize(_with_buckets(labelled, kinds).withColumn("in_main", F.col("component") == F.col("main")))
+    mixed = materialize(join_counted(labelled, kinds, "bucket").withColumn("in_main", F.col("component") == F.col("main")))
     mains = materialize(mixed.groupBy("bucket").agg(F.count("*").alias("size"), F.count_if("in_main").alias("mains")))
-    rows = _with_buckets(mixed.select("bucket", "node", "component", "in_main"), mains).join(nodes, "node")
+    rows = join_counted(mixed.select("bucket", "node", "component", "in_main"), mains, "bucket").join(nodes, "node")
     more = _crossing(rows, docs, similarity, words, percent)
     edges = materialize(found.select(F.col("node").alias("a"), F.col("component").alias("c")).unionByName(more))
     stars_found, found = found, materialize(connected_components(edges, "a", "c"))

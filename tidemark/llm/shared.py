@@ -40,13 +40,28 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Keys that hold more than this share of all rows are hot: 2,000 at most.
+HOT = 2000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, total: int | None = None) -> DataFrame:
+    """``rows`` joined with ``counted`` (one row for each key, with ``size``, its rows) by ``key``.
+
+    Hot keys, which are HOT at most, are joined by broadcast, so that none of them meets in one task."""
+    if total is None:
+        total = counted.agg(F.sum("size")).first()[0] or 0
+    hot = counted.where(F.col("size") > total / HOT)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(counted.where(F.col("size") <= total / HOT), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph: ``node``, ``component`` (its smallest node).
 
     Alternating large-star and small-star rounds: joins and aggregates only, O(log^2 n)
     rounds, each written to the shared folder. Nodes without an edge are not returned;
-    null ends, self-loops and repeated edges are ignored. The hub of a star is only ever
-    aggregated (map side first) or on the streamed side of a join that AQE can split.
+    null ends, self-loops and repeated edges are ignored. The hub of a star is aggregated on
+    the map side first, and joined by broadcast.
     """
     u, v = F.col(src), F.col(dst)
     now = materialize(
@@ -59,14 +74,15 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
     for _ in range(max_rounds if mark[0] else 0):
         # large star: every larger neighbour of u hangs on the smallest node around u
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")).select("u", F.least("u", "m").alias("m"), "size")
         large = (
-            both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            join_counted(both, least, "u", 2 * mark[0]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
         # small star: u and its smaller neighbours hang on the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
         small = (
-            large.join(least, "u")
+            join_counted(large, least, "u", mark[0])
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u != v")
@@ -74,6 +90,7 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
         )
         after = materialize(small)
         discard(now)
+        discard(large)
         now = after
         before, mark = mark, now.agg(*summary).first()
         if mark == before:
