@@ -53,7 +53,7 @@ def test_links_and_components_equal_brute_force(spark):
                 root[q] = p
     want = {k: (links[k], find(k), find(k) == k) for k in root}
     # without clumps, and with blocks so small that every bucket has one
-    for kw in ({"bucket": 32, "block": 64}, {"bucket": 32, "block": 4, "rows_at_once": 1500}):
+    for kw in ({"bucket": 32, "block": 64}, {"bucket": 32, "block": 16, "rows_at_once": 1500}):
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embdedup.near_duplicates(df, 0.93, **kw).collect()}
         assert len(got) == len(rows)
         missed = [k for k in want if got[k] != want[k]]
