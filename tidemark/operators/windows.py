@@ -69,7 +69,8 @@ def window_counts(mentions: DataFrame, window: int = DAY, form: str = "prefix")
         raise ValueError("form is frame or prefix")
     sums = window_sums(mentions, {"n": F.lit(1)}, {"a": -window, "b": -1, "c": 0, "d": window}, window)
     counts = sums.select("entity", "t", (F.col("n_b") - F.col("n_a")).alias("backward_count"), (F.col("n_d") - F.col("n_c")).alias("forward_count"))
-    return mentions.join(counts, ["entity", "t"])
+    # left joins, here and below: Spark leaves them out where a later step does not ask for their columns
+    return mentions.join(counts, ["entity", "t"], "left")
 
 
 def volume_growth(forward: Column, backward: Column) -> Column:
@@ -124,7 +125,7 @@ def with_future_sentiment(df: DataFrame, window: int = DAY, form: str = "prefix"
         # sums of whole millionths, so that a difference of running sums is exact
         sums = window_sums(df, {"n": F.when(counts.isNotNull(), 1).otherwise(0), "s": F.coalesce(F.round(counts * SCALE).cast("long"), F.lit(0))}, {"c": 0, "d": window}, window)
         n, s = F.col("n_d") - F.col("n_c"), F.col("s_d") - F.col("s_c")
-        df = df.join(sums.select("entity", "t", F.when(n > 0, s / n / SCALE).alias("_ahead")), ["entity", "t"])
+        df = df.join(sums.select("entity", "t", F.when(n > 0, s / n / SCALE).alias("_ahead")), ["entity", "t"], "left")
         ahead = F.col("_ahead")
     mean = F.when(F.col("excluded"), F.col("sentiment_polarity")).otherwise(F.coalesce(ahead, "sentiment_polarity"))
     df = df.withColumn("mean_future_sentiment", mean).drop("_ahead")
@@ -152,7 +153,7 @@ def with_acceleration(mentions: DataFrame, window: int = DAY // 2) -> DataFrame:
     """Adds acceleration_12h: mentions in (t - w, t) over those in (t - 2w, t - w], at least 1."""
     sums = window_sums(mentions, {"n": F.lit(1)}, {"a": -2 * window, "b": -window, "c": -1}, 2 * window)
     ratio = (F.col("n_c") - F.col("n_b")) / F.greatest(F.col("n_b") - F.col("n_a"), F.lit(1))
-    return mentions.join(sums.select("entity", "t", ratio.alias("acceleration_12h")), ["entity", "t"])
+    return mentions.join(sums.select("entity", "t", ratio.alias("acceleration_12h")), ["entity", "t"], "left")
 
 
 def acceleration(window: int = DAY // 2) -> Column:
