@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embdedup, langid, licenses, minhash, packing, pii, urls, warc
+from . import ann, bpe, embdedup, filter_audit, langid, licenses, linededup, minhash, packing, pii, runs, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,13 +75,36 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(_table(spark, sf_dir, "documents"))
+
+
+def with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """The contract's texts: a tenth of the documents, by the CRC of their ids, end in a repeated block of words."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    return runs.with_repeats(docs.select("doc_id", "text"), h % 10 == 0, g, 3 + g % 8)
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(with_planted_repeats(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_bpe, op2_packing, op3_langid, op4_embdedup, op5_minhash, op6_warc, op7_pii, op8_urls, op9_ann, op10_licenses,
+        op11_filter_audit, op12_linededup, op13_runs,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """Operators that SQL can say. The URL query's SQL holds for pages without redirect or canonical links."""
-    return {"op6_warc": warc.oracle(), "op8_urls": urls.oracle(URL_RULES), "op10_licenses": licenses.oracle()}
+    return {
+        "op6_warc": warc.oracle(), "op8_urls": urls.oracle(URL_RULES), "op10_licenses": licenses.oracle(),
+        "op11_filter_audit": filter_audit.oracle(), "op12_linededup": linededup.oracle(),
+    }
