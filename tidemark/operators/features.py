@@ -29,9 +29,13 @@ def accel_x_gap(acceleration: Column, gap: Column) -> Column:
 
 
 def features_all(df: DataFrame) -> DataFrame:
-    """All features; no window holds a whole entity."""
+    """All features; no window holds a whole entity. Windows that an earlier sweep has added are not taken again."""
     require_columns(df, "id", "entity", "t", "created", "title", "body", "backward_count", "sentiment_polarity", stage="features")
-    df = entities_per_record(windows.with_acceleration(windows.with_gaps(df)))
+    if "time_since_previous" not in df.columns:
+        df = windows.with_gaps(df)
+    if "acceleration_12h" not in df.columns:
+        df = windows.with_acceleration(df)
+    df = entities_per_record(df)
     df = df.withColumns(
         {
             "hour_of_day": C.hour_of_day(F.col("created")),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import composite, normalise, require_columns
+from ..sources.records import settle
 from . import windows
 
 TAUS = (0.5, 1.0, 1.5, 2.0, 2.5)
@@ -122,14 +123,20 @@ def stage_counts(windowed: DataFrame) -> DataFrame:
     )
 
 
-def through_sentiment(mentions: DataFrame, method: str = "forward", min_count: int = 1, form: str = "prefix") -> DataFrame:
-    return windows.with_future_sentiment(windows.windowed(mentions, method, min_count, form), form=form)
+def through_sentiment(mentions: DataFrame, method: str = "forward", min_count: int = 1, form: str = "prefix", with_features: bool = False) -> DataFrame:
+    """Counts, growth, exclusion and sentiment ahead; ``with_features`` keeps the features that the same sweep gives."""
+    if form == "frame":
+        return windows.with_future_sentiment(windows.windowed(mentions, method, min_count, form), form=form)
+    found = windows.all_windows(mentions, method, min_count)
+    return found if with_features else found.drop("time_since_previous", "acceleration_12h")
 
 
-def label_pipeline(mentions: DataFrame, tau: float = 1.5, weight_volume: float = 0.5, weight_sentiment: float = 0.5) -> DataFrame:
-    return apply_labelling(through_sentiment(mentions), tau, weight_volume, weight_sentiment)
+def label_pipeline(mentions: DataFrame, tau: float = 1.5, weight_volume: float = 0.5, weight_sentiment: float = 0.5, method: str = "forward", min_count: int = 1, ratio: float = 0.8) -> DataFrame:
+    """From mentions to labels. Windows are taken once and settled; statistics and labels read the settled rows."""
+    return apply_labelling(settle(through_sentiment(mentions, method, min_count)), tau, weight_volume, weight_sentiment, ratio)
 
 
 def sweep_pipeline(mentions: DataFrame, taus: Sequence[float] = TAUS) -> DataFrame:
-    split = temporal_split(through_sentiment(mentions))
+    """From mentions to the distribution at each tau; only what the scores need is settled."""
+    split = temporal_split(settle(through_sentiment(mentions).select("t", "posting_volume_growth", "sentiment_change", "excluded")))
     return viability(threshold_sweep(scored(split, fit_stats(split)), taus))

@@ -3,18 +3,27 @@
 Back: the open interval (t - day, t). Forward: (t, t + day], closed at its end. Mentions at
 the same second are in neither.
 
-Two forms give the same results. ``prefix``, the default, cuts time into days: rows of one
-second are summed first, each second is copied into the days that a window can reach, and a
-window is a difference of running sums; an entity is spread over its days, so no task holds a
-hot entity, and a day has a bounded number of seconds. ``frame`` is a range frame, shorter
-for entities with few mentions; Spark walks a row's frame for each row and keeps an entity
-in one task.
+Two forms give the same results. ``prefix``, the default, is one sweep: rows of one second are
+summed first, time is cut into days, and each second goes to its own day and to the days whose
+windows can reach it. One shuffle by entity and day brings these together, sorted; one pass
+over them takes running sums and reads every window of every second off as a difference of two
+of them: counts back and ahead, exclusion, sentiment ahead, acceleration, the gap to the second
+before (of an empty stretch the last second is carried in). An entity is spread over its days,
+and a day with those around it has a bounded number of seconds, so no task holds a hot entity.
+``frame`` is a range frame, shorter for entities with few mentions; Spark walks a row's frame
+for each row and keeps an entity in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.columns import require_columns
 
@@ -40,37 +49,107 @@ def forward_count(window: int = DAY) -> Column:
     return F.count("*").over(_range(1, window))
 
 
-def window_sums(mentions: DataFrame, measures: dict[str, Column], edges: dict[str, int], window: int = DAY) -> DataFrame:
-    """entity, t and for each measure and edge ``<measure>_<edge>``: the sum over the entity's mentions up to t + edge, less a constant.
+SWEPT = ("backward_count", "forward_count", "_ahead_n", "_ahead_s", "_recent", "_earlier", "_gap")
+
+
+def sweep_day(t: np.ndarray, group: np.ndarray, start: np.ndarray, n: np.ndarray, s: np.ndarray, c: np.ndarray, window: int, method: str | None, min_count: int) -> dict[str, np.ndarray]:
+    """Every window of seconds that come in order of group and t; ``start`` is the first second of a row's group's own day.
+
+    n: rows of the second, s and c: sum and number of its polarities; excluded seconds count for no sentiment (``method`` None: none is)."""
+    # one axis for all groups: windows reach two days back at most, and a carried second before these lies outside all of them
+    key = group * (8 * window) + np.maximum(t - start, -window - 1) + 3 * window
+    total = lambda x: np.concatenate([[0], np.cumsum(x)])
+    upto = lambda sums, edge: sums[np.searchsorted(key, key + edge, side="right")]
+    rows = total(n)
+    here, before = upto(rows, 0), upto(rows, -1)
+    back, ahead = before - upto(rows, -window), upto(rows, window) - here
+    counts = {None: 1, "forward": ahead, "backward_only": back}[method]
+    included = counts >= (0 if method is None else min_count)
+    n_ahead, s_ahead = (upto(x, window) - upto(x, 0) for x in (total(np.where(included, c, 0)), total(np.where(included, s, 0))))
+    half = upto(rows, -(window // 2))
+    gap = np.full(len(t), -1)
+    gap[1:] = np.where(group[1:] == group[:-1], t[1:] - t[:-1], -1)
+    return dict(zip(SWEPT, (back, ahead, n_ahead, s_ahead, before - half, half - upto(rows, -2 * (window // 2)), gap), strict=True))
 
-    Only differences of one measure's edges mean anything; edges lie within ``window`` of 0."""
-    seconds = mentions.groupBy("entity", "t").agg(*[F.sum(x).alias(m) for m, x in measures.items()])
-    bucket = F.floor(F.col("t") / window)
-    # a second's sums, in the day's own bucket and those beside it; then the probes of each own second
-    kept = seconds.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    places = F.array(*[F.struct(F.lit(k).alias("edge"), (F.col("t") + at).alias("t")) for k, at in edges.items()])
-    probes = seconds.select("entity", bucket.alias("bucket"), F.col("t").alias("of"), F.explode(places).alias("p"))
-    kinds = dict(seconds.dtypes)
-    lines = kept.select("entity", "bucket", "t", *measures, F.lit(None).cast("long").alias("of"), F.lit(None).cast("string").alias("edge")).unionByName(
-        probes.select("entity", "bucket", "p.t", *[F.lit(None).cast(kinds[m]).alias(m) for m in measures], "of", "p.edge")
-    )
-    upto = Window.partitionBy("entity", "bucket").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
-    sums = lines.select("entity", "of", "edge", *[F.coalesce(F.sum(m).over(upto), F.lit(0)).alias(m) for m in measures]).where("edge is not null")
-    cells = [F.max(F.when(F.col("edge") == k, F.col(m))).alias(f"{m}_{k}") for m in measures for k in edges]
-    return sums.groupBy("entity", F.col("of").alias("t")).agg(*cells)
+
+def swept(mentions: DataFrame, polarity: Column | None = None, window: int = DAY, method: str | None = None, min_count: int = 1) -> DataFrame:
+    """entity, t and what one sweep finds for the second: backward_count, forward_count; _ahead_n, _ahead_s (polarities of included
+    rows ahead, in units of 1 / SCALE); _recent, _earlier (rows in the half window before and in the one before that); _gap
+    (seconds since the second before, -1 for the first); _first (the smallest id, where rows have one)."""
+    require_columns(mentions, "entity", "t", stage="window sweep")
+    if method not in (None, "forward", "backward_only"):
+        raise ValueError("method is forward or backward_only")
+    scaled = F.round(polarity * SCALE).cast("long") if polarity is not None else F.lit(None).cast("long")
+    first = [F.min("id").alias("_first")] if "id" in mentions.columns else []
+    seconds = mentions.where(F.col("entity").isNotNull() & F.col("t").isNotNull()).groupBy("entity", F.col("t").cast("long").alias("t"))
+    seconds = seconds.agg(F.count("*").alias("n"), F.coalesce(F.sum(scaled), F.lit(0)).alias("s"), F.count(scaled).alias("c"), *first)
+    own = F.floor(F.col("t") / window)
+    # a second is read by its own day, by the two days before, which look ahead and ask whether those ahead are excluded, and by the day after
+    around = seconds.withColumn("day", F.explode(F.sequence(own - 2, own + 1)))
+    days = seconds.groupBy("entity", own.alias("day")).agg(F.max("t").alias("t"))
+    carried = days.select("entity", "day", F.lag("t").over(Window.partitionBy("entity").orderBy("day")).alias("t")).where("t is not null")
+    rows = around.unionByName(carried.withColumns({c: F.lit(0).cast("long") for c in "nsc"}), allowMissingColumns=True)
+    rows = rows.repartition("entity", "day").sortWithinPartitions("entity", "day", "t")
+    kinds = {f.name: f for f in rows.schema}
+    schema = StructType([kinds["entity"], kinds["t"]]).add("backward_count", "long")
+    for c in SWEPT[1:]:
+        schema = schema.add(c, "long")
+    if first:
+        schema = schema.add(kinds["_first"])
+    arrow, names = to_arrow_schema(schema), rows.columns
+
+    def whole_days(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Tables that no entity's day is cut by."""
+        held: list[pa.Table] = []
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            group = _groups(table)
+            last = int(np.searchsorted(group, group[-1])) if len(group) else 0
+            if last:
+                yield pa.concat_tables([*held, table.slice(0, last)])
+                held = []
+            held.append(table.slice(last))
+        if held:
+            yield pa.concat_tables(held)
+
+    def _groups(table: pa.Table) -> np.ndarray:
+        entity, day = table["entity"].combine_chunks().dictionary_encode(), table["day"].to_numpy()
+        codes = (entity.combine_chunks() if isinstance(entity, pa.ChunkedArray) else entity).indices.to_numpy()
+        new = np.ones(len(codes), bool)
+        new[1:] = (codes[1:] != codes[:-1]) | (day[1:] != day[:-1])
+        return np.cumsum(new) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_days(batches):
+            if not table.num_rows:
+                continue
+            t, day, n = (table[c].to_numpy() for c in ("t", "day", "n"))
+            found = sweep_day(t, _groups(table), day * window, n, table["s"].to_numpy(), table["c"].to_numpy(), window, method, min_count)
+            keep = np.flatnonzero((n > 0) & (t // window == day))
+            out = table.take(keep).combine_chunks()
+            columns = {c: out[c] for c in names} | {c: pa.chunked_array([pa.array(found[c][keep], pa.int64())]) for c in SWEPT}
+            yield from pa.table([columns[f.name] for f in arrow], schema=arrow).to_batches()
+
+    return rows.mapInArrow(run, schema)
+
+
+def _with(mentions: DataFrame, found: DataFrame) -> DataFrame:
+    # one row for each second, which this says: so Spark leaves the join out where a later step asks for none of its columns
+    return mentions.join(found.dropDuplicates(["entity", "t"]), ["entity", "t"], "left")
+
+
+def _form(form: str) -> str:
+    if form not in ("frame", "prefix"):
+        raise ValueError("form is frame or prefix")
+    return form
 
 
 def window_counts(mentions: DataFrame, window: int = DAY, form: str = "prefix") -> DataFrame:
     """Adds backward_count and forward_count."""
     require_columns(mentions, "entity", "t", stage="window counts")
-    if form == "frame":
+    if _form(form) == "frame":
         return mentions.withColumns({"backward_count": backward_count(window), "forward_count": forward_count(window)})
-    if form != "prefix":
-        raise ValueError("form is frame or prefix")
-    sums = window_sums(mentions, {"n": F.lit(1)}, {"a": -window, "b": -1, "c": 0, "d": window}, window)
-    counts = sums.select("entity", "t", (F.col("n_b") - F.col("n_a")).alias("backward_count"), (F.col("n_d") - F.col("n_c")).alias("forward_count"))
-    # left joins, here and below: Spark leaves them out where a later step does not ask for their columns
-    return mentions.join(counts, ["entity", "t"], "left")
+    return _with(mentions, swept(mentions, window=window).select("entity", "t", "backward_count", "forward_count"))
 
 
 def volume_growth(forward: Column, backward: Column) -> Column:
@@ -113,47 +192,66 @@ def windowed(mentions: DataFrame, method: str = "forward", min_count: int = 1, f
     return with_growth(window_counts(mentions, form=form), method, min_count, form)
 
 
-def with_future_sentiment(df: DataFrame, window: int = DAY, form: str = "prefix") -> DataFrame:
-    """Adds mean_future_sentiment (over included mentions ahead; else the row's own) and sentiment_change; excluded rows count 0."""
+def _with_own_sentiment(df: DataFrame) -> DataFrame:
     require_columns(df, "polarity", "excluded", stage="future sentiment")
-    own = F.when(F.col("excluded"), 0.0).otherwise(F.col("polarity"))
-    df = df.withColumn("sentiment_polarity", own)
-    counts = F.when(~F.col("excluded"), F.col("sentiment_polarity"))
-    if form == "frame":
-        ahead = F.avg(counts).over(_range(1, window))
-    else:
-        # sums of whole millionths, so that a difference of running sums is exact
-        sums = window_sums(df, {"n": F.when(counts.isNotNull(), 1).otherwise(0), "s": F.coalesce(F.round(counts * SCALE).cast("long"), F.lit(0))}, {"c": 0, "d": window}, window)
-        n, s = F.col("n_d") - F.col("n_c"), F.col("s_d") - F.col("s_c")
-        df = df.join(sums.select("entity", "t", F.when(n > 0, s / n / SCALE).alias("_ahead")), ["entity", "t"], "left")
-        ahead = F.col("_ahead")
+    return df.withColumn("sentiment_polarity", F.when(F.col("excluded"), 0.0).otherwise(F.col("polarity")))
+
+
+def _with_change(df: DataFrame, ahead: Column) -> DataFrame:
     mean = F.when(F.col("excluded"), F.col("sentiment_polarity")).otherwise(F.coalesce(ahead, "sentiment_polarity"))
-    df = df.withColumn("mean_future_sentiment", mean).drop("_ahead")
+    df = df.withColumn("mean_future_sentiment", mean)
     return df.withColumn("sentiment_change", F.abs(F.col("mean_future_sentiment") - F.col("sentiment_polarity")))
 
 
+def with_future_sentiment(df: DataFrame, window: int = DAY, form: str = "prefix") -> DataFrame:
+    """Adds mean_future_sentiment (over included mentions ahead; else the row's own) and sentiment_change; excluded rows count 0."""
+    df = _with_own_sentiment(df)
+    counts = F.when(~F.col("excluded"), F.col("sentiment_polarity"))
+    if _form(form) == "frame":
+        return _with_change(df, F.avg(counts).over(_range(1, window)))
+    found = swept(df, counts, window).select("entity", "t", "_ahead_n", "_ahead_s")
+    return _with_change(_with(df, found), _mean_ahead()).drop("_ahead_n", "_ahead_s")
+
+
+def _mean_ahead() -> Column:
+    return F.when(F.col("_ahead_n") > 0, F.col("_ahead_s") / F.col("_ahead_n") / SCALE)
+
+
+def _gap_of_row() -> Column:
+    """Hours since the row before: rows of one second come in order of id, the first of them after the second before."""
+    hours = F.when(F.col("_gap") < 0, -1.0).otherwise(F.col("_gap") / 3600)
+    return F.when(F.col("id") == F.col("_first"), hours).otherwise(0.0)
+
+
+def _acceleration() -> Column:
+    return F.col("_recent") / F.greatest("_earlier", F.lit(1))
+
+
+def all_windows(mentions: DataFrame, method: str = "forward", min_count: int = 1) -> DataFrame:
+    """mentions (id, entity, t, polarity) with everything that windows give, by one sweep and one join: counts, growth, exclusion,
+    sentiment ahead and its change, time_since_previous and acceleration_12h."""
+    require_columns(mentions, "id", "entity", "t", "polarity", stage="windows")
+    df = with_growth(_with(mentions, swept(mentions, F.col("polarity"), DAY, method, min_count)), method, min_count)
+    df = _with_change(_with_own_sentiment(df), _mean_ahead())
+    df = df.withColumns({"time_since_previous": _gap_of_row(), "acceleration_12h": _acceleration()})
+    return df.drop("_first", *[c for c in SWEPT if c.startswith("_")])
+
+
 def time_since_previous() -> Column:
     """Hours; -1 for an entity's first row, 0 for a tie. A window over the entity."""
     return F.coalesce((F.col("t") - F.lag("t").over(_in_order())) / 3600, F.lit(-1.0))
 
 
-def with_gaps(mentions: DataFrame, day: int = DAY) -> DataFrame:
-    """Adds time_since_previous, without a window over the whole entity: the second before comes from the same day, or from the last day that has any."""
-    seconds = mentions.groupBy("entity", "t").agg(F.min("id").alias("_first")).withColumn("_day", F.floor(F.col("t") / day))
-    days = seconds.groupBy("entity", "_day").agg(F.max("t").alias("_last"))
-    days = days.withColumn("_carried", F.lag("_last").over(Window.partitionBy("entity").orderBy("_day"))).drop("_last")
-    own = F.lag("t").over(Window.partitionBy("entity", "_day").orderBy("t"))
-    seconds = seconds.withColumn("_own", own).join(days, ["entity", "_day"])
-    gap = F.coalesce((F.col("t") - F.coalesce("_own", "_carried")) / 3600, F.lit(-1.0))
-    found = mentions.join(seconds.select("entity", "t", "_first", gap.alias("_gap")), ["entity", "t"])
-    return found.withColumn("time_since_previous", F.when(F.col("id") == F.col("_first"), F.col("_gap")).otherwise(0.0)).drop("_first", "_gap")
+def with_gaps(mentions: DataFrame) -> DataFrame:
+    """Adds time_since_previous, without a window over the whole entity."""
+    found = swept(mentions).select("entity", "t", "_gap", "_first")
+    return _with(mentions, found).withColumn("time_since_previous", _gap_of_row()).drop("_gap", "_first")
 
 
 def with_acceleration(mentions: DataFrame, window: int = DAY // 2) -> DataFrame:
     """Adds acceleration_12h: mentions in (t - w, t) over those in (t - 2w, t - w], at least 1."""
-    sums = window_sums(mentions, {"n": F.lit(1)}, {"a": -2 * window, "b": -window, "c": -1}, 2 * window)
-    ratio = (F.col("n_c") - F.col("n_b")) / F.greatest(F.col("n_b") - F.col("n_a"), F.lit(1))
-    return mentions.join(sums.select("entity", "t", ratio.alias("acceleration_12h")), ["entity", "t"], "left")
+    found = swept(mentions, window=2 * window).select("entity", "t", "_recent", "_earlier")
+    return _with(mentions, found).withColumn("acceleration_12h", _acceleration()).drop("_recent", "_earlier")
 
 
 def acceleration(window: int = DAY // 2) -> Column:

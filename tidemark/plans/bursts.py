@@ -13,13 +13,13 @@ COUNTS = "SELECT id, entity, t, backward_count, forward_count FROM w"
 
 @query(f"WITH {EV}, {counted()} SELECT id, entity, backward_count FROM w")
 def backward_count_24h(spark, d):
-    return mentions_ev(spark, d).select("id", "entity", windows.backward_count().alias("backward_count"))
+    return windows.window_counts(mentions_ev(spark, d)).select("id", "entity", "backward_count")
 
 
 @query(f"WITH {ORD}, {counted('od')} SELECT id, entity, forward_count FROM w")
 def forward_count_24h(spark, d):
     """On whole-day stamps: the far end counts, the near end does not."""
-    return mentions_ord(spark, d).select("id", "entity", windows.forward_count().alias("forward_count"))
+    return windows.window_counts(mentions_ord(spark, d)).select("id", "entity", "forward_count")
 
 
 @query(f"WITH {EV}, {counted()} {COUNTS}")
@@ -79,12 +79,12 @@ ACC = """count(*) OVER (PARTITION BY entity ORDER BY t RANGE BETWEEN 43199 PRECE
 
 @query(f"WITH {EV} SELECT id, round(coalesce({GAP}, -1.0), 6) AS gap FROM ev")
 def time_since_previous(spark, d):
-    return mentions_ev(spark, d).select("id", r6(windows.time_since_previous(), "gap"))
+    return windows.with_gaps(mentions_ev(spark, d)).select("id", r6("time_since_previous", "gap"))
 
 
 @query(f"WITH {EV} SELECT id, round({ACC}, 6) AS acceleration FROM ev")
 def acceleration_12h(spark, d):
-    return mentions_ev(spark, d).select("id", r6(windows.acceleration(), "acceleration"))
+    return windows.with_acceleration(mentions_ev(spark, d)).select("id", r6("acceleration_12h", "acceleration"))
 
 
 @query("SELECT o_orderkey AS id, count(DISTINCT o_orderpriority) AS entities_per_record FROM orders GROUP BY 1")
@@ -221,7 +221,7 @@ ALL = ", ".join(f"round({f}, 6) AS {f}" if f in FLOATS else f for f in features.
 
 
 def _features(spark, d):
-    return features.features_all(label.through_sentiment(mentions_ev(spark, d)))
+    return features.features_all(label.through_sentiment(mentions_ev(spark, d), with_features=True))
 
 
 @query(upto("s", FEAT) + f"SELECT id, {ALL} FROM fa")
@@ -272,8 +272,8 @@ def word_count_x_hour(spark, d):
 
 @query(upto("s", FEAT) + "SELECT id, round(accel_x_gap, 6) AS accel_x_gap FROM fa")
 def accel_x_gap(spark, d):
-    m = mentions_ev(spark, d).withColumns({"a": windows.acceleration(), "g": windows.time_since_previous()})
-    return m.select("id", r6(features.accel_x_gap(F.col("a"), F.col("g")), "accel_x_gap"))
+    m = label.through_sentiment(mentions_ev(spark, d), with_features=True)
+    return m.select("id", r6(features.accel_x_gap(F.col("acceleration_12h"), F.col("time_since_previous")), "accel_x_gap"))
 
 
 @query(upto("l") + "SELECT id, surge_label FROM l WHERE partition = 'test' AND NOT excluded")

@@ -16,7 +16,7 @@ FIXED = {"C": 0.1, "l1": 0.0, "iter": 20}
 
 def _labelled(mentions):
     """Labelled rows with features; the threshold makes both classes common."""
-    df = features.features_all(label.apply_labelling(label.through_sentiment(mentions), tau=0.5))
+    df = features.features_all(label.apply_labelling(label.through_sentiment(mentions, with_features=True), tau=0.5))
     return records.settle(df.withColumn("y", F.col("surge_label").cast("int")))
 
 
