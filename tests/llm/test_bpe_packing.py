@@ -7,6 +7,8 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
+from tokenizers.pre_tokenizers import ByteLevel
 
 from tidemark.llm import bpe, packing
 
@@ -131,3 +133,24 @@ def test_fast_ids_equal_the_library_on_all_characters():
 def test_keys_beside_nulls_stay_whole(spark):
     df = spark.createDataFrame([(2**60 + 1, "a"), (2**60 + 3, "b"), (None, "c")], "doc_id long, text string").coalesce(1)
     assert {r.doc_id for r in packing.pack(df, JSON).collect()} == {2**60 + 1, 2**60 + 3, None}
+
+
+def test_ids_against_the_order_of_the_merges_go_to_the_library(tmp_path):
+    letters = sorted(packing._bytes_of_letters())
+    rest = ["ab", "bc", "abc", "aa", "aaa"]
+    for name, merges, vocab in (
+        ("reversed", [("b", "c"), ("a", "b"), ("a", "bc"), ("a", "a"), ("aa", "a")], {x: 256 + k for k, x in enumerate(rest)}),
+        ("twice", [("a", "b"), ("b", "c"), ("ab", "c"), ("a", "bc"), ("a", "a"), ("aa", "a")], {x: 256 + k for k, x in enumerate(rest)}),
+        ("in order", [("a", "b"), ("b", "c"), ("ab", "c"), ("a", "a"), ("aa", "a")], {x: 256 + k for k, x in enumerate(rest)}),
+        ("a byte is missing", [("a", "b"), ("b", "c"), ("ab", "c"), ("a", "a"), ("aa", "a")], {"z": -1} | {x: 256 + k for k, x in enumerate(rest)}),
+    ):
+        vocab = {x: k for k, x in enumerate(letters)} | vocab
+        vocab = {x: k for x, k in vocab.items() if k >= 0}
+        own = Tokenizer(BPE(vocab=vocab, merges=merges))
+        own.pre_tokenizer = ByteLevel(add_prefix_space=False)
+        own.save(str(tmp_path / "t.json"))
+        ids = packing.Tokens(str(tmp_path / "t.json"))
+        assert (ids.core is not None) == (name == "in order")
+        r = random.Random(4)
+        for x in ["abc", "bc", *("".join(r.choice("aabbcy ") for _ in range(r.randrange(12))) for _ in range(300))]:
+            assert np.frombuffer(ids.ids(x), "<u4").tolist() == [*own.encode(x, add_special_tokens=False).ids, 0], (name, x)

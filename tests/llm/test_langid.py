@@ -72,3 +72,37 @@ def test_machine_separates():
     y = np.where(x @ r.standard_normal(20) + 0.3 > 0, 1.0, -1.0)
     w, b = langid.support_vector_machine(x, y)
     assert (np.sign(x @ w + b) == y).mean() > 0.97
+
+
+def test_machines_are_bounded(spark):
+    df = spark.createDataFrame([(f"word{k} text", f"l{k % 40}") for k in range(80)], "text string, lang string")
+    with pytest.raises(ValueError, match="780 machines for 40 languages"):
+        langid.fit(df, most_machines=779)
+    with pytest.raises(ValueError, match="more than 31 languages"):
+        langid.fit(df, most_machines=30)
+    families = {f"f{k}": tuple(f"l{j}" for j in range(10 * k, 10 * k + 10)) for k in range(4)}
+    assert len(langid.fit(df, families=families, per_language=2, most_machines=186).machines) == 6 + 4 * 45
+
+
+def test_votes_equal_the_plain_reading(spark):
+    """The family with most machines' votes, then the language within it; margins decide ties, names equal ones."""
+    r = np.random.default_rng(4)
+    families = {"x": ["a", "b", "c"], "y": ["d", "e"], "z": ["f"]}
+    pairs = [("x", "y"), ("x", "z"), ("y", "z"), ("a", "b"), ("a", "c"), ("b", "c"), ("d", "e")]
+    for _ in range(5):
+        machines = {p: (r.standard_normal(langid.BUCKETS), float(r.standard_normal())) for p in pairs}
+        model = langid.Model(families, machines)
+        texts = ["".join(r.choice(list("abcdefgh é")) for _ in range(30)) + "a" for _ in range(40)]
+
+        def winner(names, x):
+            won = {n: [0, 0.0] for n in names}
+            for i, a in enumerate(names):
+                for b in names[i + 1 :]:
+                    m = machines[a, b][0] @ x + machines[a, b][1]
+                    won[b if m > 0 else a][0] += 1
+                    won[b if m > 0 else a][1] += min(abs(m), 9) / 1000
+            return max(names, key=lambda n: (sum(won[n]), n))
+
+        for text, (lang, score) in zip(texts, model.predict(texts), strict=True):
+            x = langid.features(text)
+            assert lang == winner(families[winner(["x", "y", "z"], x)], x) and 0 <= score <= 1

@@ -125,13 +125,13 @@ def support_vector_machine(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds
     return w[:-1], float(w[-1])
 
 
-def sampled(labelled: DataFrame, text: str, lang: str, per_language: int, most_languages: int) -> tuple[list[str], DataFrame]:
+def sampled(labelled: DataFrame, text: str, lang: str, per_language: int, most: int) -> tuple[list[str], DataFrame]:
     """The languages, and about ``per_language`` different texts (lang, text, h) of each."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).limit(most_languages + 1).collect()
-    if len(counts) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).limit(most + 1).collect()
+    if len(counts) > most:
+        raise ValueError(f"more than {most} languages")
     shares = labelled.sparkSession.createDataFrame([(r["lang"], per_language / r["n"]) for r in counts], "lang string, share double")
     chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 30)) / (1 << 30) < F.col("share"))
     return sorted(r["lang"] for r in counts), chosen.dropDuplicates(["lang", "h"]).drop("share")
@@ -143,17 +143,21 @@ def fit(
     lang: str = "lang",
     per_language: int = 400,
     families: dict[str, tuple[str, ...]] = FAMILIES,
-    most_languages: int = 1000,
+    most_machines: int = 2000,
 ) -> Model:
     """Train on about ``per_language`` texts of each language (all, where there are fewer).
 
-    More than ``most_languages`` values of ``lang`` are an error: there is a machine for each two of a family."""
-    languages, sample = sampled(labelled, text, lang, per_language, most_languages)
+    There is a machine, of 32 KB, for each two families and for each two languages of a family (a language of no known family
+    is one of its own). The model goes to every task, so more than ``most_machines`` are an error; give more ``families`` then."""
+    # n languages take n - 1 machines at least
+    languages, sample = sampled(labelled, text, lang, per_language, most_machines + 1)
     family_of = {k: name for name, own in families.items() for k in own}
     groups: dict[str, list[str]] = {}
     for k in languages:
         groups.setdefault(family_of.get(k, k), []).append(k)
     pairs = [(a, b) for own in (sorted(groups), *groups.values()) for a, b in combinations(own, 2)]
+    if len(pairs) > most_machines:
+        raise ValueError(f"{len(pairs)} machines for {len(languages)} languages, of {most_machines} allowed: name their families")
     if not pairs:
         return Model(groups, {})
     pair_no = {p: k for k, p in enumerate(pairs)}

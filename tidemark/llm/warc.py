@@ -3,7 +3,9 @@
 Each response gives a ``metadata`` record (what was found about the page) and a
 ``conversion`` record (its text). Both name the response by WARC-Refers-To and keep its
 target, date and source headers; blocks carry SHA-256 digests, the metadata also the
-response's payload digest. Record ids are derived from the response's id and the record
+response's payload digest. Of a WARC file's response the payload digest is that of its bytes
+as they stand, the digest that the source gave is kept beside it, and the text is that of the
+body with its chunks joined, decompressed and read in its character set. Record ids are derived from the response's id and the record
 type, so a rerun or a retried task writes the same records.
 
 Text: comments, scripts and styles go, block elements and line breaks end a line, other
@@ -23,9 +25,11 @@ from __future__ import annotations
 import html as html_entities
 import html.entities
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,18 +154,28 @@ def responses_from_pages(pages: DataFrame, date: str = PAGE_DATE, headers: str =
     )
 
 
+#: Columns that only responses of WARC files have, and the metadata lines that carry them.
+FILE_LINES = {"source_payload_digest": "source-payload-digest", "complete": "complete"}
+
+
 def derive(responses: DataFrame) -> DataFrame:
-    """Two records for each response (page_id, record_id, target_uri, record_date, source_headers, payload)."""
+    """Two records for each response (page_id, record_id, target_uri, record_date, source_headers, payload).
+
+    Where responses have ``payload_bytes``, the digest and the length are those of these bytes; ``source_payload_digest``
+    and ``complete``, which is false for a record that its file cuts short, go into the metadata."""
     payload = F.coalesce("payload", F.lit(""))
+    raw = F.coalesce("payload_bytes", F.lit(b"")) if "payload_bytes" in responses.columns else payload
+    more = {c: line for c, line in FILE_LINES.items() if c in responses.columns}
     rows = responses.select(
         "page_id", F.coalesce("record_id", F.lit("")).alias("refers_to"), F.coalesce("target_uri", F.lit("")).alias("target_uri"),
         "record_date", F.coalesce("source_headers", F.lit("")).alias("source_headers"),
-        digest_of(payload).alias("payload_digest"), F.octet_length(payload).alias("payload_length"),
-        _page(payload).alias("page"),
+        digest_of(raw).alias("payload_digest"), F.octet_length(raw).alias("payload_length"),
+        _page(payload).alias("page"), *more,
     ).select("*", "page.*")
     fields = F.concat(
         F.lit("title: "), "title", F.lit("\r\nlanguage: "), "lang", F.lit("\r\nlinks: "), F.col("links").cast("string"),
         F.lit("\r\npayload-length: "), F.col("payload_length").cast("string"), F.lit("\r\ntext-length: "), F.octet_length("text").cast("string"), F.lit("\r\n"),
+        *[F.coalesce(F.concat(F.lit(f"{line}: "), F.col(c).cast("string"), F.lit("\r\n")), F.lit("")) for c, line in more.items()],
     )
     kinds = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
@@ -200,41 +214,134 @@ def write_files(records: DataFrame, path: str, compression: str = "none") -> Non
     record_text(records).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
+BREAK = b"\r\n\r\n"
+FILE_SCHEMA = "headers map<string,string>, body binary, complete boolean"
+
+
+def header_lines(head: bytes) -> dict[str, str]:
+    """Values by lower-cased name; of repeated names the first counts."""
+    out: dict[str, str] = {}
+    for line in head.decode("utf-8", "replace").split("\r\n"):
+        name, colon, value = line.partition(":")
+        if colon:
+            out.setdefault(name.strip().lower(), value.strip())
+    return out
+
+
+def framed(pieces: Iterator[tuple[str, bytes]]) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+    """(headers, body, complete) of the records of (file, piece): the pieces of each file, in order, between the places where a record may begin.
+
+    A record ends where its Content-Length says; what looks like the start of a record before that is part of its body.
+    One that its file cuts short, or that has no length, is not complete."""
+    held: list[bytes] = []  # the head and the body so far
+    named, need, have, file = {}, None, 0, None
+
+    def record():
+        body = b"".join(held)
+        cut = need if need is not None else len(body) - len(BREAK) * body.endswith(BREAK)
+        return named, body[:cut], need is not None and len(body) >= need
+
+    for own, piece in pieces:
+        piece = piece[len(START) - len(BREAK) :] if piece.startswith(START[len(BREAK) :]) else piece
+        if held and own == file and need is not None and have < need:
+            held += [START, piece]
+            have += len(START) + len(piece)
+            continue
+        if held:
+            yield record()
+        head, found, body = piece.partition(BREAK)
+        # the piece begins after "WARC/1.", with the version's last digit and a line end
+        file, held, named = own, [body] if found else [], header_lines(head[3:])
+        length = named.get("content-length", "")
+        need, have = int(length) if length.isdecimal() else None, len(body)
+    if held:
+        yield record()
+
+
+#: What stands before every record but the first.
+START = BREAK + b"WARC/1."
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC 1.0 and 1.1 files, gzip or plain: headers (map by lower-cased name), body (bytes) and block (the same as UTF-8 text).
-
-    Files are split where a record begins; a payload that holds an empty line and ``WARC/1.`` itself is cut there,
-    which ``complete`` (body as long as its Content-Length) tells. Bytes are kept as they are.
-    """
-    raw = spark.read.option("lineSep", "\r\n\r\nWARC/1.").text(path).where(F.col("value") != "")
-    # strings may hold any bytes: only cut and compared here, never matched by patterns
-    record = F.expr("substring(if(startswith(value, 'WARC/1.'), substring(value, 8), value), 4)")
-    rows = raw.select(record.alias("record")).withColumn("cut", F.instr("record", "\r\n\r\n")).where("cut > 0")
-    head = F.expr("substring(record, 1, cut - 1)")
-    rows = rows.select(head.alias("head"), F.expr("substring(record, cut + 4)").alias("rest"))
-    # the last record's closing line ends are still there
-    body = F.expr("if(endswith(rest, '\r\n\r\n'), substring(cast(rest AS binary), 1, octet_length(rest) - 4), cast(rest AS binary))")
-    head = F.col("head")
-    pairs = F.transform(F.split(head, "\r\n"), lambda line: F.struct(F.lower(F.substring_index(line, ":", 1)).alias("k"), F.trim(F.regexp_replace(line, "^[^:]*:", "")).alias("v")))
-    # of repeated names the first counts
-    named = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.when(F.call_function("map_contains_key", m, p["k"]), m).otherwise(F.map_concat(m, F.create_map(p["k"], p["v"]))))
-    rows = rows.select(named.alias("headers"), body.alias("body"))
-    return rows.select("headers", F.expr("try_validate_utf8(cast(body as string))").alias("_text"), "body").select(
-        "headers", F.coalesce("_text", F.decode("body", "ISO-8859-1")).alias("block"), "body",
-        (F.octet_length("body") == F.expr("try_cast(headers['content-length'] AS BIGINT)")).alias("complete"),
-    )
+    """Records of WARC 1.0 and 1.1 files, gzip or plain: headers (map by lower-cased name), body (bytes), block (the same as text) and complete.
+
+    Files are read in pieces that begin where a record may begin; the pieces of a file meet in order and are cut by Content-Length,
+    one record at a time, so that a payload may hold anything. Bytes are kept as they are; ``block`` is UTF-8, else Latin-1."""
+    raw = spark.read.option("lineSep", START.decode()).text(path).where(F.col("value") != "")
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"))
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), at.alias("at"), F.col("value").cast("binary").alias("value"))
+    rows = rows.repartition("file").sortWithinPartitions("file", "at").select("file", "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = ((f.as_py(), v.as_py()) for batch in batches for f, v in zip(batch.column(0), batch.column(1), strict=True))
+        for named, body, complete in framed(pieces):
+            columns = [pa.array([list(named.items())], pa.map_(pa.string(), pa.string())), pa.array([body], pa.binary()), pa.array([complete])]
+            yield pa.RecordBatch.from_arrays(columns, names=["headers", "body", "complete"])
+
+    found = rows.mapInArrow(run, FILE_SCHEMA)
+    return found.select("headers", F.coalesce(F.expr("try_validate_utf8(cast(body as string))"), F.decode("body", "ISO-8859-1")).alias("block"), "body", "complete")
+
+
+CHUNK = re.compile(rb"[ \t]*([0-9A-Fa-f]{1,15})[ \t]*(?:;[^\r\n]*)?\r\n")
+CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I | re.A)
+
+
+def joined_chunks(body: bytes) -> bytes:
+    """The body without the framing of chunks; a body that is not framed so stays as it is, one that breaks off gives what it holds."""
+    out, at = [], 0
+    while m := CHUNK.match(body, at):
+        size = int(m[1], 16)
+        if not size:
+            return b"".join(out)
+        out.append(body[m.end() : m.end() + size])
+        at = m.end() + size + 2
+    return b"".join(out) if out and at >= len(body) else body
+
+
+def decompressed(body: bytes, coding: str) -> bytes:
+    """The body without gzip or deflate; what cannot be decompressed stays as it is, a stream that breaks off gives what it holds."""
+    for coding in reversed([x.strip().lower() for x in coding.split(",")]):
+        for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ()):
+            try:
+                body = zlib.decompressobj(bits).decompress(body)
+                break
+            except zlib.error:
+                continue
+    return body
+
+
+def http_parts(body: bytes, content_type: str) -> tuple[str, bytes, str]:
+    """HTTP headers, the payload as it stands, and its text."""
+    head, found, payload = body.partition(BREAK)
+    if not (content_type.startswith("application/http") and found):
+        head, payload = b"", body
+    named = header_lines(head)
+    said = joined_chunks(payload) if "chunked" in named.get("transfer-encoding", "").lower() else payload
+    said = decompressed(said, named.get("content-encoding", ""))
+    charset = CHARSET.search(named.get("content-type", ""))
+    for name in (charset[1] if charset else "utf-8", "utf-8"):
+        try:
+            return head.decode("utf-8", "replace"), payload, said.decode(name)
+        except (LookupError, UnicodeDecodeError):
+            continue
+    return head.decode("utf-8", "replace"), payload, said.decode("latin-1")
 
 
 def responses_from_records(records: DataFrame) -> DataFrame:
-    """Input of ``derive`` from the response records of ``read_files``: HTTP headers apart from the payload, ``page_id`` null."""
-    cut = F.instr("block", "\r\n\r\n")
-    http = (F.col("headers")["content-type"].startswith("application/http")) & (cut > 0)
-    return records.where(F.col("headers")["warc-type"] == "response").select(
-        F.lit(None).cast("long").alias("page_id"), F.col("headers")["warc-record-id"].alias("record_id"), F.col("headers")["warc-target-uri"].alias("target_uri"),
-        F.col("headers")["warc-date"].alias("record_date"),
-        F.when(http, F.expr("substring(block, 1, instr(block, '\r\n\r\n') - 1)")).otherwise("").alias("source_headers"),
-        F.when(http, F.expr("substring(block, instr(block, '\r\n\r\n') + 4)")).otherwise(F.col("block")).alias("payload"),
-    )
+    """Input of ``derive`` from the response records of ``read_files``, ``page_id`` null: HTTP headers apart, the payload's bytes and its text,
+    the digest that the source gave, and whether the record is complete."""
+
+    @F.pandas_udf("source_headers string, payload_bytes binary, payload string")
+    def parts(bodies: pd.Series, kinds: pd.Series) -> pd.DataFrame:
+        found = [http_parts(bytes(b), k) for b, k in zip(bodies, kinds, strict=True)]
+        return pd.DataFrame(found, columns=["source_headers", "payload_bytes", "payload"])
+
+    named = F.col("headers")
+    return records.where(named["warc-type"] == "response").select(
+        F.lit(None).cast("long").alias("page_id"), named["warc-record-id"].alias("record_id"), named["warc-target-uri"].alias("target_uri"),
+        named["warc-date"].alias("record_date"), named["warc-payload-digest"].alias("source_payload_digest"), "complete",
+        parts(F.coalesce("body", F.lit(b"")), F.coalesce(named["content-type"], F.lit(""))).alias("http"),
+    ).select("*", "http.*").drop("http")
 
 
 def _entities_sql(quote) -> str:
