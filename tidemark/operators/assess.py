@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import percentiles
+
 DATE_NAMES = ("created_utc", "created", "date", "timestamp", "datetime", "time", "created_at", "ts")
 TEXT_NAMES = ("text", "body", "selftext", "title", "content", "tweet")
 ENGAGEMENT_NAMES = ("score", "num_comments", "likes", "retweets", "upvotes", "value")
@@ -33,10 +35,11 @@ def detect_columns(df: DataFrame, probe: int = 20) -> dict:
 def epoch_or_string_dates(df: DataFrame, column: str, out: str = "parsed") -> DataFrame:
     """A numeric column whose median is beyond 1e9 in size holds epoch seconds; any other is read as a date text."""
     number = F.col(column).cast("string").try_cast("double")
-    median = F.broadcast(df.agg(F.median(number).alias("_m")))
+    median = percentiles(df.select(number.alias("_x")), "_x", [0.5]).select(F.col("cuts")[0].alias("_m"))
     seconds = F.timestamp_seconds(number).cast("timestamp_ntz")
     text = F.col(column).cast("string").try_cast("timestamp_ntz")
-    return df.crossJoin(median).withColumn(out, F.when(F.abs("_m") > 1e9, seconds).otherwise(text)).drop("_m")
+    median = median.agg(F.max("_m").alias("_m"))  # one row, also where no value is a number
+    return df.crossJoin(F.broadcast(median)).withColumn(out, F.when(F.abs("_m") > 1e9, seconds).otherwise(text)).drop("_m")
 
 
 def bull_bear_ratio(p: Column) -> Column:
@@ -120,7 +123,7 @@ def sentiment_deviation(df: DataFrame, sentiment: str, entity: str = "entity") -
 
 def viability_sweep(scored: DataFrame, entity: str = "entity", least_pct: float = 2) -> DataFrame:
     """scored: entity, z_max, deviation. For each quantile and deviation: hits, share in percent, viable."""
-    cuts = scored.groupBy(entity).agg(F.percentile("z_max", F.array(*[F.lit(q) for q in SWEEP_QUANTILES])).alias("cuts"))
+    cuts = percentiles(scored, "z_max", SWEEP_QUANTILES, [entity])
     grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(q).alias("quantile"), F.lit(d).alias("sd")) for i, q in enumerate(SWEEP_QUANTILES) for d in SWEEP_DEVIATIONS])
     each = scored.join(cuts, entity).withColumn("g", F.explode(grid))
     hit = (F.col("z_max") >= F.get("cuts", F.col("g.i"))) & (F.col("deviation") >= F.col("g.sd"))

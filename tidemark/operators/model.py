@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import random
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import product
+from math import gcd
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -220,20 +222,28 @@ def builtin_importance(model: PipelineModel, features: Sequence[str] = FEATURES)
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str] = FEATURES, repeats: int = 10, seed: int = 42) -> DataFrame:
     """feature, importance (mean drop of the area), std over repeats.
 
-    A feature is shuffled by joining rows ranked by id with values ranked by a hash. All features and
-    repeats are one job: ranks are taken over all of them together, each having as many rows as the table."""
-    rows = settle(df.select("id", "entity", "y", *[F.col(f).cast("double").alias(f) for f in features]))
-    n = rows.count()
+    Rows are ranked once, by a hash. A repeat shuffles by arithmetic on ranks: row r takes the values of row a * r + c modulo n,
+    a bijection where a and n have no common divisor, so that no repeat sorts anything."""
+    rows = df.select("id", "entity", "y", *[F.col(f).cast("double").alias(f) for f in features])
+    ranked = settle(_ranked(rows, F.xxhash64("id", "entity", F.lit(seed))))
+    n = ranked.count()
     if not n:
         return df.sparkSession.createDataFrame([(f, 0.0, 0.0) for f in features], "feature string, importance double, std double")
-    turns = F.array(*[F.struct(F.lit(f * repeats + r).alias("turn"), F.col(name).alias("value")) for f, name in enumerate(features) for r in range(repeats)])
-    own = _ranked(rows, F.xxhash64("id", "entity")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(len(features) * repeats - 1))))
-    each = rows.select("id", "entity", F.explode(turns).alias("v")).select("id", "entity", "v.*")
-    shuffled = _ranked(each, F.struct("turn", F.xxhash64("id", "entity", "turn", F.lit(seed)))).select("turn", (F.col("_rank") % n).alias("_rank"), "value")
-    mixed = own.join(shuffled, ["turn", "_rank"])
-    mixed = mixed.withColumns({name: F.when(F.floor(F.col("turn") / repeats) == f, F.col("value")).otherwise(F.col(name)) for f, name in enumerate(features)})
-    areas = roc_auc(score(model, mixed, "turn"), "turn")
-    base = F.broadcast(roc_auc(score(model, rows)).select(F.col("auc").alias("base")))
+    draws, keys = random.Random(seed), []
+    while len(keys) < repeats:
+        factor, shift = draws.randrange(1, 1 << 20), draws.randrange(n)
+        if gcd(factor, n) == 1:
+            keys.append(F.struct(F.lit(len(keys)).alias("repeat"), F.lit(factor).cast("long").alias("a"), F.lit(shift).cast("long").alias("c")))
+    # a row is sent, with all its values, to the row that takes them in each repeat
+    sent = ranked.select(F.struct(*features).alias("_other"), "_rank", F.explode(F.array(*keys)).alias("k"))
+    sent = sent.select("_other", F.col("k.repeat").alias("repeat"), ((F.col("k.a") * F.col("_rank") + F.col("k.c")) % n).alias("_rank"))
+    turns = F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1)))
+    mixed = ranked.join(sent, "_rank").withColumn("f", turns).withColumns(
+        {name: F.when(F.col("f") == f, F.col("_other")[name]).otherwise(F.col(name)) for f, name in enumerate(features)}
+    )
+    turn = (F.col("f") * repeats + F.col("repeat")).alias("turn")
+    areas = roc_auc(score(model, mixed.select("y", turn, *features), "turn"), "turn")
+    base = F.broadcast(roc_auc(score(model, ranked)).select(F.col("auc").alias("base")))
     names = F.array(*[F.lit(f) for f in features])
     drops = areas.crossJoin(base).select(F.get(names, F.floor(F.col("turn") / repeats).cast("int")).alias("feature"), (F.col("base") - F.col("auc")).alias("drop"))
     return drops.groupBy("feature").agg(F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("std"))

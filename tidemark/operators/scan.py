@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.records import settle
 
 
-def earlier(column: str, window) -> F.Column:
+def earlier(column: str, window) -> Column:
     """The sum over the rows before this one; 0 for the first."""
     return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
@@ -37,3 +37,24 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], columns:
     for c in by:
         same &= rows[c].eqNullSafe(totals[c])
     return rows.join(totals, same).select(*[rows[c] for c in df.columns], *[(rows[f"{c}_before"] + totals[f"_{c}"]).alias(f"{c}_before") for c in columns])
+
+
+def percentiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = (), out: str = "cuts") -> DataFrame:
+    """by and ``out``: the exact interpolated percentiles of each group, null where it has no value.
+
+    Rows are counted by value; a value's place in its group is a running sum over range partitions, so that neither a large
+    group nor a value that very many rows share meets in one task. Nulls do not count."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    placed = prefix_sums(counts, by, ["_v"], ["_n"])
+    # a group's size is where its last value ends; only the values around the wanted places go on
+    sizes = placed.groupBy(*[F.col(c).alias(f"_{k}") for k, c in enumerate(by)]).agg(F.max(F.col("_n_before") + F.col("_n")).alias("_total"))
+    if by:
+        rows = placed.join(sizes, [F.col(c).eqNullSafe(F.col(f"_{k}")) for k, c in enumerate(by)])
+    else:
+        rows = placed.crossJoin(F.broadcast(sizes))  # one row
+    places = [F.lit(float(p)) * (F.col("_total") - 1) for p in shares]
+    at = lambda k: F.max(F.when((F.col("_n_before") <= k) & (k < F.col("_n_before") + F.col("_n")), F.col("_v")))
+    ends = [x.alias(f"_{k}{j}") for j, p in enumerate(places) for k, x in (("lo", at(F.floor(p))), ("hi", at(F.ceil(p))))]
+    found = rows.groupBy(*by).agg(*ends, F.max("_total").alias("_total"))
+    cut = lambda j, p: F.col(f"_lo{j}") + (F.col(f"_hi{j}") - F.col(f"_lo{j}")) * (p - F.floor(p))
+    return found.select(*by, F.array(*[cut(j, p) for j, p in enumerate(places)]).alias(out))

@@ -1,6 +1,6 @@
 """Registered queries over the given tables and their SQL."""
 
-from . import assessment, bursts, evaluation, learning, texts  # noqa: F401  (register their queries)
+from . import assessment, bursts, evaluation, learning, runs, texts  # noqa: F401  (register their queries)
 from .tables import QUERIES, SQL
 
 

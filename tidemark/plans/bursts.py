@@ -172,11 +172,6 @@ def sweep_pipeline(spark, d):
     return label.sweep_pipeline(mentions_ev(spark, d)).select("threshold", "surge_count", "no_surge_count", r6("surge_rate", "surge_rate"), "viable")
 
 
-@query(upto("g") + "SELECT count(*) AS mentions, count(*) FILTER (WHERE excluded) AS excluded_count, round(count(*) FILTER (WHERE excluded) * 100.0 / count(*), 6) AS exclusion_rate FROM g")
-def stage_counts(spark, d):
-    return label.stage_counts(windows.windowed(mentions_ev(spark, d))).withColumn("exclusion_rate", F.round("exclusion_rate", 6))
-
-
 LABELLED = """SELECT id, entity, backward_count, forward_count, excluded, round(posting_volume_growth, 6) AS growth, round(sentiment_change, 6) AS sentiment_change,
   partition, round(composite, 6) AS composite, surge_label FROM l"""
 

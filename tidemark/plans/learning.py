@@ -181,13 +181,6 @@ def predict(spark, d):
     return model.predict(t, df, "test", t.threshold)
 
 
-@query(upto("f") + "SELECT train_size, test_size, " + ", ".join(f"round({c}, 6) AS {c}" for c in (*label.STATS, "cut")) + " FROM f")
-def write_summary(spark, d):
-    path = _folder(spark)
-    records.write_summary(label.fit_stats(label.temporal_split(label.through_sentiment(mentions_ev(spark, d)))), path)
-    return spark.read.json(path).select("train_size", "test_size", *[r6(c, c) for c in (*label.STATS, "cut")])
-
-
 @query("SELECT count(*) AS n_runs, CAST(sum(n) AS BIGINT) AS n_rows FROM (SELECT count(*) AS n FROM events UNION ALL SELECT count(*) FROM orders)")
 def run_log_append(spark, d):
     """Two runs appended one after the other."""

@@ -6,17 +6,25 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import sentiment as S
+from ..operators import pipeline as P
 from ..sources import records as R
-from .tables import POSTS, mentions_ev, posts_doc, query, r6, stand_in, table, upto
+from .tables import POSTS, mentions_ev, posts_doc, query, r6, table, upto
 
 #: A small stop-list for the invented prose.
 STOP = ("THE", "OF", "AND", "TO", "IN", "IS", "DE", "LA", "EN", "MIT", "GNU")
 KNOWN = ("THAT", "WITH", "WAS", "MIT", "GNU", "DER", "QUE")
-#: Frequent words of the invented prose with made-up valences.
-LEXICON = (
-    ("the", 0.5), ("of", -0.3), ("and", 0.2), ("is", 1.1), ("was", -0.9), ("with", 0.8), ("that", -0.4), ("de", 0.4), ("la", -0.2), ("que", 0.6),
-    ("der", 0.3), ("die", -1.2), ("und", 0.7), ("el", 0.9), ("le", -0.5), ("on", 0.1), ("are", 1.4), ("license", -1.5), ("est", 0.65), ("ist", -0.75),
+#: Rules and lexicon as a table: frequent words of the invented prose with made-up values, phrases among them.
+RULES = (
+    *(("word", w, v) for w, v in (
+        ("the", 0.5), ("of", -0.3), ("and", 0.2), ("is", 1.1), ("was", -0.9), ("with", 0.8), ("that", -0.4), ("de", 0.4), ("la", -0.2), ("que", 0.6),
+        ("der", 0.3), ("die", -1.2), ("und", 0.7), ("el", 0.9), ("le", -0.5), ("on", 0.1), ("are", 1.4), ("license", -1.5), ("est", 0.65), ("ist", -0.75),
+        ("of the", 1.3), ("in that", -1.7), ("de la", 0.55), ("und die", -0.35), ("released under the", 2.1),
+    )),
+    *(("negation", w, -0.74) for w in ("not", "no", "never", "nicht", "pas", "sin", "for")), ("negation", "hardly", -0.5), ("negation", "by", -0.6),
+    *(("intensifier", w, 0.293) for w in ("very", "sehr", "très", "muy", "to")), ("intensifier", "slightly", -0.293), ("intensifier", "an", -0.2),
+    *(("contrast", w, None) for w in ("but", "aber", "mais", "pero", "licensed", "or")),
 )
+LEXICON = tuple((w, v) for kind, w, v in RULES if kind == "word")
 OTHER_LEXICON = tuple((w, -v / 2) if i % 3 == 0 else (w, v / 2) for i, (w, v) in enumerate(LEXICON))
 TEXT = "coalesce(title, '') || ' ' || coalesce(body, '')"
 ARRAY = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
@@ -55,11 +63,9 @@ def explode_mentions(spark, d):
 
 @query(f"WITH {POSTS}, {EXTRACTED} SELECT count(*) AS loaded, count(*) FILTER (WHERE tickers = '') AS excluded, count(*) FILTER (WHERE tickers <> '') AS retained, CAST(coalesce(sum(len(string_split(tickers, ','))) FILTER (WHERE tickers <> ''), 0) AS BIGINT) AS exploded FROM x")
 def load_summary(spark, d):
-    has = R.has_entity(F.col("tickers"))
-    return _extracted(spark, d).agg(
-        F.count("*").alias("loaded"), F.count_if(~has).alias("excluded"), F.count_if(has).alias("retained"),
-        F.coalesce(F.sum(F.when(has, F.size(F.split("tickers", ",")))), F.lit(0)).alias("exploded"),
-    )
+    """Counted while the mentions are written, without a scan of its own."""
+    run = P.load_mentions(posts_doc(spark, d), STOP)
+    return spark.createDataFrame([run.counts], "loaded long, excluded long, retained long, exploded long")
 
 
 @query("SELECT event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS epoch FROM events")
@@ -84,9 +90,14 @@ def stoplist_load(spark, d):
     return R.stop_terms(lines.select(F.regexp_replace("line", "[^ -~]", "").alias("line")))
 
 
-@query("SELECT CAST(sum(('0x' || substr(md5(concat_ws('|', coalesce(event_id::VARCHAR, '~'), coalesce(user_id::VARCHAR, '~'), coalesce(event_type, '~'))), 1, 12))::BIGINT) AS VARCHAR) AS content_hash, count(*) AS n_rows, 'event_id,event_type,user_id' AS column_names FROM events")
+@query(
+    """SELECT CAST(sum(('0x' || substr(md5(concat_ws('|', coalesce(event_id::VARCHAR, '~'), coalesce(user_id::VARCHAR, '~'), coalesce(event_type, '~'))), 1, 12))::BIGINT) AS VARCHAR) AS content_hash, count(*) AS n_rows,
+  'event_id,event_type,user_id' AS column_names, 'ts' AS time_column, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS min_time, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS max_time, count(user_id) > 0 AS has_entities, true AS has_size FROM events"""
+)
 def dataset_fingerprint(spark, d):
-    return R.fingerprint(table(spark, d, "events"), "event_id", "user_id", "event_type")
+    """The size is that of the files, which SQL does not see; here only whether it is known. A test compares it."""
+    found = R.fingerprint(table(spark, d, "events"), "event_id", "user_id", "event_type", time="ts", entity="user_id")
+    return found.withColumn("has_size", F.col("size_bytes") > 0).drop("size_bytes")
 
 
 WORDS = "CAST(len(list_filter(regexp_split_to_array({}, '[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+'), lambda x: x <> '')) AS INT)"
@@ -113,21 +124,38 @@ def lexicon(spark, rows=LEXICON):
     return spark.createDataFrame(list(rows), "token string, valence double")
 
 
-CHOSEN = "CASE WHEN trim(body) <> '' THEN title || ' ' || body WHEN trim(title) <> '' THEN title ELSE '' END"
+def scored_by(spark):
+    """Lexicon and rules, read from a table."""
+    path = R.new_folder(spark)
+    spark.createDataFrame(list(RULES), "kind string, term string, value double").write.parquet(path)
+    said = spark.read.parquet(path)
+    return S.lexicon_of(said), S.rules_of(said)
 
 
-def tokens_sql(rows) -> str:
-    words = ", ".join(f"('{w}', {v}::DOUBLE)" for w, v in rows)
-    flag = lambda xs: f"len(list_filter(w[greatest(pos - 2, 1):pos], lambda x: list_contains({ARRAY(xs)}, x))) > 0"
-    return f"""lx(token, valence) AS (VALUES {words}),
-tk AS (SELECT id, list_filter(regexp_split_to_array(lower({CHOSEN}), '[^\\p{{L}}\\p{{N}}_'']+'), lambda x: x <> '') AS w FROM posts),
-tp AS (SELECT id, w, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM tk),
-tv AS (SELECT id, valence, {flag(S.NEGATIONS)} AS negated, {flag(S.INTENSIFIERS)} AS intensified FROM tp JOIN lx USING (token))"""
+CHOSEN = "CASE WHEN trim(body) <> '' THEN title || ' ' || body WHEN trim(title) <> '' THEN title ELSE '' END"
 
 
-SUMMED = f"""ts AS (SELECT id, sum((valence + CASE WHEN intensified THEN sign(valence) * {S.INTENSIFIED} ELSE 0 END) * CASE WHEN negated THEN {S.NEGATED} ELSE 1 END) AS s FROM tv GROUP BY id),
-pl AS (SELECT posts.id, coalesce(s / sqrt(s * s + 15), 0.0) AS polarity FROM posts LEFT JOIN ts ON posts.id = ts.id)"""
-MEANS = "pm AS (SELECT posts.id, coalesce(m, 0.0) AS polarity FROM posts LEFT JOIN (SELECT id, avg(valence) AS m FROM tv GROUP BY id) q ON posts.id = q.id)"
+def tokens_sql(rows, posts: str = "posts") -> str:
+    words = ", ".join(f"('{w}', {v}::DOUBLE)" for w, v in rows)
+    of = lambda kind: {w: v for k, w, v in RULES if k == kind}
+    at = lambda k: f"coalesce(CASE WHEN pos > {k} THEN l[pos - {k}] END, '')"
+    value = lambda x, table: "CASE " + x + "".join(f" WHEN '{w}' THEN {v}" for w, v in table.items()) + " END"
+    boost = " + ".join(f"coalesce({value(at(k), of('intensifier'))}, 0)" for k in (1, 2, 3))
+    negated = f"coalesce({', '.join(value(at(k), of('negation')) for k in (1, 2, 3))}, 1)"
+    return f"""lx(term, valence) AS (VALUES {words}),
+tk AS (SELECT id, {CHOSEN} AS x, list_filter(regexp_split_to_array({CHOSEN}, '[^\\p{{L}}\\p{{N}}_'']+'), lambda x: x <> '') AS w FROM {posts}),
+tl AS (SELECT *, list_transform(w, lambda x: lower(x)) AS l, regexp_matches(x, '[a-z]') AS mixed, least(length(regexp_replace(x, '[^!]+', '', 'g')), {S.MARKS}) AS marks FROM tk),
+tc AS (SELECT *, list_max(list_transform(range(1, len(l) + 1), lambda j: CASE WHEN list_contains({ARRAY(of('contrast'))}, l[j]) THEN j ELSE 0 END)) AS last FROM tl),
+tp AS (SELECT id, w, l, mixed, coalesce(last, 0) AS last, generate_subscripts(l, 1) AS pos FROM tc),
+tn AS (SELECT tp.*, array_to_string(l[pos : pos + n - 1], ' ') AS term FROM tp, (VALUES (1), (2), (3)) v(n) WHERE pos + n - 1 <= len(l)),
+tv AS (SELECT id, valence, {boost} + CASE WHEN mixed AND regexp_full_match(w[pos], '[A-Z]{{2,}}') THEN {S.EMPHASIS} ELSE 0 END AS boost,
+  {negated} * CASE WHEN last = 0 OR pos = last THEN 1 WHEN pos < last THEN {S.BEFORE_CONTRAST} ELSE {S.AFTER_CONTRAST} END AS factor FROM tn JOIN lx USING (term))"""
+
+
+SUMMED = f"""ts AS (SELECT id, sum((valence + sign(valence) * boost) * factor) AS s0 FROM tv GROUP BY id),
+t1 AS (SELECT tl.id, s0 + sign(s0) * {S.EXCLAIMED} * marks AS s FROM tl JOIN ts USING (id)),
+pl AS (SELECT tl.id, coalesce(s / sqrt(s * s + 15), 0.0) AS polarity FROM tl LEFT JOIN t1 USING (id))"""
+MEANS = "pm AS (SELECT tl.id, coalesce(m, 0.0) AS polarity FROM tl LEFT JOIN (SELECT id, avg(greatest(least((valence + sign(valence) * boost) * factor, 1), -1)) AS m FROM tv GROUP BY id) q ON tl.id = q.id)"
 
 
 def _text():
@@ -136,12 +164,14 @@ def _text():
 
 @query(f"WITH {POSTS}, {tokens_sql(LEXICON)}, {SUMMED} SELECT id, round(polarity, 6) AS polarity FROM pl")
 def lexicon_polarity(spark, d):
-    return S.lexicon_polarity(posts_doc(spark, d), lexicon(spark), _text()).select("id", r6("polarity", "polarity"))
+    terms, rules = scored_by(spark)
+    return S.lexicon_polarity(posts_doc(spark, d), terms, _text(), rules=rules).select("id", r6("polarity", "polarity"))
 
 
-@query(f"WITH {POSTS}, {tokens_sql(LEXICON)}, {MEANS} SELECT id, round(polarity, 6) AS polarity FROM pm")
+@query(f"WITH {POSTS}, {tokens_sql(LEXICON)}, {MEANS} SELECT id, round(polarity, 12) AS polarity FROM pm")
 def mean_lexicon_polarity(spark, d):
-    return S.mean_lexicon_polarity(posts_doc(spark, d), lexicon(spark), _text()).select("id", r6("polarity", "polarity"))
+    terms, rules = scored_by(spark)
+    return S.mean_lexicon_polarity(posts_doc(spark, d), terms, _text(), rules=rules).select("id", F.round("polarity", 12).alias("polarity"))
 
 
 MENTIONED = "mn AS (SELECT id, 'E' || (id % 5) AS entity, id % 3 = 0 AS excluded FROM posts UNION ALL SELECT id, 'F', id % 2 = 0 FROM posts WHERE id % 4 = 0)"
@@ -155,7 +185,8 @@ def _mentions(spark, d):
 
 @query(f"WITH {POSTS}, {tokens_sql(LEXICON)}, {SUMMED}, {MENTIONED} SELECT mn.id, entity, excluded, round(CASE WHEN excluded THEN 0.0 ELSE polarity END, 6) AS polarity FROM mn JOIN pl ON mn.id = pl.id")
 def polarity_included_only(spark, d):
-    df = S.polarity_included_only(_mentions(spark, d), posts_doc(spark, d), lexicon(spark), _text())
+    terms, rules = scored_by(spark)
+    df = S.polarity_included_only(_mentions(spark, d), posts_doc(spark, d), terms, _text(), rules=rules)
     return df.select("id", "entity", "excluded", r6("polarity", "polarity"))
 
 
@@ -163,14 +194,17 @@ AGREE = "CASE WHEN {0} > 0.05 THEN 1 WHEN {0} < -0.05 THEN -1 ELSE 0 END"
 
 
 @query(
-    f"WITH {POSTS}, {tokens_sql(LEXICON)}, {SUMMED}, other AS (SELECT id, ((id * 7919) % 2001 - 1000) / 1000.0 AS q FROM posts), ag AS (SELECT avg(CASE WHEN {AGREE.format('polarity')} = {AGREE.format('q')} THEN 1.0 ELSE 0 END) AS a FROM pl JOIN other ON pl.id = other.id)"
+    f"WITH {POSTS}, {tokens_sql(LEXICON)}, {SUMMED}, {MEANS}, ag AS (SELECT avg(CASE WHEN {AGREE.format('pl.polarity')} = {AGREE.format('pm.polarity')} THEN 1.0 ELSE 0 END) AS a FROM pl JOIN pm ON pl.id = pm.id)"
     " SELECT round(a, 6) AS agreement, CASE WHEN a >= 0.7 THEN 'good' WHEN a >= 0.5 THEN 'moderate' ELSE 'low' END AS note FROM ag"
 )
 def polarity_agreement(spark, d):
+    """The two scorers on the same texts."""
     from ..operators.assess import polarity_agreement as agreement
 
-    p = S.lexicon_polarity(posts_doc(spark, d), lexicon(spark), _text())
-    out = p.agg(*agreement(C.polarity_class(F.col("polarity")), C.polarity_class(stand_in(F.col("id")))))
+    terms, rules = scored_by(spark)
+    p = S.lexicon_polarity(posts_doc(spark, d), terms, _text(), rules=rules)
+    q = S.mean_lexicon_polarity(posts_doc(spark, d), terms, _text(), rules=rules).withColumnRenamed("polarity", "q")
+    out = p.join(q, "id").agg(*agreement(C.polarity_class(F.col("polarity")), C.polarity_class(F.col("q"))))
     return out.withColumn("agreement", F.round("agreement", 6))
 
 
@@ -203,4 +237,5 @@ def backend_select(spark, d):
     with warnings.catch_warnings(record=True):
         warnings.simplefilter("always")
         scorer = S.backend("no such backend")
-    return scorer(posts_doc(spark, d), lexicon(spark), _text()).select("id", r6("polarity", "polarity"))
+    terms, rules = scored_by(spark)
+    return scorer(posts_doc(spark, d), terms, _text(), rules=rules).select("id", r6("polarity", "polarity"))

@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, StructType
 
 from ..functions.columns import clean_text, extract_entities, require_columns
 
@@ -28,9 +30,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new folder beside the session's checkpoints."""
+    return f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: the rows are computed once, and a lost executor costs a re-read."""
-    path = f"{shared_folder(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -97,21 +104,47 @@ def stop_terms(lines: DataFrame) -> DataFrame:
     return lines.select(line.alias("term")).where("term <> '' and not startswith(term, '#')").distinct()
 
 
-def fingerprint(df: DataFrame, *columns: str) -> DataFrame:
-    """One row: an order-free content hash (sum of each row's MD5 prefix), the row count and sorted column names."""
+def fingerprint(df: DataFrame, *columns: str, time: str | None = None, entity: str | None = None) -> DataFrame:
+    """One row: content_hash (the sum of each row's MD5 prefix, whatever the order and the files), n_rows, column_names (sorted),
+    size_bytes (of the files read; null where rows do not come from files), time_column, min_time, max_time, has_entities.
+
+    One pass: sums and extremes of each file, with the size that its scan knows, are merged."""
     row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
     prefix = F.conv(F.substring(F.md5(row), 1, 12), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.sum(prefix).cast("string").alias("content_hash"), F.count("*").alias("n_rows"), F.lit(",".join(sorted(columns))).alias("column_names"))
+    try:
+        of_file = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size"))
+    except AnalysisException:
+        of_file = df.withColumns({"_file": F.lit(""), "_size": F.lit(None).cast("long")})
+    own = {
+        "h": F.sum(prefix), "n": F.count("*"), "size": F.max("_size"),
+        "a": F.min(time) if time else F.lit(None).cast("timestamp"), "b": F.max(time) if time else F.lit(None).cast("timestamp"),
+        "e": F.count(entity) if entity else F.lit(0),
+    }
+    files = of_file.groupBy("_file").agg(*[x.alias(k) for k, x in own.items()])
+    shown = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss")
+    return files.agg(
+        F.sum("h").cast("string").alias("content_hash"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.lit(",".join(sorted(columns))).alias("column_names"),
+        F.sum("size").alias("size_bytes"), F.lit(time).alias("time_column"), shown(F.min("a")).alias("min_time"), shown(F.max("b")).alias("max_time"),
+        F.coalesce(F.sum("e") > 0, F.lit(False)).alias("has_entities"),
+    )
 
 
 def write_labelled(df: DataFrame, path: str, format: str = "parquet") -> None:
     df.write.mode("overwrite").partitionBy("partition").format(format).save(path)
 
 
+def _finite(x: Column, kind: DataType) -> Column:
+    """The value with doubles that are not finite as null, at any depth of structs."""
+    if isinstance(kind, DoubleType):
+        return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    if isinstance(kind, StructType):
+        return F.when(x.isNotNull(), F.struct(*[_finite(x[f.name], f.dataType).alias(f.name) for f in kind]))
+    return x
+
+
 def write_summary(summary: DataFrame, path: str) -> None:
-    """One row as JSON; NaN and infinities are not JSON, so doubles that are not finite become null."""
-    finite = {c: F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c)) for c, t in summary.dtypes if t == "double"}
-    summary.withColumns(finite).coalesce(1).write.mode("overwrite").json(path)
+    """One row, nested or not, as JSON; NaN and infinities are not JSON, so doubles that are not finite become null."""
+    summary.select(*[_finite(F.col(f.name), f.dataType).alias(f.name) for f in summary.schema]).coalesce(1).write.mode("overwrite").json(path)
 
 
 def write_sweep(sweep: DataFrame, path: str) -> None:
