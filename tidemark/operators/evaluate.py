@@ -43,6 +43,12 @@ def confusion_matrix(df: DataFrame, pred: Column, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(*[c.alias(k) for k, c in confusion(pred).items()])
 
 
+def with_shares(cells: DataFrame) -> DataFrame:
+    """Adds each cell's share of all rows, in percent."""
+    total = sum((F.col(c) for c in ("tn", "fp", "fn", "tp")), F.lit(0))
+    return cells.withColumns({f"{c}_pct": F.when(total > 0, F.col(c) * 100.0 / total).otherwise(0.0) for c in ("tn", "fp", "fn", "tp")})
+
+
 def classification_metrics(df: DataFrame, pred: Column, *by: str) -> DataFrame:
     out = with_scores(confusion_matrix(df, pred, *by))
     return out.withColumns({"support_0": F.col("tn") + F.col("fp"), "support_1": F.col("tp") + F.col("fn")})
@@ -162,6 +168,14 @@ def single_feature_auc(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return auc.join(slope, "feature").select("feature", F.when(F.col("rise") < 0, 1 - F.col("auc")).otherwise(F.col("auc")).alias("auc"))
 
 
+def baseline_comparison(baselines: DataFrame, models: DataFrame) -> DataFrame:
+    """model, auc, best_feature, best_auc, improvement, beats_best, beats_chance, from (feature, auc) and (model, auc): each model
+    against the best single feature (ties: the first by name) and against 0.5."""
+    best = baselines.agg(F.min_by("feature", F.struct(-F.col("auc"), F.col("feature"))).alias("best_feature"), F.max("auc").alias("best_auc"))
+    both = models.select("model", "auc").crossJoin(F.broadcast(best))  # one row
+    return both.withColumns({"improvement": F.col("auc") - F.col("best_auc"), "beats_best": F.col("auc") > F.col("best_auc"), "beats_chance": F.col("auc") > 0.5})
+
+
 def tier(auc: Column) -> Column:
     out = F.lit("below")
     for least, name in reversed(TIERS):
@@ -269,16 +283,29 @@ def importance_rank(df: DataFrame, *by: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("importance"), "feature")))
 
 
-def best_model_summary(metrics: DataFrame, tau: float = 1.5, weight_sentiment: float = 0.5) -> DataFrame:
-    """One row from (model, auc): the best, its tier, whether any reaches the minimum, the recommended settings."""
+def best_model_summary(metrics: DataFrame, tau: float = 1.5, weight_sentiment: float = 0.5, tests: DataFrame | None = None, baselines: DataFrame | None = None) -> DataFrame:
+    """One row from (model, auc): the best, its tier, whether any reaches the minimum, the recommended settings, and what it rests on,
+    nested: models (model, auc, tier), tests (of ``mcnemar``) and baselines (of ``baseline_comparison``), each in order of model."""
+    nested = lambda df, *columns: df.agg(F.sort_array(F.collect_list(F.struct(*columns))))  # noqa: E731  (a row for each model or pair)
     best = metrics.agg(F.max_by("model", F.struct("auc", F.col("model"))).alias("best_model"), F.max("auc").alias("best_auc"), F.max((F.col("auc") > TIERS[-1][0]).cast("int")).alias("any_minimum"))
-    return best.withColumns({"tier": tier(F.col("best_auc")), "recommended_tau": F.lit(tau), "recommended_weight_sentiment": F.lit(weight_sentiment)})
+    best = best.withColumns({"tier": tier(F.col("best_auc")), "recommended_tau": F.lit(tau), "recommended_weight_sentiment": F.lit(weight_sentiment)})
+    best = best.crossJoin(nested(metrics, "model", "auc", tier(F.col("auc")).alias("tier")).toDF("models"))
+    if tests is not None:
+        best = best.crossJoin(nested(tests, *tests.columns).toDF("tests"))
+    if baselines is not None:
+        best = best.crossJoin(nested(baselines, *baselines.columns).toDF("baselines"))
+    return best
+
 
+def prediction_examples(df: DataFrame, n: int = 5, threshold: float = 0.5, context: Sequence[str] = ()) -> DataFrame:
+    """The n most telling rows of each outcome: TP and FP by falling, FN and TN by rising probability; ``outcome_count`` is the number of
+    rows with that outcome, ``context`` columns and probabilities have four digits.
 
-def prediction_examples(df: DataFrame, n: int = 5, threshold: float = 0.5) -> DataFrame:
-    """The n most telling rows of each outcome: TP and FP by falling, FN and TN by rising probability."""
+    Each task keeps n rows of an outcome at most before any meet."""
     up = F.col("prob") >= threshold
     outcome = F.when((F.col("y") == 1) & up, "TP").when((F.col("y") == 0) & up, "FP").when(F.col("y") == 1, "FN").otherwise("TN")
     df = df.withColumn("outcome", outcome)
+    counts = F.broadcast(df.groupBy("outcome").agg(F.count("*").alias("outcome_count")))  # four rows
     w = Window.partitionBy("outcome").orderBy(F.when(up, -F.col("prob")).otherwise(F.col("prob")), "id")
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).withColumn("prob", F.round("prob", 4))
+    best = df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).join(counts, "outcome")
+    return best.withColumns({c: F.round(c, 4) for c in ("prob", *context)})

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import sentiment as S
 from ..functions.columns import polarity_class
 from ..operators import assess as A
-from .tables import EV, mentions_ev, query, r6, stand_in, table
+from . import texts
+from .tables import EV, POSTS, mentions_ev, posts_doc, query, r6, stand_in, table
 
 KEYWORDS = ("score", "like", "value", "price")
 #: A catalogue from the part table: one entry for each part.
@@ -117,13 +119,27 @@ def surge_viability_sweep(spark, d):
     return A.viability_sweep(z).withColumn("pct", F.round("pct", 6))
 
 
-@query("SELECT 'events' AS name, 'missing values' AS risks, 'unsuitable' AS verdict FROM (SELECT count(*) AS n FROM events) WHERE n >= 5000 UNION ALL SELECT 'events', 'few rows;missing values', 'unsuitable' FROM (SELECT count(*) AS n FROM events) WHERE n < 5000")
+@query(
+    f"""WITH {POSTS}, {texts.tokens_sql(texts.LEXICON)}, {texts.SUMMED}, {texts.MEANS},
+ag AS (SELECT avg(CASE WHEN {texts.AGREE.format('pl.polarity')} = {texts.AGREE.format('pm.polarity')} THEN 1.0 ELSE 0 END) AS agreement FROM pl JOIN pm ON pl.id = pm.id),
+fa AS (SELECT count(*) AS n_rows, CAST(avg(CASE WHEN title = '' THEN 100.0 ELSE 0 END) > 30 AS INT) + CAST(avg(CASE WHEN body = '' THEN 100.0 ELSE 0 END) > 30 AS INT) AS high_missing FROM posts),
+du AS (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS n FROM posts GROUP BY title, body)),
+ga AS (SELECT count(*) FILTER (WHERE gap > 7 * 86400) AS gaps FROM (SELECT epoch(created) - lag(epoch(created)) OVER (ORDER BY created) AS gap FROM posts)),
+ri AS (SELECT n_rows, high_missing, duplicate_rows, gaps, agreement, array_to_string(list_filter([CASE WHEN n_rows < 5000 THEN 'few rows' END, CASE WHEN high_missing > 0 THEN 'missing values' END,
+  CASE WHEN duplicate_rows > 0 THEN 'duplicates' END, CASE WHEN gaps > 0 THEN 'gaps' END, CASE WHEN agreement < 0.5 THEN 'unreliable sentiment' END], lambda x: x IS NOT NULL), ';') AS risks FROM fa, du, ga, ag)
+SELECT 'documents' AS name, n_rows, high_missing, duplicate_rows, gaps, round(agreement, 6) AS agreement, risks, CASE WHEN risks = '' THEN 'suitable' ELSE 'unsuitable' END AS verdict FROM ri"""
+)
 def dataset_verdict(spark, d):
-    df = _holes(spark, d)
-    agreement = mentions_ev(spark, d).agg(F.avg((polarity_class(F.col("polarity")) == polarity_class(F.col("polarity"))).cast("int")).alias("agreement"))
+    """Documents as records: missing titles and bodies, repeated texts, gaps, and whether two scorers agree on their sentiment."""
+    posts = posts_doc(spark, d)
+    terms, rules = texts.scored_by(spark)
+    text = S.text_choice(F.col("title"), F.col("body"))
+    both = S.lexicon_polarity(posts, terms, text, rules=rules).join(S.mean_lexicon_polarity(posts, terms, text, rules=rules).withColumnRenamed("polarity", "other"), "id")
+    agreement = both.agg(A.polarity_agreement(polarity_class(F.col("polarity")), polarity_class(F.col("other")))[0])
+    df = posts.select(*[F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("title", "body")])
     facts = df.agg(F.count("*").alias("n_rows")).crossJoin(A.missing_profile(df).agg(F.count_if("high_risk").alias("high_missing")))
-    facts = facts.crossJoin(A.duplicate_rows(df)).crossJoin(A.temporal_coverage(mentions_ev(spark, d), "created").select("gaps")).crossJoin(agreement)
-    return A.dataset_verdict(facts).select(F.lit("events").alias("name"), "risks", "verdict")
+    facts = facts.crossJoin(A.duplicate_rows(df)).crossJoin(A.temporal_coverage(posts, "created").select("gaps")).crossJoin(agreement)
+    return A.dataset_verdict(facts).select(F.lit("documents").alias("name"), "n_rows", "high_missing", "duplicate_rows", "gaps", r6("agreement", "agreement"), "risks", "verdict")
 
 
 @query("SELECT user_id AS id, event_type AS definition FROM (SELECT DISTINCT user_id, event_type FROM events WHERE user_id % 2 = 0) UNION ALL SELECT DISTINCT user_id, CAST(NULL AS VARCHAR) FROM events WHERE user_id % 2 = 1")

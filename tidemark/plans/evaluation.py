@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import apply_threshold as at_least
 from ..operators import evaluate as E
-from .tables import SCORED, by_model, query, r6, scored_lab
+from ..operators import features, label
+from ..sources.records import settle
+from .bursts import FEAT
+from .tables import SCORED, by_model, mentions_ev, query, r6, scored_lab, upto
 
 CELLS = """count(*) FILTER (WHERE y = 0 AND prob < 0.5) AS tn, count(*) FILTER (WHERE y = 0 AND prob >= 0.5) AS fp,
   count(*) FILTER (WHERE y = 1 AND prob < 0.5) AS fn, count(*) FILTER (WHERE y = 1 AND prob >= 0.5) AS tp"""
@@ -38,9 +41,13 @@ def apply_threshold(spark, d):
     return scored_lab(spark, d).select("id", at_least(F.col("prob_a"), 0.25).alias("pred"))
 
 
-@query(f"WITH {SCORED} SELECT model, {CELLS} FROM bm GROUP BY model")
+SHARES = ", ".join(f"round({c} * 100.0 / (tn + fp + fn + tp), 6) AS {c}_pct" for c in ("tn", "fp", "fn", "tp"))
+
+
+@query(f"WITH {SCORED}, cm AS (SELECT model, {CELLS} FROM bm GROUP BY model) SELECT *, {SHARES} FROM cm")
 def confusion_matrix(spark, d):
-    return E.confusion_matrix(_models(spark, d), at_least(F.col("prob")), "model")
+    df = E.with_shares(E.confusion_matrix(_models(spark, d), at_least(F.col("prob")), "model"))
+    return df.withColumns({f"{c}_pct": F.round(f"{c}_pct", 6) for c in ("tn", "fp", "fn", "tp")})
 
 
 @query(f"WITH {SCORED}, cm AS (SELECT model, {CELLS} FROM bm GROUP BY model) SELECT model, {SCORES}, tn + fp AS support_0, tp + fn AS support_1 FROM cm")
@@ -88,28 +95,60 @@ def tuned_vs_default(spark, d):
     return _rounded(E.tuned_vs_default(_models(spark, d), "model"), "model", names=("tuned_threshold", "tuned_f1", "default_f1", "f1_gain"))
 
 
-@query(
-    f"""WITH {SCORED}, rt AS (SELECT id, model, (prob >= 0.5) = (y = 1) AS ok FROM bm),
+POLY = "0.0"
+for _c in reversed(E.ERFC):
+    POLY = f"({POLY} * t + ({_c}))"
+MCNEMAR = f"""rt AS (SELECT id, model, (prob >= 0.5) = (y = 1) AS ok FROM bm),
 pr AS (SELECT a.model AS model_a, b.model AS model_b, count(*) FILTER (WHERE a.ok AND NOT b.ok) AS b, count(*) FILTER (WHERE NOT a.ok AND b.ok) AS c
-  FROM rt a JOIN rt b ON a.id = b.id AND a.model < b.model GROUP BY 1, 2)
-SELECT model_a, model_b, b, c, round(CASE WHEN b + c = 0 THEN 0 ELSE (b - c) * (b - c) / (b + c) END, 6) AS statistic, round(0.05 / count(*) OVER (), 6) AS corrected_alpha FROM pr"""
-)
+  FROM rt a JOIN rt b ON a.id = b.id AND a.model < b.model GROUP BY 1, 2),
+p1 AS (SELECT *, CASE WHEN b + c = 0 THEN 0 ELSE (b - c) * (b - c) / (b + c) END AS statistic, 0.05 / count(*) OVER () AS corrected_alpha FROM pr),
+p2 AS (SELECT *, sqrt(statistic / 2) AS x, 1 / (1 + 0.5::DOUBLE * sqrt(statistic / 2)) AS t FROM p1),
+p3 AS (SELECT *, CASE WHEN b + c = 0 THEN 1 WHEN b + c < 25 THEN least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda k: factorial(CAST(b + c AS INT)) / (factorial(CAST(k AS INT)) * factorial(CAST(b + c - k AS INT))))) / pow(2, b + c))
+  ELSE t * exp({POLY} - x * x) END AS p_value FROM p2),
+mc AS (SELECT model_a, model_b, b, c, statistic, p_value, corrected_alpha, p_value < corrected_alpha AS significant FROM p3)"""
+
+
+@query(f"WITH {SCORED}, {MCNEMAR} SELECT model_a, model_b, b, c, round(statistic, 6) AS statistic, round(p_value, 9) AS p_value, round(log10(p_value), 5) AS log10_p, round(corrected_alpha, 6) AS corrected_alpha, significant FROM mc")
 def mcnemar_pairwise(spark, d):
-    preds = _models(spark, d).select("id", "model", "y", at_least(F.col("prob")).alias("pred"))
-    return E.mcnemar(preds).select("model_a", "model_b", "b", "c", r6("statistic", "statistic"), r6("corrected_alpha", "corrected_alpha"))
+    df = _mcnemar(spark, d)
+    return df.select("model_a", "model_b", "b", "c", r6("statistic", "statistic"), F.round("p_value", 9).alias("p_value"), F.round(F.log10("p_value"), 5).alias("log10_p"), r6("corrected_alpha", "corrected_alpha"), "significant")
+
+
+def _mcnemar(spark, d):
+    return E.mcnemar(_models(spark, d).select("id", "model", "y", at_least(F.col("prob")).alias("pred")))
 
 
-HALVES = "hf AS (SELECT *, CASE WHEN id % 3 = 0 THEN 'test' ELSE 'train' END AS partition FROM bm)"
+#: Scores of two plain models over the features, which SQL can say as well.
+PLAIN_MODELS = {"rate_and_gap": "entity_rate_24h - 0.25 * time_since_previous", "mood_and_rate": "0.5 * sentiment_score + 0.1 * acceleration_12h - 0.05 * entity_rate_24h"}
+_long = lambda names: " UNION ALL ".join(f"SELECT partition, y, '{k}' AS name, round(CAST({x} AS DOUBLE), 9) AS prob FROM fy" for k, x in names.items())
+BASELINES = ",\n".join([
+    FEAT.replace("FROM s)", "FROM l)"), "fy AS (SELECT *, CASE WHEN composite > 0.5 THEN 1 ELSE 0 END AS y FROM fa WHERE NOT excluded)",
+    f"lo AS ({_long({f: f for f in features.FEATURES})})", f"lm AS ({_long(PLAIN_MODELS)})",
+    "sl AS (SELECT name, avg(prob) FILTER (WHERE y = 1) - avg(prob) FILTER (WHERE y = 0) AS rise FROM lo WHERE partition = 'train' GROUP BY name)",
+    AUC.format("name, ", "(SELECT * FROM lo WHERE partition = 'test')", "name"),
+    "fe AS (SELECT au.name, CASE WHEN rise < 0 THEN 1 - auc ELSE auc END AS auc FROM au JOIN sl ON au.name = sl.name)",
+    AUC.format("name, ", "(SELECT * FROM lm WHERE partition = 'test')", "name").replace("st AS", "st2 AS").replace("FROM st)", "FROM st2)").replace("wn AS", "wn2 AS").replace("FROM wn ", "FROM wn2 ").replace("au AS", "au2 AS"),
+    "be AS (SELECT name AS best_feature, auc AS best_auc FROM fe ORDER BY auc DESC, name LIMIT 1)",
+])
 
 
 @query(
-    f"""WITH {SCORED}, {HALVES}, sl AS (SELECT model, avg(prob) FILTER (WHERE y = 1) - avg(prob) FILTER (WHERE y = 0) AS rise FROM hf WHERE partition = 'train' GROUP BY model),
-{AUC.format("model, ", "(SELECT * FROM hf WHERE partition = 'test')", "model")}
-SELECT au.model AS feature, round(CASE WHEN rise < 0 THEN 1 - auc ELSE auc END, 6) AS auc FROM au JOIN sl ON au.model = sl.model"""
+    upto("l", BASELINES)
+    + """SELECT name, 'feature' AS kind, round(auc, 6) AS auc, best_feature, round(best_auc, 6) AS best_auc, CAST(NULL AS DOUBLE) AS improvement, CAST(NULL AS BOOLEAN) AS beats_best, auc > 0.5 AS beats_chance FROM fe, be
+UNION ALL SELECT name, 'model', round(auc, 6), best_feature, round(best_auc, 6), round(auc - best_auc, 6), auc > best_auc, auc > 0.5 FROM au2, be"""
 )
 def single_feature_baselines(spark, d):
-    df = scored_lab(spark, d).withColumn("partition", F.when(F.col("id") % 3 == 0, "test").otherwise("train"))
-    return E.single_feature_auc(df, ("prob_a", "prob_b", "prob_c")).select("feature", r6("auc", "auc"))
+    """Each of the eleven features alone, the best of them, and two plain models against it."""
+    df = features.features_all(label.apply_labelling(settle(label.through_sentiment(mentions_ev(spark, d), with_features=True)), tau=0.5))
+    df = df.where(~F.col("excluded")).withColumn("y", F.col("surge_label").cast("int"))
+    rows = settle(df.select("partition", "y", *[F.round(F.col(f).cast("double"), 9).alias(f) for f in features.FEATURES], *[F.round(F.expr(x).cast("double"), 9).alias(k) for k, x in PLAIN_MODELS.items()]))
+    alone = settle(E.single_feature_auc(rows, features.FEATURES))
+    scores = rows.where("partition = 'test'").select("y", *PLAIN_MODELS).unpivot(["y"], list(PLAIN_MODELS), "model", "prob")
+    compared = E.baseline_comparison(alone, E.roc_auc(scores, "model"))
+    best = compared.select("best_feature", "best_auc").distinct()
+    shown = lambda df, name, kind, own: df.select(F.col(name).alias("name"), F.lit(kind).alias("kind"), r6("auc", "auc"), "best_feature", r6("best_auc", "best_auc"), *own, (F.col("auc") > 0.5).alias("beats_chance"))
+    none = [F.lit(None).cast("double").alias("improvement"), F.lit(None).cast("boolean").alias("beats_best")]
+    return shown(alone.crossJoin(best), "feature", "feature", none).unionByName(shown(compared, "model", "model", [r6("improvement", "improvement"), "beats_best"]))
 
 
 TIER = "CASE WHEN auc > 0.8 THEN 'stretch' WHEN auc > 0.7 THEN 'target' WHEN auc > 0.6 THEN 'minimum' ELSE 'below' END"
@@ -147,16 +186,30 @@ def importance_rank(spark, d):
     return E.importance_rank(auc).select("feature", "rank")
 
 
-@query(f"WITH {SCORED}, {MODEL_AUC}, b AS (SELECT * FROM au ORDER BY auc DESC, model DESC LIMIT 1) SELECT model AS best_model, round(auc, 6) AS best_auc, {TIER} AS tier, CAST(auc > 0.6 AS INT) AS any_minimum FROM b")
+@query(
+    f"""WITH {SCORED}, {MODEL_AUC}, {MCNEMAR}, b AS (SELECT * FROM au ORDER BY auc DESC, model DESC LIMIT 1)
+SELECT model AS best_model, round(auc, 6) AS best_auc, {TIER} AS tier, CAST(auc > 0.6 AS INT) AS any_minimum, 1.5 AS recommended_tau, 0.5 AS recommended_weight_sentiment,
+  (SELECT string_agg(model || ' ' || printf('%.5f', auc) || ' ' || {TIER}, ';' ORDER BY model) FROM au) AS models,
+  (SELECT string_agg(model_a || ' ' || model_b || ' ' || b || ' ' || c || ' ' || significant, ';' ORDER BY model_a, model_b) FROM mc) AS tests,
+  (SELECT string_agg(model || ' ' || printf('%.5f', auc - (SELECT auc FROM au WHERE model = 'prob_c')) || ' ' || (auc > (SELECT auc FROM au WHERE model = 'prob_c')), ';' ORDER BY model) FROM au) AS baselines FROM b"""
+)
 def best_model_summary(spark, d):
-    return E.best_model_summary(E.roc_auc(_models(spark, d), "model")).select("best_model", r6("best_auc", "best_auc"), "tier", "any_minimum")
+    """With all that it rests on: each model's area and tier, the pairwise tests, and each model against the length of the text alone."""
+    auc = settle(E.roc_auc(_models(spark, d), "model"))
+    alone = auc.where("model = 'prob_c'").select(F.lit("n_chars").alias("feature"), "auc")
+    s = E.best_model_summary(auc, tests=_mcnemar(spark, d), baselines=E.baseline_comparison(alone, auc))
+    listed = lambda column, form, *names: F.array_join(F.transform(column, lambda x: F.format_string(form, *[x[n] for n in names])), ";").alias(column)
+    return s.select(
+        "best_model", r6("best_auc", "best_auc"), "tier", "any_minimum", "recommended_tau", "recommended_weight_sentiment", listed("models", "%s %.5f %s", "model", "auc", "tier"),
+        listed("tests", "%s %s %d %d %s", "model_a", "model_b", "b", "c", "significant"), listed("baselines", "%s %.5f %s", "model", "improvement", "beats_best"),
+    )
 
 
 @query(
-    f"""WITH {SCORED}, oc AS (SELECT id, prob_a AS prob, n_chars, CASE WHEN y = 1 AND prob_a >= 0.5 THEN 'TP' WHEN y = 0 AND prob_a >= 0.5 THEN 'FP' WHEN y = 1 THEN 'FN' ELSE 'TN' END AS outcome FROM sc),
-rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY outcome ORDER BY CASE WHEN prob >= 0.5 THEN -prob ELSE prob END, id) AS INT) AS rank FROM oc)
-SELECT outcome, rank, id, round(prob, 4) AS prob, n_chars FROM rk WHERE rank <= 5"""
+    f"""WITH {SCORED}, oc AS (SELECT id, prob_a AS prob, prob_c, n_chars, CASE WHEN y = 1 AND prob_a >= 0.5 THEN 'TP' WHEN y = 0 AND prob_a >= 0.5 THEN 'FP' WHEN y = 1 THEN 'FN' ELSE 'TN' END AS outcome FROM sc),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY outcome ORDER BY CASE WHEN prob >= 0.5 THEN -prob ELSE prob END, id) AS INT) AS rank, count(*) OVER (PARTITION BY outcome) AS outcome_count FROM oc)
+SELECT outcome, outcome_count, rank, id, round(prob, 4) AS prob, n_chars, round(prob_c, 4) AS length_share FROM rk WHERE rank <= 5"""
 )
 def prediction_examples(spark, d):
-    rows = scored_lab(spark, d).withColumnRenamed("prob_a", "prob")
-    return E.prediction_examples(rows).select("outcome", "rank", "id", "prob", "n_chars")
+    rows = scored_lab(spark, d).withColumnsRenamed({"prob_a": "prob", "prob_c": "length_share"})
+    return E.prediction_examples(rows, context=["length_share"]).select("outcome", "outcome_count", "rank", "id", "prob", "n_chars", "length_share")
