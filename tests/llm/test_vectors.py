@@ -135,3 +135,23 @@ def test_hilbert_visits_neighbouring_cells():
     order = cells[np.argsort(ann.hilbert(cells, 3))]
     assert sorted(ann.hilbert(cells, 3)) == list(range(512))
     assert (np.abs(np.diff(order, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_clumps_around_any_centre(spark):
+    """Near copies beside an outlier with the smallest id of their bucket: they are counted, not compared."""
+    r = np.random.default_rng(8)
+    centres = r.standard_normal((2, 16))
+    rows = [(0, [float(x) for x in centres[0] + 0.35 * r.standard_normal(16)], "a")]
+    rows += [(1 + k, [float(x) for x in centres[k % 3 == 0] + 0.01 * r.standard_normal(16)], "a") for k in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    coded = embdedup._codes(
+        df.select(F.col("vec_id").alias("node"), "label", F.size("embedding").alias("length"), F.lit(1).cast("long").alias("copies"), embdedup.as_bytes(F.col("embedding"), "float32").alias("data")),
+        1, 2, 11, "float32",
+    ).cache()
+    clumps = [x.node for x in embdedup._clumps(coded, 0.93, 64, "float32").collect()]
+    assert len(clumps) == len(set(clumps)) >= 900 - 2 * 64
+    x = np.array([r[1] for r in rows], dtype=np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = x @ x.T >= 0.93
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embdedup.near_duplicates(df, block=64).collect()}
+    assert all(got[k][0] == linked[k].sum() - 1 for k in range(len(rows)))

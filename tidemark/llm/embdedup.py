@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, discard, materialize
+from .shared import connected_components, discard, join_counted, materialize
 
 
 def usable(vector: Column) -> Column:
@@ -130,23 +130,56 @@ def _compare(pdf: pd.DataFrame, similarity: float, kind: str) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["u", "v", "n"], dtype="int64")
 
 
-def _clumps(coded: DataFrame, similarity: float, block: int, kind: str) -> DataFrame:
-    """(node, clump): nodes of large buckets of the first table that are within half the threshold's angle of the bucket's first node, its clump."""
+#: Centres that are tried in a bucket at a time.
+CENTRES = 16
+
+
+def _clumps(coded: DataFrame, similarity: float, block: int, kind: str, most_rounds: int = 40) -> DataFrame:
+    """(node, clump): nodes of large buckets of the first table that are within half the threshold's angle of a centre, their clump.
+
+    In rounds: CENTRES nodes of each bucket that is still larger than a block, drawn by a hash, take the nodes near them. A clump that
+    holds a share s of its bucket is met with chance 1 - (1 - s)^CENTRES; the rounds end when one takes less than a CENTRES-th of the nodes
+    that are left, so each node is compared with CENTRES ln(n) centres at most, whatever lies in its bucket."""
     keys = ["label", "length", "code"]
-    first = coded.select("node", "label", "length", F.col("codes")[0].alias("code"), "data")
-    centres = first.groupBy(*keys).agg(F.count("*").alias("size"), F.min("node").alias("clump")).where(F.col("size") > block)
-    centres = centres.join(first.select(F.col("node").alias("clump"), F.col("data").alias("centre")), "clump")
+    left = coded.select("node", F.struct("label", "length", F.col("codes")[0].alias("code")).alias("bucket"), "data")
     least = math.cos(math.acos(similarity) / 2) + 1e-9  # rounding never makes two members' cosine fall below the threshold
 
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = np.zeros(len(a), dtype=bool)
-        for own in pd.Series(a.map(len).to_numpy()).groupby(a.map(len).to_numpy()).indices.values():
-            out[own] = np.einsum("ij,ij->i", _unit(a.iloc[own], kind), _unit(b.iloc[own], kind)) >= least
-        return pd.Series(out)
-
-    # at most one large bucket for each ``block`` nodes: joined as they come, Spark splits what is skewed
-    return first.join(centres, keys).where(near("data", "centre")).select("node", "clump")
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of a part of a bucket and the bucket's centres: the first centre in reach of each node, -1 without one."""
+        centre = pdf["centre"].to_numpy()
+        rows, centres = pdf[~centre], pdf[centre].sort_values("node")
+        clump = np.full(len(rows), -1, dtype=np.int64)
+        if len(rows) and len(centres):
+            hits = _unit(rows["data"], kind) @ _unit(centres["data"], kind).T >= least
+            some = hits.any(axis=1)
+            clump[some] = centres["node"].to_numpy()[hits[some].argmax(axis=1)]
+        return rows[["node", *keys, "data"]].assign(clump=clump)
+
+    found, tables = [], []
+    for turn in range(most_rounds):
+        draw = [F.min_by("node", F.xxhash64("node", F.lit(CENTRES * turn + k))) for k in range(CENTRES)]
+        drawn = left.groupBy("bucket").agg(F.count("*").alias("size"), F.array_distinct(F.array(*draw)).alias("drawn")).where(F.col("size") > block)
+        drawn = materialize(drawn)
+        if drawn.isEmpty():
+            break
+        parts = F.ceil(F.col("size") / block).cast("int")
+        centres = drawn.select("bucket", parts.alias("parts"), F.explode("drawn").alias("node")).join(left.select("node", "data"), "node")
+        centres = centres.select("node", "bucket", "data", F.lit(True).alias("centre"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        rows = join_counted(left, drawn.select("bucket", "size"), "bucket").select("node", "bucket", "data", F.lit(False).alias("centre"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+        group = rows.unionByName(centres).select("node", "bucket.*", "data", "centre", "part").groupBy(*keys, "part")
+        tried = materialize(group.applyInPandas(near, "node long, label string, length int, code long, data binary, clump long"))
+        tables.append(tried)
+        found.append(tried.where("clump >= 0").select("node", "clump"))
+        left = tried.where("clump < 0").select("node", F.struct(*keys).alias("bucket"), "data")
+        taken, rest = tried.agg(F.count_if(F.col("clump") >= 0), F.count_if(F.col("clump") < 0)).first()
+        if taken * CENTRES < rest:
+            break
+    if not found:
+        return coded.select("node", F.col("node").alias("clump")).limit(0)
+    out = materialize(reduce(DataFrame.unionByName, found))
+    for x in tables:
+        discard(x)
+    return out
 
 
 def near_duplicates(
@@ -180,7 +213,7 @@ def near_duplicates(
     bits = max(1, math.ceil(math.log2(max(2, largest) / bucket)))
     tables = tables_for(similarity, bits, missed)
     coded = materialize(_codes(nodes.select("node", "label", "length", "copies", "data"), bits, tables, seed, kind))
-    clumps = materialize(_clumps(coded, similarity, block, kind))
+    clumps = _clumps(coded, similarity, block, kind)
     of_clump = clumps.join(coded.select("node", "copies"), "node").groupBy("clump").agg(F.sum("copies").alias("clump_copies"), F.count("*").alias("members"))
     clumps = materialize(clumps.join(of_clump.where("members > 1"), "clump").select("node", "clump", "clump_copies"))
     coded = materialize(coded.join(clumps.select("node", "clump"), "node", "left").withColumn("clump", F.coalesce("clump", F.lit(-1))))
@@ -210,19 +243,22 @@ def near_duplicates(
         )
         group = dealt.groupBy(*keys, "p", "q")
         found.append(materialize(group.applyInPandas(lambda pdf: _compare(pdf, similarity, kind), "u long, v long, n long")))
-    found = reduce(DataFrame.unionByName, found)
+    tables_found, found = found, reduce(DataFrame.unionByName, found)
     links = found.where("u = v").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
     edges = found.where("u <> v").select("u", "v").unionByName(clumps.select(F.col("node").alias("u"), F.col("clump").alias("v")))
     component = connected_components(edges, "u", "v")
     nodes = nodes.join(links, "node", "left").join(component, "node", "left").join(clumps.select("node", "clump_copies"), "node", "left")
     total = F.coalesce("n", F.lit(0)) + F.coalesce("clump_copies", F.col("copies")) - 1
-    nodes = nodes.select("node", "label", "data", "first", total.alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    nodes = nodes.select("node", "label", "data", "first", "copies", total.alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     if repeated:
         firsts = nodes.select(F.col("node").alias("component_id"), F.col("first").alias("of"))
         nodes = nodes.join(firsts, "component_id").withColumn("component_id", F.col("of"))
-    nodes = materialize(nodes.select("label", "data", "n_links", "component_id"))
-    discard(coded)
-    out = rows.join(nodes, ["label", "data"], "left").select(
-        F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
-    )
+    same = F.struct("label", "data").alias("same")
+    nodes = materialize(nodes.select(same, F.col("copies").alias("size"), "n_links", "component_id"))
+    for x in (coded, clumps, *tables_found):
+        discard(x)
+    # copies of one vector do not meet in one task, and rows without a usable vector meet nothing
+    own = join_counted(rows.where("data is not null").select("id", same), nodes, "same").select("id", "n_links", "component_id")
+    none = rows.where("data is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = own.unionByName(none).select(F.col("id").alias(key), "n_links", "component_id")
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))

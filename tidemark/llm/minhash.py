@@ -366,8 +366,9 @@ def near_duplicates(
     if not hasattr(docs, "_tidemark_path"):
         return found.select(F.col("node").alias(key), "n_shingles", "component_id", "kept")
     keys = docs.select(F.col("_node").alias("node"), key).distinct()
-    firsts = keys.select(F.col("node").alias("component_id"), F.col(key).alias("_first"))
-    return found.join(keys, "node").join(firsts, "component_id").select(key, "n_shingles", F.col("_first").alias("component_id"), "kept")
+    sizes = found.groupBy("component_id").agg(F.count("*").alias("size"))
+    firsts = keys.select(F.col("node").alias("component_id"), F.col(key).alias("_first")).join(sizes, "component_id")
+    return join_counted(found.join(keys, "node"), firsts, "component_id").select(key, "n_shingles", F.col("_first").alias("component_id"), "kept")
 
 
 def node_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -376,7 +377,7 @@ def node_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     docs = docs.select(F.col("_node").alias("id"), "text")
     prints = materialize(fingerprint(docs, "id", "text", words, *bands_for(similarity)))
     filled = prints.where("n_shingles > 0")
-    firsts = filled.groupBy("d1", "d2").agg(F.min("id").alias("node"))
+    firsts = filled.groupBy("d1", "d2").agg(F.min("id").alias("node"), F.count("*").alias("size"))
     firsts = materialize(firsts)
     nodes = filled.join(firsts, (filled["id"] == firsts["node"]) & (filled["d1"] == firsts["d1"]) & (filled["d2"] == firsts["d2"]))
     nodes = materialize(nodes.select("node", F.col("n_shingles").alias("n"), "sketch", "bands").dropDuplicates(["node", "n"]))
@@ -410,8 +411,8 @@ def node_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     for used in (members, stars, links, labelled, kinds, mixed, mains, edges, more, nodes, stars_found):
         discard(used)
 
-    placed = prints.join(firsts, ["d1", "d2"], "left").join(found, "node", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("id"))
-    return placed.select(F.col("id").alias("node"), "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("node") == F.col("component_id")
-    )
+    # each set's component, then the rows of each set: large groups of copies do not meet in a task, and empty sets meet nothing
+    placed = firsts.join(found, "node", "left").select(F.struct("d1", "d2").alias("set"), "size", F.coalesce("component", "node").alias("component_id"))
+    placed = join_counted(filled.select("id", "n_shingles", F.struct("d1", "d2").alias("set")), placed, "set").select("id", "n_shingles", "component_id")
+    placed = placed.unionByName(prints.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id")))
+    return placed.select(F.col("id").alias("node"), "n_shingles", "component_id").withColumn("kept", F.col("node") == F.col("component_id"))

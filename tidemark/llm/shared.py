@@ -55,6 +55,27 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: str, total: int | Non
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
+#: Bits of the map of wanted values, in pages of ``bitmap_construct_agg``: 8 MB in all, whatever there is.
+MAP_PAGE = 8 * 4096
+MAP_BITS = 2000 * MAP_PAGE
+
+
+def likely_among(rows: DataFrame, value: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those whose value may be among ``wanted`` (one column), and those that surely are not, nulls included.
+
+    Values are looked up by their hash in a map of fixed size, which is broadcast. A share of about wanted / MAP_BITS of the
+    others is taken along, so the map helps while there are fewer wanted values than it has bits; the results are the same."""
+    at = lambda x: F.pmod(F.xxhash64(x), F.lit(MAP_BITS))
+    page, bit, bits = fresh(rows, "page"), fresh(rows, "bit"), fresh(rows, "bits")
+    x = F.col(wanted.columns[0])
+    pages = wanted.where(x.isNotNull()).select(F.floor(at(x) / MAP_PAGE).cast("int").alias(page), (at(x) % MAP_PAGE).alias(bit))
+    pages = F.broadcast(pages.groupBy(page).agg(F.bitmap_construct_agg(bit).alias(bits)))
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(F.col(bit) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(F.getbit(byte, (F.col(bit) % 8).cast("int")) == 1, F.lit(False)) & F.col(value).isNotNull()
+    found = rows.withColumns({page: F.floor(at(F.col(value)) / MAP_PAGE).cast("int"), bit: at(F.col(value)) % MAP_PAGE}).join(pages, page, "left")
+    return found.where(is_set).select(*rows.columns), found.where(~is_set).select(*rows.columns)
+
+
 def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph: ``node``, ``component`` (its smallest node).
 

@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, materialize
+from .shared import connected_components, likely_among, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Within one tag, from its name on: the address of a canonical link and of a refresh.
@@ -119,7 +119,11 @@ def judge(
     rows = rows.withColumn("_best", best_rule(F.col("host"), F.col("path"), rules))
     verdict = [F.col("_best.action")]
     if decided is not None:
-        rows = rows.withColumn("name", F.when(F.contains("_url", F.lit("://")), name_of(F.col("_url")))).join(decided, "name", "left")
+        # only pages that the graph may know are shuffled
+        decided = materialize(decided)
+        rows = rows.withColumn("name", F.when(F.contains("_url", F.lit("://")), name_of(F.col("_url"))))
+        known, others = likely_among(rows, "name", decided.select("name"))
+        rows = known.join(decided, "name", "left").unionByName(others.withColumn("shared", F.lit(None).cast("string")))
         verdict.append(F.col("shared"))
     return rows.select(key, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce(*verdict, F.lit("allow")).alias("verdict"))
 
