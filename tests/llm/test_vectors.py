@@ -142,7 +142,7 @@ def test_clumps_around_any_centre(spark):
     r = np.random.default_rng(8)
     centres = r.standard_normal((2, 16))
     rows = [(0, [float(x) for x in centres[0] + 0.35 * r.standard_normal(16)], "a")]
-    rows += [(1 + k, [float(x) for x in centres[k % 3 == 0] + 0.01 * r.standard_normal(16)], "a") for k in range(900)]
+    rows += [(1 + k, [float(x) for x in centres[int(k % 3 == 0)] + 0.01 * r.standard_normal(16)], "a") for k in range(900)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
     coded = embdedup._codes(
         df.select(F.col("vec_id").alias("node"), "label", F.size("embedding").alias("length"), F.lit(1).cast("long").alias("copies"), embdedup.as_bytes(F.col("embedding"), "float32").alias("data")),
