@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import evaluate, features, model, search
+from tidemark.operators import evaluate, features, model
 
 GRIDS = {
     "logistic": [{"C": 1e-4, "l1": 1.0, "iter": 5}, {"C": 1.0, "l1": 0.0, "iter": 30}],
@@ -29,44 +29,25 @@ def done(spark):
     return df, model.train_all(df, grids=GRIDS)
 
 
-def test_area_equals_counting_pairs():
-    r = np.random.default_rng(0)
-    y, s = r.integers(0, 2, 200), np.round(r.random(200), 1)
+def area(y, s):
+    """Pairs of a positive and a negative that are in order; ties for half."""
     pairs = [(a > b) + (a == b) / 2 for a in s[y == 1] for b in s[y == 0]]
-    assert abs(search.area(y, s) - np.mean(pairs)) < 1e-12
-    assert search.area(np.ones(3), s[:3]) == 0.5
-
-
-def test_a_tree_splits_where_the_squares_say():
-    r = np.random.default_rng(3)
-    x, weight = r.integers(0, search.BINS, (120, 3)), r.integers(1, 4, 120).astype(float)
-    target = (x[:, 1] > 11) + 0.1 * r.standard_normal(120)
-
-    def loss(j, k):
-        parts = [x[:, j] <= k, x[:, j] > k]
-        return sum(np.sum(weight[p] * (target[p] - np.average(target[p], weights=weight[p])) ** 2) for p in parts if p.any())
-
-    j, k = min(((j, k) for j in range(3) for k in range(search.BINS - 1)), key=lambda jk: loss(*jk))
-    root, first = list(search.grow(x, target, weight, x, 1, 1, 3, r))
-    low = x[:, j] <= k
-    want = np.where(low, np.average(target[low], weights=weight[low]), np.average(target[~low], weights=weight[~low]))
-    assert np.allclose(root[0], np.average(target, weights=weight)) and np.allclose(first[0], want) and np.allclose(first[1], want)
-    levels = list(search.grow(x, target, np.ones(120), x, 30, 7, 3, r))
-    _, n = np.unique(levels[-1][0], return_counts=True)
-    assert n.min() >= 7
-
-
-def test_smaller_configurations_are_the_beginning_of_larger_ones():
-    r = np.random.default_rng(5)
-    x, other = r.integers(0, 32, (200, 4)), r.integers(0, 32, (100, 4))
-    y, y2 = (x[:, 0] + x[:, 1] > 30).astype(float), (other[:, 0] + other[:, 1] > 30).astype(float)
-    w = np.ones(200)
-    many = search.forest_areas(x, y, other, y2, w, 1, [(2, 2), (5, 2), (5, 30)], 7)
-    for n, d in many:
-        assert search.forest_areas(x, y, other, y2, w, 1, [(n, d)], 7) == {(n, d): many[n, d]}
-    assert many[5, 30] > 0.9
-    rounds = search.boosted_areas(x, y, other, y2, w, 2, 0.3, [1, 20], 7)
-    assert search.boosted_areas(x, y, other, y2, w, 2, 0.3, [1], 7)[1] == rounds[1] < rounds[20] and rounds[20] > 0.95
+    return float(np.mean(pairs)) if pairs else 0.5
+
+
+def test_fold_areas_are_those_of_the_fitted_models(spark, done):
+    """Each area is that of the Spark model fitted on the split's training rows, on its validation rows; the search reports the winner's."""
+    df, trained = done
+    folded = model.temporal_folds(features.partition_filter(df, "train"))
+    splits = model.expanding_splits(folded)
+    for t in trained:
+        for i, got in enumerate(t.fold_auc, 1):
+            own = splits.where(F.col("split") == i)
+            fitted = model.fit_one(t.kind, t.params, own.where("role = 'train'").select("y", *features.FEATURES).coalesce(1))
+            rows = model.score(fitted, own.where("role = 'validate'")).collect()
+            # the rows' order decides which of them a forest draws; the other models have no such freedom
+            assert abs(got - area(np.array([r.y for r in rows]), np.array([r.prob for r in rows]))) < (0.05 if t.kind == "forest" else 1e-3)
+        assert t.cv_auc == sum(t.fold_auc) / 3
 
 
 def test_search_finds_the_better_configuration(spark, done):
@@ -77,9 +58,10 @@ def test_search_finds_the_better_configuration(spark, done):
     assert best["logistic"]["C"] == 1.0 and best["forest"]["depth"] == 4 and best["boosted"]["trees"] == 8
     assert all(t.cv_auc > 0.8 for t in trained)
     splits = model.expanding_splits(model.temporal_folds(features.partition_filter(df, "train")))
-    bounded = search.tree_areas("boosted", GRIDS["boosted"], splits, 4, features.FEATURES, 42, 300)
-    assert len(bounded) == 2 and all(0 <= a <= 1 for own in bounded for a in own)
-    one_class = search.tree_areas("forest", GRIDS["forest"], splits.withColumn("y", F.lit(0)), 4, features.FEATURES, 42, 10**6)
+    # of more rows than the bound a sample decides, and the winner's areas are those on all rows
+    params, bounded = model.grid_search("boosted", GRIDS["boosted"], splits, search_rows=300)
+    assert params in GRIDS["boosted"] and bounded == model.fold_areas("boosted", [params], splits)[0]
+    one_class = model.fold_areas("forest", GRIDS["forest"], splits.withColumn("y", F.lit(0)))
     assert one_class == [[0.5] * 3] * 4
 
 
@@ -90,7 +72,7 @@ def test_summary_and_predictions(spark, done):
     for t in trained:
         got = model.predict(t, df, "test", t.threshold).collect()
         assert len(got) == df.where("partition = 'test' AND NOT excluded").count()
-        assert all(r.pred == int(r.prob >= t.threshold) for r in got) and search.area(np.array([r.y for r in got]), np.array([r.prob for r in got])) > 0.85
+        assert all(r.pred == int(r.prob >= t.threshold) for r in got) and area(np.array([r.y for r in got]), np.array([r.prob for r in got])) > 0.85
         # the threshold is the best one of 0.01 .. 0.99 on the last fold
         fold = model.temporal_folds(features.partition_filter(df, "train")).where("fold = 3")
         last = model.score(t.model, fold).collect()
@@ -133,7 +115,7 @@ def test_models_are_saved_and_scored_on_another_table(spark, done, tmp_path):
         rows = model.predict(t, other, "test", t.threshold).collect()
         tp, said = sum(r.y for r in rows if r.pred), sum(r.pred for r in rows)
         r = got[t.kind]
-        assert abs(r.auc - search.area(np.array([x.y for x in rows]), np.array([x.prob for x in rows]))) < 1e-9
+        assert abs(r.auc - area(np.array([x.y for x in rows]), np.array([x.prob for x in rows]))) < 1e-9
         assert abs(r.tuned_precision - tp / max(said, 1)) < 1e-9 and abs(r.tuned_recall - tp / sum(x.y for x in rows)) < 1e-9
 
 

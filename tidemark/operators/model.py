@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from .evaluate import classification_metrics, optimal_threshold, roc_auc, threshold_curve
 from ..sources.records import settle
 from .features import FEATURES, partition_filter
-from .search import DEEPEST, tree_areas
 
 FOLDS = 4
+#: Levels of a tree without a limit: as many as Spark ML grows.
+DEEPEST = 30
 
 
 def temporal_folds(df: DataFrame, k: int = FOLDS, t: str = "t") -> DataFrame:
@@ -85,7 +86,7 @@ def estimator(kind: str, params: dict, n: int, seed: int = 42):
         return LogisticRegression(**own, elasticNetParam=params["l1"], regParam=1 / (params["C"] * max(n, 1)), maxIter=params.get("iter", 200))
     if kind == "forest":
         return RandomForestClassifier(**own, numTrees=params["trees"], maxDepth=params["depth"] or DEEPEST, minInstancesPerNode=params["leaf"], seed=seed, maxMemoryInMB=512)
-    return GBTClassifier(**own, maxIter=params["trees"], maxDepth=params["depth"], stepSize=params["rate"], seed=seed)
+    return GBTClassifier(**own, maxIter=params["trees"], maxDepth=params["depth"], stepSize=params["rate"], seed=seed, checkpointInterval=-1)
 
 
 def _pipeline(kind: str, params: dict, n: int, features: Sequence[str], seed: int) -> Pipeline:
@@ -126,36 +127,47 @@ class Trained:
     model: PipelineModel
 
 
-#: Rows of all splits on which tree configurations are compared, at most; the winner is fitted on all rows.
+#: Rows of all splits on which tree configurations are compared, at most; the winner is fitted and measured on all rows.
 SEARCH_ROWS = 200_000
-#: Rows in a partition of the splits that linear configurations are fitted on.
+#: Rows in a partition of the splits that configurations are fitted on.
 PART_ROWS = 100_000
 
 
 def grid_search(kind: str, grid: list[dict], splits: DataFrame, k: int = FOLDS, features: Sequence[str] = FEATURES, seed: int = 42, parallelism: int = 8, search_rows: int = SEARCH_ROWS) -> tuple[dict, list[float]]:
-    """The configuration with the best mean area over the splits (the first wins ties).
-
-    Tree configurations are compared on a sample of ``search_rows`` at most, each group of nested ones in a
-    task of its own; linear ones on all rows, each fit being a distributed job, ``parallelism`` at a time."""
-    scores = tree_areas(kind, grid, splits, k, features, seed, search_rows) if kind != "logistic" else _linear_areas(grid, splits, k, features, seed, parallelism)
+    """The configuration with the best mean area over the splits (the first wins ties), and its areas.
+
+    Each configuration is fitted by Spark ML on each split, ``parallelism`` fits at a time. Of more than ``search_rows`` rows tree
+    configurations are compared on a sample of about as many, by a hash of the rows' keys; the winner's areas are those of fits on all rows."""
+    sample = splits
+    if kind != "logistic":
+        share = search_rows / max(1, splits.count())
+        if share < 1:
+            steps = 1 << 60
+            sample = splits.where(F.pmod(F.xxhash64("id", "entity", F.lit(seed)), F.lit(steps)) < max(1, int(share * steps)))
+    scores = fold_areas(kind, grid, sample, k, features, seed, parallelism)
     best = max(range(len(grid)), key=lambda i: (sum(scores[i]), -i))
+    if sample is not splits:
+        scores[best] = fold_areas(kind, [grid[best]], splits, k, features, seed, parallelism)[0]
     return grid[best], scores[best]
 
 
-def _linear_areas(grid: list[dict], splits: DataFrame, k: int, features: Sequence[str], seed: int, parallelism: int) -> list[list[float]]:
+def fold_areas(kind: str, grid: Sequence[dict], splits: DataFrame, k: int = FOLDS, features: Sequence[str] = FEATURES, seed: int = 42, parallelism: int = 8) -> list[list[float]]:
+    """For each configuration the area of its fit on each split; 0.5 where a split lacks a class."""
     each = splits.select("split", "role", "y", *features).persist()
     counts = {r["split"]: r for r in each.groupBy("split").agg(*[F.count_if((F.col("role") == r) & (F.col("y") == y)).alias(f"{r}{y}") for r in ("train", "validate") for y in (0, 1)]).collect()}
     fits = [(i, p) for i in range(1, k) for p in range(len(grid)) if i in counts and min(counts[i][c] for c in ("train0", "train1", "validate0", "validate1"))]
+    # the dearest first, so that none is left over at the end
+    fits.sort(key=lambda f: -grid[f[1]].get("trees", 1) * ((grid[f[1]].get("depth", 1) or DEEPEST) ** 2) * f[0])
     parts = {i: each.where(F.col("split") == i).coalesce(max(1, sum(counts[i][c] for c in ("train0", "train1")) // PART_ROWS)) for i in counts}
 
     def one(fit: tuple[int, int]) -> float:
         train, validate = (parts[fit[0]].where(F.col("role") == r) for r in ("train", "validate"))
-        done = fit_one("logistic", grid[fit[1]], train, features, seed).transform(validate)
+        done = fit_one(kind, grid[fit[1]], train, features, seed).transform(validate)
         return BinaryClassificationEvaluator(labelCol="y", numBins=0).evaluate(done)
 
     scores = [[0.5] * (k - 1) for _ in grid]
     with ThreadPool(parallelism) as pool:
-        for (i, p), auc in zip(fits, pool.map(one, fits), strict=True):
+        for (i, p), auc in zip(fits, pool.map(one, fits, chunksize=1), strict=True):
             scores[p][i - 1] = auc
     each.unpersist()
     return scores

@@ -35,10 +35,20 @@ def _folder(spark) -> str:
     return f"{records.shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
 
 
+#: Datasets and models of this session: a model is trained once, however many queries predict by it, explain it or save it.
+_DONE: dict[tuple, object] = {}
+
+
+def _once(spark, d, what: str, make):
+    key = (spark.sparkContext.applicationId, d, what)
+    if key not in _DONE:
+        _DONE[key] = make()
+    return _DONE[key]
+
+
 def _train(spark, d, *kinds):
-    df = _dataset(spark, d)
-    trained = model.train_all(df, kinds)
-    return df, trained
+    df = _once(spark, d, "dataset", lambda: _dataset(spark, d))
+    return df, [_once(spark, d, kind, lambda kind=kind: model.train_all(df, [kind])[0]) for kind in kinds]
 
 
 @query()
