@@ -7,6 +7,7 @@ import duckdb
 from test_oracles import SF, canon
 from tidemark import plans
 from tidemark.operators import assess, features, model
+from tidemark.sources import records
 
 
 def same(spark, name, sql, *tables):
@@ -78,3 +79,11 @@ def test_stop_terms_are_whole_lines(spark):
     sql = """SELECT DISTINCT upper(trim(regexp_replace(line, '[^ -~]', '', 'g'))) AS term FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark)
 WHERE trim(regexp_replace(line, '[^ -~]', '', 'g')) NOT IN ('') AND NOT starts_with(trim(regexp_replace(line, '[^ -~]', '', 'g')), '#')"""
     same(spark, "stoplist_load", sql, "benchmark")
+
+
+def test_csv_is_converted_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,title\n1,"two\nlines"\n2,NA\n')
+    for _ in range(2):
+        got = records.load_records(spark, str(tmp_path / "a.csv"), "id long, title string", parquet=str(tmp_path / "a.parquet"))
+        assert sorted(map(tuple, got.collect())) == [(1, "two\nlines"), (2, "NA")] and all(f.endswith(".parquet") for f in got.inputFiles())
+        (tmp_path / "a.csv").unlink(missing_ok=True)

@@ -136,8 +136,13 @@ PART_ROWS = 100_000
 def grid_search(kind: str, grid: list[dict], splits: DataFrame, k: int = FOLDS, features: Sequence[str] = FEATURES, seed: int = 42, parallelism: int = 8, search_rows: int = SEARCH_ROWS) -> tuple[dict, list[float]]:
     """The configuration with the best mean area over the splits (the first wins ties), and its areas.
 
-    Each configuration is fitted by Spark ML on each split, ``parallelism`` fits at a time. Of more than ``search_rows`` rows tree
+    The same search over the same rows is done once a session. Each configuration is fitted by Spark ML on each split, ``parallelism`` fits at a time. Of more than ``search_rows`` rows tree
     configurations are compared on a sample of about as many, by a hash of the rows' keys; the winner's areas are those of fits on all rows."""
+    own = ("search", kind, json.dumps(list(grid)), k, tuple(features), seed, search_rows)
+    return _once(splits, ["split", "role", "id", "entity", "y", *features], own, lambda: _search(kind, grid, splits, k, features, seed, parallelism, search_rows))
+
+
+def _search(kind: str, grid: list[dict], splits: DataFrame, k: int, features: Sequence[str], seed: int, parallelism: int, search_rows: int) -> tuple[dict, list[float]]:
     sample = splits
     if kind != "logistic":
         share = search_rows / max(1, splits.count())
@@ -151,6 +156,22 @@ def grid_search(kind: str, grid: list[dict], splits: DataFrame, k: int = FOLDS,
     return grid[best], scores[best]
 
 
+#: What was found for rows of this session, by what was done and the rows' content; the oldest goes first.
+_FOUND: dict[tuple, object] = {}
+MOST_FOUND = 32
+
+
+def _once(df: DataFrame, columns: Sequence[str], what: tuple, make):
+    """What ``make`` gives, which is made once for the same rows: searches and fits take long, and the rows' hash takes one pass."""
+    rows = tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.sum(F.xxhash64(F.lit(1), *columns).cast("decimal(38,0)"))).first())
+    key = (df.sparkSession.sparkContext.applicationId, *what, *rows)
+    if key not in _FOUND:
+        while len(_FOUND) >= MOST_FOUND:
+            _FOUND.pop(next(iter(_FOUND)))
+        _FOUND[key] = make()
+    return _FOUND[key]
+
+
 def fold_areas(kind: str, grid: Sequence[dict], splits: DataFrame, k: int = FOLDS, features: Sequence[str] = FEATURES, seed: int = 42, parallelism: int = 8) -> list[list[float]]:
     """For each configuration the area of its fit on each split; 0.5 where a split lacks a class."""
     each = splits.select("split", "role", "y", *features).persist()
@@ -184,7 +205,8 @@ def train_all(df: DataFrame, kinds: Sequence[str] = ("logistic", "forest", "boos
         began = time.time()
         grid = (grids or {}).get(kind) or param_grid(kind, sums[0] / max(sums[1], 1))
         params, folds = grid_search(kind, grid, splits, k, features, seed)
-        model = fit_one(kind, params, train, features, seed)
+        own = ("fit", kind, json.dumps(params), tuple(features), seed)
+        model = _once(train, ["id", "entity", "y", *features], own, lambda kind=kind, params=params: fit_one(kind, params, train, features, seed))
         curve = threshold_curve(score(model, train.where(F.col("fold") == k - 1)))
         best = optimal_threshold(curve).first()
         out.append(Trained(kind, params, sum(folds) / len(folds), folds, len(grid), time.time() - began, best["threshold"], model))

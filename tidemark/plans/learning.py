@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, features, label, model
@@ -30,25 +28,12 @@ def _other_dataset(spark, d):
     return _labelled(mentions_ord(spark, d).join(status, "id"))
 
 
-def _folder(spark) -> str:
-    """A new folder beside the session's checkpoints."""
-    return f"{records.shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
-
-
-#: Datasets and models of this session: a model is trained once, however many queries predict by it, explain it or save it.
-_DONE: dict[tuple, object] = {}
-
-
-def _once(spark, d, what: str, make):
-    key = (spark.sparkContext.applicationId, d, what)
-    if key not in _DONE:
-        _DONE[key] = make()
-    return _DONE[key]
+_folder = records.new_folder
 
 
 def _train(spark, d, *kinds):
-    df = _once(spark, d, "dataset", lambda: _dataset(spark, d))
-    return df, [_once(spark, d, kind, lambda kind=kind: model.train_all(df, [kind])[0]) for kind in kinds]
+    df = _dataset(spark, d)
+    return df, model.train_all(df, kinds)
 
 
 @query()
@@ -153,10 +138,10 @@ def run_log_query(spark, d):
 
 @query("""SELECT event_id AS id, event_type AS title, 'a "b"' || chr(10) || ', ' || props AS selftext FROM events""")
 def load_records(spark, d):
-    """Events written as CSV with quoted fields and read back by the loader."""
+    """Events written as CSV with quoted fields, read by the loader and converted to Parquet once."""
     path = _folder(spark)
     table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("title"), F.concat(F.lit('a "b"\n, '), "props").alias("selftext")).write.option("header", True).option("escape", '"').csv(path)
-    df = records.load_records(spark, path, "id long, title string, selftext string")
+    df = records.load_records(spark, path, "id long, title string, selftext string", parquet=f"{_folder(spark)}.parquet")
     return df.select("id", "title", "selftext")
 
 

@@ -42,14 +42,24 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def load_records(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA, columns: Sequence[str] = (), limit: int | None = None, sep: str = ",") -> DataFrame:
+def load_records(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA, columns: Sequence[str] = (), limit: int | None = None, sep: str = ",", parquet: str | None = None) -> DataFrame:
     """A UTF-8 CSV with a header and quoted multi-line fields, or Parquet by its suffix.
 
     A malformed row is an error; so is a missing or an empty source. Texts such as ``NA``
     stay texts. Only the schema's columns that the header names are read.
+
+    Where a quoted field may hold line ends, a line end says nothing about where a record begins, so each CSV file is read by one
+    task: give large sources as many files, and ``parquet``, a path to which they are converted once; what is returned then is read
+    from there, split and pruned as any Parquet table, and a later call with that path reads no CSV.
     """
-    if path.rstrip("/").endswith(".parquet"):
-        df = spark.read.parquet(path)
+    converted = None
+    if parquet:
+        try:
+            converted = spark.read.parquet(parquet)
+        except AnalysisException:  # not there yet
+            pass
+    if converted is not None or path.rstrip("/").endswith(".parquet"):
+        df = converted if converted is not None else spark.read.parquet(path)
     else:
         options = {"header": True, "multiLine": True, "escape": '"', "mode": "FAILFAST", "enforceSchema": False, "sep": sep}
         header = spark.read.options(**options).csv(path).columns
@@ -57,6 +67,9 @@ def load_records(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA, co
         df = spark.read.options(**options).schema(", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in header)).csv(path)
     if columns:
         df = require_columns(df, *columns, stage="load_records").select(*columns)
+    if parquet and converted is None:
+        df.write.parquet(parquet)
+        df = spark.read.parquet(parquet)
     if df.isEmpty():
         raise ValueError(f"{path} has no rows")
     return df.limit(limit) if limit else df
