@@ -50,7 +50,7 @@ def test_fold_areas_are_those_of_the_fitted_models(spark, done):
         assert t.cv_auc == sum(t.fold_auc) / 3
 
 
-def test_search_finds_the_better_configuration(spark, done):
+def test_search_finds_the_better_configuration(spark, done, monkeypatch):
     df, trained = done
     assert [t.kind for t in trained] == ["logistic", "forest", "boosted"]
     assert [t.tried for t in trained] == [2, 4, 2] and all(len(t.fold_auc) == 3 for t in trained)
@@ -61,6 +61,16 @@ def test_search_finds_the_better_configuration(spark, done):
     # of more rows than the bound a sample decides, and the winner's areas are those on all rows
     params, bounded = model.grid_search("boosted", GRIDS["boosted"], splits, search_rows=300)
     assert params in GRIDS["boosted"] and bounded == model.fold_areas("boosted", [params], splits)[0]
+    # all groups meet on the first rung, and the best go on; without rungs every configuration is fitted in full
+    grid = [{"trees": n, "depth": d, "rate": r, "weight": 1.0} for n in (2, 6) for d in (1, 3) for r in (1e-6, 0.3)]
+    tried = []
+    own = model.fold_areas
+    monkeypatch.setattr(model, "fold_areas", lambda kind, some, *a: tried.append(list(some)) or own(kind, some, *a))
+    params, areas = model.grid_search("boosted", grid, splits, rungs=(1,))
+    assert [p["trees"] for p in tried[0]] == [1] * 4 and len(tried[1]) == 4 and {p["trees"] for p in tried[1]} == {2, 6}
+    assert params in tried[1] and areas == max(own("boosted", tried[1], splits), key=sum)
+    tried.clear()
+    assert model.grid_search("boosted", grid, splits, rungs=())[0] in grid and tried == [grid]
     one_class = model.fold_areas("forest", GRIDS["forest"], splits.withColumn("y", F.lit(0)))
     assert one_class == [[0.5] * 3] * 4
 

@@ -133,27 +133,46 @@ SEARCH_ROWS = 200_000
 PART_ROWS = 100_000
 
 
-def grid_search(kind: str, grid: list[dict], splits: DataFrame, k: int = FOLDS, features: Sequence[str] = FEATURES, seed: int = 42, parallelism: int = 8, search_rows: int = SEARCH_ROWS) -> tuple[dict, list[float]]:
+#: Trees of the first rungs of a search, and the part of the groups that each keeps (two at least).
+RUNGS, KEPT = (5, 20), 4
+
+
+def grid_search(kind: str, grid: list[dict], splits: DataFrame, k: int = FOLDS, features: Sequence[str] = FEATURES, seed: int = 42, parallelism: int = 8, search_rows: int = SEARCH_ROWS, rungs: Sequence[int] = RUNGS) -> tuple[dict, list[float]]:
     """The configuration with the best mean area over the splits (the first wins ties), and its areas.
 
-    The same search over the same rows is done once a session. Each configuration is fitted by Spark ML on each split, ``parallelism`` fits at a time. Of more than ``search_rows`` rows tree
-    configurations are compared on a sample of about as many, by a hash of the rows' keys; the winner's areas are those of fits on all rows."""
-    own = ("search", kind, json.dumps(list(grid)), k, tuple(features), seed, search_rows)
-    return _once(splits, ["split", "role", "id", "entity", "y", *features], own, lambda: _search(kind, grid, splits, k, features, seed, parallelism, search_rows))
+    Configurations are fitted and measured by Spark ML on each split, ``parallelism`` fits at a time. Those of trees are compared by
+    successive halving: all groups that differ in more than the number of trees are fitted with the first rung's trees, the best of them
+    with the next rung's, and those that are left with each number of trees of the grid; ``rungs=()`` fits every configuration in full.
+    Of more than ``search_rows`` rows tree configurations are compared on a sample of about as many, by a hash of the rows' keys; the
+    winner's areas are those of fits on all rows. The same search over the same rows is done once a session."""
+    own = ("search", kind, json.dumps(list(grid)), k, tuple(features), seed, search_rows, tuple(rungs))
+    return _once(splits, ["split", "role", "id", "entity", "y", *features], own, lambda: _search(kind, grid, splits, k, features, seed, parallelism, search_rows, rungs))
 
 
-def _search(kind: str, grid: list[dict], splits: DataFrame, k: int, features: Sequence[str], seed: int, parallelism: int, search_rows: int) -> tuple[dict, list[float]]:
-    sample = splits
+def _search(kind: str, grid: list[dict], splits: DataFrame, k: int, features: Sequence[str], seed: int, parallelism: int, search_rows: int, rungs: Sequence[int]) -> tuple[dict, list[float]]:
+    sample, left = splits, list(grid)
     if kind != "logistic":
         share = search_rows / max(1, splits.count())
         if share < 1:
             steps = 1 << 60
             sample = splits.where(F.pmod(F.xxhash64("id", "entity", F.lit(seed)), F.lit(steps)) < max(1, int(share * steps)))
-    scores = fold_areas(kind, grid, sample, k, features, seed, parallelism)
-    best = max(range(len(grid)), key=lambda i: (sum(scores[i]), -i))
+        for trees in rungs:
+            # groups in the grid's order: one configuration of each, with the rung's trees at most
+            groups: dict[str, list[dict]] = {}
+            for p in left:
+                groups.setdefault(json.dumps(p | {"trees": 0}, sort_keys=True), []).append(p)
+            tried = [own[0] | {"trees": min(trees, *(p["trees"] for p in own))} for own in groups.values()]
+            keep = max(2, len(groups) // KEPT)
+            if keep >= len(groups):
+                continue
+            areas = fold_areas(kind, tried, sample, k, features, seed, parallelism)
+            best = sorted(range(len(tried)), key=lambda i: (-sum(areas[i]), i))[:keep]
+            left = [p for i, own in enumerate(groups.values()) if i in best for p in own]
+    scores = fold_areas(kind, left, sample, k, features, seed, parallelism)
+    best = max(range(len(left)), key=lambda i: (sum(scores[i]), -i))
     if sample is not splits:
-        scores[best] = fold_areas(kind, [grid[best]], splits, k, features, seed, parallelism)[0]
-    return grid[best], scores[best]
+        scores[best] = fold_areas(kind, [left[best]], splits, k, features, seed, parallelism)[0]
+    return left[best], scores[best]
 
 
 #: What was found for rows of this session, by what was done and the rows' content; the oldest goes first.
