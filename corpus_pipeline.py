@@ -17,7 +17,7 @@ from tidemark.llm.shared import materialize
 
 
 #: Rows that a Python worker holds at a time: texts are long, and workers live through all stages.
-BATCH_ROWS = 2000
+BATCH_ROWS = 500
 
 
 def _small_batches(spark: SparkSession) -> None:
