@@ -42,7 +42,7 @@ from .shared import connected_components, discard, join_counted, materialize
 
 #: MinHash samples, bits of the odd sketch, samples in a band at most.
 SAMPLES, BITS, ROWS = 256, 512, 4
-WORD_CACHE = 200_000
+WORD_CACHE = 50_000
 #: Bits of the bitmap of wanted ids, in 2,000 pages of 4 KB: 8 MB are broadcast at most.
 PAGE = 1 << 15
 BITMAP = 2000 * PAGE
