@@ -107,3 +107,10 @@ def test_final_summary_holds_what_it_rests_on(spark):
     s = evaluate.best_model_summary(auc, baselines=compared).first()
     assert (s.best_model, s.tier, s.any_minimum, [(m.model, m.tier) for m in s.models]) == ("b", "stretch", 1, [("a", "minimum"), ("b", "stretch"), ("c", "below")])
     assert [x.model for x in s.baselines] == ["a", "b", "c"]
+
+
+def test_settled_tables_are_cleared(spark):
+    kept = records.settle(spark.range(3))
+    folder = kept.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert os.path.isdir(folder) and kept.count() == 3
+    assert records.clear_settled(spark) >= 1 and not os.path.exists(folder) and records.clear_settled(spark) == 0

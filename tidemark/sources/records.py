@@ -30,9 +30,27 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+#: Folders that this process has named, by application.
+_NAMED: dict[str, list[str]] = {}
+
+
 def new_folder(spark: SparkSession) -> str:
     """A new folder beside the session's checkpoints."""
-    return f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
+    _NAMED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_settled(spark: SparkSession) -> int:
+    """Delete the tables that this application has settled, and return how many folders there were.
+
+    For the end of a job, when its results are written: no DataFrame that rests on a settled table can be read afterwards."""
+    paths = _NAMED.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    return len(paths)
 
 
 def settle(df: DataFrame) -> DataFrame:
