@@ -36,11 +36,21 @@ def _train(spark, d, *kinds):
     return df, model.train_all(df, kinds)
 
 
-@query()
+GRIDS = """rt AS (SELECT count(*) FILTER (WHERE composite <= 0.5) / greatest(count(*) FILTER (WHERE composite > 0.5), 1) AS ratio FROM z WHERE partition = 'train' AND NOT excluded),
+wt AS (SELECT row_number() OVER (ORDER BY k) - 1 AS k, count(*) OVER () AS n, weight FROM (SELECT min(k) AS k, weight FROM (SELECT 0 AS k, 1.0::DOUBLE AS weight UNION ALL SELECT 1, ratio / 2 FROM rt UNION ALL SELECT 2, ratio FROM rt) GROUP BY weight)),
+lo AS (SELECT 'logistic' AS model, i * 2 + j AS place, C, l1, NULL AS trees, NULL AS depth, NULL AS leaf, NULL::DOUBLE AS rate, NULL::DOUBLE AS weight
+  FROM (VALUES (0, 0.01::DOUBLE), (1, 0.1), (2, 1.0), (3, 10.0), (4, 100.0)) a(i, C), (VALUES (0, 0.0::DOUBLE), (1, 1.0)) b(j, l1)),
+fo AS (SELECT 'forest', (i * 4 + j) * 3 + k, NULL, NULL, trees, depth, leaf, NULL, NULL FROM (VALUES (0, 50), (1, 100), (2, 200)) a(i, trees), (VALUES (0, 3), (1, 5), (2, 10), (3, NULL)) b(j, depth), (VALUES (0, 1), (1, 2), (2, 5)) c(k, leaf)),
+bo AS (SELECT 'boosted', ((i * 3 + j) * 3 + r) * n + k AS at, NULL, NULL, trees, depth, NULL, rate, round(weight, 9)
+  FROM (VALUES (0, 50), (1, 100), (2, 200)) a(i, trees), (VALUES (0, 3), (1, 5), (2, 7)) b(j, depth), (VALUES (0, 0.01::DOUBLE), (1, 0.1), (2, 0.3)) c(r, rate), wt WHERE ((i * 3 + j) * 3 + r) * n + k < 50)"""
+
+
+@query(upto("z", GRIDS) + "SELECT * FROM lo UNION ALL SELECT * FROM fo UNION ALL SELECT * FROM bo")
 def param_grids(spark, d):
     """The configurations of each model; the boosted ones' weights follow the classes of the training rows."""
     y = features.partition_filter(_dataset(spark, d), "train").agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).first()
-    return model.grids(spark, y[0] / max(y[1], 1))
+    p = F.from_json("params", "C double, l1 double, trees int, depth int, leaf int, rate double, weight double").alias("p")
+    return model.grids(spark, y[0] / max(y[1], 1)).select("model", "place", p).select("model", "place", "p.*").withColumn("weight", F.round("weight", 9))
 
 
 @query()
