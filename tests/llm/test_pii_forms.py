@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import pii
 
@@ -47,3 +48,26 @@ def test_other_numbers_are_not(found):
     rows, got, plain = found
     assert [x for k, kind, x in rows if kind == "none" and got[k]] == []
     assert all(set(plain[k].split(",")) <= set(got[k].split(",")) for k, kind, _ in rows if kind == "base")
+
+
+@pytest.fixture(scope="module")
+def rare(spark):
+    """200,000 different texts, of which 300 hold a phone and 300 a number of another kind: few of each in any 50,000."""
+    n = F.col("id")
+    number = F.concat(F.lit("1 ("), (200 + n % 800).cast("string"), F.lit(") 555-"), (1000 + n % 9000).cast("string"))
+    said = F.when(n % 667 == 1, F.concat(F.lit("call +"), number, F.lit(" now"))).when(n % 667 == 2, F.concat(F.lit("item #"), (1_000_000 + n * 37).cast("string"), F.lit(" sold")))
+    docs = spark.range(0, 200_000, 1, 8).select(n.alias("doc_id"), F.concat(F.lit("text "), n.cast("string"), F.lit(" "), F.coalesce(said, F.lit("is clean"))).alias("text"))
+    return docs.unionByName(spark.createDataFrame([(10**6, "call 1 (743) 555-3824 now"), (10**6 + 1, "item #3481920 sold")], docs.schema))
+
+
+def test_all_texts_train(spark, rare):
+    scorer = pii.fit(rare)
+    assert scorer is not None
+    got = {r.doc_id: r.spans for r in pii.report(rare.where("doc_id >= 1000000"), scorer).collect()}
+    assert got == {10**6: "phone:5:21", 10**6 + 1: ""}
+
+
+def test_a_repeated_text_trains_once(spark):
+    """Fifteen different phones are too few for a class, however often their texts are repeated."""
+    rows = [(f"call +1 (743) 555-{1000 + k} now",) for k in range(15)] * 40 + [(f"item #{1000000 + k} sold",) for k in range(400)]
+    assert pii.fit(spark.createDataFrame(rows, "text string")) is None

@@ -7,15 +7,16 @@ these by format and context (never by the checks themselves); thresholds, one fo
 calibrated on candidates that the trees did not see keep those of the wanted precision. Base
 spans always stay; a candidate that overlaps one adds nothing.
 
-The trees learn on a bounded sample: candidates of about ``sample_docs`` different texts, chosen
-by a hash of the text, however often a text is repeated. Positives are base spans rewritten into forms that only the wide
+The trees learn on the candidates of all different texts, each text once, however often it is
+repeated: copies of a candidate are told by 128 bits of its text's hash and its place, so that no
+text is shuffled. Positives are base spans rewritten into forms that only the wide
 generators find: signs spelled out, no plus, other separators. Negatives are candidates that
 overlap no base span, but for those that may be such forms themselves (``_disputed``, and
 digit groups of a rewritten span's very format): these are left out, however frequent they
 are. Without both classes, or if no threshold reaches the precision, nothing is added. The
 precision is that among held-out rewritten spans and negatives, not one of natural forms.
 
-All of it is DataFrame expressions over one row at a time, so nothing is shuffled and a
+All of it is DataFrame expressions over one row at a time, so no text is shuffled and a
 text is never cut: trees become CASE expressions over the row's candidates.
 
 Patterns: each is written so that Java's matcher neither recurses nor scans a run twice. A
@@ -273,19 +274,17 @@ class Scorer:
 def fit(
     docs: DataFrame,
     text: str = "text",
-    sample_docs: int = 50_000,
     trees: int = 12,
     depth: int = 3,
     precision: float = 0.99,
     least_class: int = 20,
     pool: int = 50,
 ) -> Scorer | None:
-    """Train on candidates of about ``sample_docs`` different texts; None when nothing can be added."""
+    """Train on the candidates of all different texts; None when nothing can be added."""
     rows = docs.select(F.col(text).cast("string").alias(text)).where(F.col(text).isNotNull())
-    many = rows.agg(F.approx_count_distinct(F.xxhash64(text), 0.02)).first()[0]
-    share = min(1.0, sample_docs / max(1, many))
-    sample = rows.withColumn("_hash", F.xxhash64(text)).where(F.pmod("_hash", F.lit(1 << 60)) < max(1, int(share * (1 << 60)))).dropDuplicates(["_hash"])
-    found = wide_candidates(base_spans(sample, text), text)
+    # hashed before anything is exploded, so that a candidate carries no text
+    rows = rows.withColumns({"_hash": F.xxhash64(text), "_more": F.xxhash64(F.lit(1), text)})
+    found = wide_candidates(base_spans(rows, text), text)
     x = F.coalesce(F.col(text).cast("string"), F.lit(""))
 
     def example(label: float):
@@ -294,8 +293,8 @@ def fit(
 
     others = F.filter(F.filter("_wide", lambda c: ~_covers(c)), lambda c: ~_disputed(c))
     others = F.transform(others, lambda c: F.struct(c["k"].alias("k"), c["m"].alias("m"), c["before"].alias("before"), c["after"].alias("after"), F.xxhash64(c["m"]).alias("h")))
-    found = found.select(F.explode(F.concat(F.transform(_positives(x), example(1.0)), F.transform(others, example(0.0)))).alias("c"))
-    data = materialize(found.select("c.*"))
+    found = found.select("_hash", "_more", F.posexplode(F.concat(F.transform(_positives(x), example(1.0)), F.transform(others, example(0.0)))).alias("_place", "c"))
+    data = materialize(found.dropDuplicates(["_hash", "_more", "_place"]).select("c.*"))
     forms = data.where("label = 1 AND groups >= 3").select("form", F.lit(0.0).alias("label")).distinct()
     data = data.join(forms, ["form", "label"], "left_anti").drop("form")
     if data.groupBy("label").count().where(F.col("count") >= least_class).count() < 2:
