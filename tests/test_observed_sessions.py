@@ -25,3 +25,11 @@ def test_saved_models_score_another_table(spark, rows, tmp_path):
     model.save(trained, str(tmp_path))
     got = {r.model: r for r in model.cross_dataset_eval(spark, str(tmp_path), ["logistic", "boosted"], table(spark, 200, 2), "test").collect()}
     assert set(got) == {"logistic", "boosted"} and all(r.auc > 0.5 for r in got.values())
+
+
+@pytest.mark.parametrize("kind", PARAMS)
+def test_a_fitted_model_scores(spark, rows, kind):
+    """As ``refit_best`` does: fitted without a search, scored at once."""
+    fitted = model.fit_one(kind, PARAMS[kind], rows)
+    assert not getattr(fitted.stages[-1], "hasSummary", False)
+    assert model.score(fitted, rows).where("prob between 0 and 1").count() == 300
