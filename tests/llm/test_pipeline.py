@@ -3,6 +3,7 @@
 import random
 
 import public_tokenizers as P
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -74,3 +75,14 @@ def test_stages_with_odd_rows_and_clashing_columns(spark):
             assert {(r.doc_id, r.text) for r in got} == {x[:2] for x in rows}
         else:
             assert len(got) == len(rows) and all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
+
+
+def test_personal_data_is_learned_from_all_texts(spark):
+    """300 phones and 300 other numbers in 200,000 different texts: too few in any 50,000 for a threshold."""
+    n = F.col("id")
+    number = F.concat(F.lit("1 ("), (200 + n % 800).cast("string"), F.lit(") 555-"), (1000 + n % 9000).cast("string"))
+    said = F.when(n % 667 == 1, F.concat(F.lit("call +"), number, F.lit(" now"))).when(n % 667 == 2, F.concat(F.lit("item #"), (1_000_000 + n * 37).cast("string"), F.lit(" sold")))
+    docs = spark.range(0, 200_000, 1, 8).select(n.alias("doc_id"), F.concat(F.lit("text "), n.cast("string"), F.lit(" "), F.coalesce(said, F.lit("is clean"))).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(10**6, "call 1 (743) 555-3824 now"), (10**6 + 1, "item #3481920 sold")], docs.schema))
+    got = corpus_pipeline.redact_personal_data(spark, docs, "").where("doc_id >= 1000000")
+    assert {r.doc_id: r.text for r in got.collect()} == {10**6: "call <PHONE> now", 10**6 + 1: "item #3481920 sold"}
