@@ -111,7 +111,9 @@ mc AS (SELECT model_a, model_b, b, c, statistic, p_value, corrected_alpha, p_val
 @query(f"WITH {SCORED}, {MCNEMAR} SELECT model_a, model_b, b, c, round(statistic, 6) AS statistic, round(p_value, 9) AS p_value, round(log10(p_value), 5) AS log10_p, round(corrected_alpha, 6) AS corrected_alpha, significant FROM mc")
 def mcnemar_pairwise(spark, d):
     df = _mcnemar(spark, d)
-    return df.select("model_a", "model_b", "b", "c", r6("statistic", "statistic"), F.round("p_value", 9).alias("p_value"), F.round(F.log10("p_value"), 5).alias("log10_p"), r6("corrected_alpha", "corrected_alpha"), "significant")
+    # beyond the smallest double p is 0, whose logarithm Spark takes as null
+    log = F.when(F.col("p_value") == 0, float("-inf")).otherwise(F.log10("p_value"))
+    return df.select("model_a", "model_b", "b", "c", r6("statistic", "statistic"), F.round("p_value", 9).alias("p_value"), F.round(log, 5).alias("log10_p"), r6("corrected_alpha", "corrected_alpha"), "significant")
 
 
 def _mcnemar(spark, d):
